@@ -82,7 +82,7 @@ def chase_cte(starts: str, limit: str = "n", name: str = "chase") -> str:
         ON a.file_id = b.file_id AND b.off >= a.want),
     {name} AS (
       SELECT file_id, start, 0 AS step, start AS off, 216 AS code, 2 AS seg_len, CAST(0 AS BIGINT) AS fill, 0 AS n_scans,
-             start AS want, n, 'seg' AS status, start AS at
+             start AS want, n, 'seg' AS status, start AS pos_
       FROM ({starts})
       UNION ALL
       SELECT file_id, start, step + 1, off, code, seg_len, fill,
@@ -122,7 +122,7 @@ _WALK = (
       SELECT f.file_id, f.n, coalesce((SELECT count(*) FROM segs s WHERE s.file_id = f.file_id), 0) AS segments,
              CASE WHEN l.status = 'eoi' THEN l.off + 2 END AS image_end,
              CASE WHEN l.status IS NULL THEN 'no_soi' WHEN l.status <> 'eoi' THEN l.status END AS problem,
-             CASE WHEN l.status <> 'eoi' THEN l.at END AS problem_at
+             CASE WHEN l.status <> 'eoi' THEN l.pos_ END AS problem_at
       FROM files f LEFT JOIN last_row l USING (file_id)),
     scan0 AS MATERIALIZED (
       SELECT c.file_id, row_number() OVER (PARTITION BY c.file_id ORDER BY c.step) - 1 AS scan_no,
@@ -164,3 +164,90 @@ _FRAME = f""",
           AND (SELECT count(*) FROM scan0 s WHERE s.file_id = sof.file_id) > 0 AS readable
       FROM sof LEFT JOIN samp_agg USING (file_id) LEFT JOIN dri USING (file_id))"""
 FRAMES = WALK + _FRAME
+
+
+# Salvage: the same chase under the stricter rules, over the first `limit` bytes of each file.
+def salvage_cte(limits: str, name: str = "salvage") -> str:
+    return f"""
+    {name}_succ AS MATERIALIZED (
+      SELECT a.file_id, a.off, a.code, a.want, b.off AS land
+      FROM (SELECT file_id, off, code, off + 2 + CASE WHEN code = 216 THEN 0 ELSE coalesce(seg_len, 0) END AS want
+            FROM mk WHERE code <> 218) a
+      LEFT JOIN mk b ON a.file_id = b.file_id AND b.off - b.fill <= a.want AND a.want <= b.off
+      UNION ALL
+      SELECT a.file_id, a.off, 218, a.want, b.off
+      FROM (SELECT file_id, off, off + 2 + coalesce(seg_len, 0) AS want FROM mk WHERE code = 218) a
+      ASOF LEFT JOIN (SELECT * FROM mk WHERE code <> 0 AND code NOT BETWEEN 208 AND 215) b
+        ON a.file_id = b.file_id AND b.off >= a.want),
+    {name}_chase AS (
+      SELECT file_id, 0 AS step, CAST(0 AS BIGINT) AS off, 216 AS code, 2 AS seg_len, n, 'seg' AS status, CAST(0 AS BIGINT) AS pos_
+      FROM ({limits})
+      UNION ALL
+      SELECT c.file_id, c.step + 1, m.off, m.code, m.seg_len, c.n,
+        CASE WHEN m.off IS NULL OR m.off + 1 >= c.n OR m.code = -1 THEN 'cut'
+             WHEN NOT {FOLLOWS.replace('code', 'm.code')} THEN 'cut'
+             WHEN m.code = 217 THEN 'clean'
+             WHEN m.off + 3 >= c.n OR m.seg_len < 2 OR m.off + 2 + m.seg_len > c.n THEN 'cut'
+             ELSE 'seg' END,
+        CASE WHEN c.code = 218 THEN CASE WHEN m.off IS NULL OR m.off >= c.n THEN c.n
+             ELSE greatest(m.off - m.fill, s.want) END ELSE s.want END
+      FROM {name}_chase c JOIN {name}_succ s ON s.file_id = c.file_id AND s.off = c.off
+      LEFT JOIN mk m ON m.file_id = c.file_id AND m.off = s.land
+      WHERE c.status = 'seg'),
+    {name} AS MATERIALIZED (
+      SELECT f.file_id, f.hx, l.n, max(CASE WHEN status = 'cut' THEN pos_ END) AS cut,
+             max(CASE WHEN status = 'clean' THEN off + 2 END) AS clean_end,
+             min(CASE WHEN status = 'seg' AND code = 218 THEN off + 2 + seg_len END) AS scan_start,
+             coalesce(arg_max(CASE WHEN status = 'seg' AND code = 221 AND seg_len >= 4 THEN {num('off + 4', 2)} END, step)
+               FILTER (WHERE status = 'seg' AND code = 221 AND seg_len >= 4), 0) AS restart_interval
+      FROM files f JOIN ({limits}) l USING (file_id) LEFT JOIN {name}_chase c ON c.file_id = f.file_id
+      GROUP BY f.file_id, f.hx, l.n)"""
+
+
+WHOLE = "SELECT file_id, n FROM files WHERE n >= 4 AND hx LIKE 'FFD8%'"
+SALVAGE = "WITH RECURSIVE " + MARKERS + ", " + salvage_cte(WHOLE)
+
+# Ransomware footer and trailer.
+FOOTER_CTE = f"""
+    ft0 AS (SELECT file_id, hx, n, n - length(hx[-8192:]) // 2 AS base, hx[-8192:] AS t FROM files),
+    ft1 AS (SELECT *, length(t) - 76 - (instr(reverse(t), reverse('{fx.GUID_HEX}')) - 1) AS p
+            FROM ft0 WHERE contains(t, '{fx.GUID_HEX}')),
+    ft2 AS (SELECT *, base + p // 2 AS pos_ FROM ft1),
+    ft3 AS (SELECT *, regexp_extract(array_to_string(list_transform(range(greatest(pos_ - 64, 0), pos_), lambda i:
+              CASE WHEN CAST('0x' || substr(hx, 2 * i + 1, 2) AS INT) BETWEEN 32 AND 126
+                   THEN chr(CAST('0x' || substr(hx, 2 * i + 1, 2) AS INT)) ELSE '~' END), ''), '[0-9A-Za-z]*$') AS id FROM ft2),
+    ft4 AS (SELECT *, pos_ - length(id) AS id_start FROM ft3),
+    footer AS MATERIALIZED (
+      SELECT f.file_id, coalesce(max(m.off) + 2, any_value(id_start)) AS off,
+             any_value(CASE WHEN length(id) >= 16 THEN id END) AS personal_id,
+             any_value(length(id) >= 16 AND id LIKE '%t1') AS offline
+      FROM ft4 f LEFT JOIN mk m ON m.file_id = f.file_id AND m.code = 217
+        AND m.off BETWEEN greatest(id_start - 1024, 0) AND id_start - 2
+      GROUP BY f.file_id)"""
+TRAILER_CTE = f"""
+    sig AS (SELECT file_id, min(off) + 2 AS e FROM mk JOIN files USING (file_id)
+            WHERE code = 217 AND ({h('off + 2', 3)} = 'FFD8FF' OR {h('off + 6', 4)} = '66747970') GROUP BY file_id),
+    tr0 AS (SELECT f.file_id, f.hx, f.n, st.image_end, ft.off AS foot, coalesce(st.image_end, sig.e) AS e,
+              ft.off IS NOT NULL AND (st.image_end IS NULL OR ft.off >= st.image_end - 2) AS is_footer
+            FROM files f JOIN status st USING (file_id) LEFT JOIN footer ft USING (file_id) LEFT JOIN sig USING (file_id)),
+    tr1 AS (SELECT *, substr(hx, 2 * e + 1) AS rest FROM tr0 WHERE is_footer OR e < n),
+    trailer AS MATERIALIZED (
+      SELECT file_id, CASE WHEN is_footer THEN 'stop_djvu'
+          WHEN length(rest) <= 8192 AND regexp_full_match(rest, '(00|FF)*') THEN 'unknown'
+          WHEN EXISTS (SELECT 1 FROM segs s WHERE s.file_id = tr1.file_id AND marker = 226 AND data_length >= 4
+                 AND off + length <= e AND {h('data_off', 4)} = '4D504600') THEN 'mpf'
+          WHEN n - e >= 12 AND {h('e + 4', 4)} = '66747970' THEN 'motion_photo'
+          WHEN n - e >= 3 AND rest LIKE 'FFD8FF%' THEN 'embedded_jpeg'
+          WHEN regexp_matches(rest[:131078], '^(..)*?66747970') THEN 'motion_photo'
+          ELSE 'unknown' END AS kind,
+        CASE WHEN is_footer THEN CASE WHEN image_end < foot THEN image_end ELSE foot END ELSE e END AS off, n
+      FROM tr1)"""
+TRAILER = FRAMES + ", " + FOOTER_CTE + ", " + TRAILER_CTE
+TRIAGE = (
+    TRAILER
+    + ", "
+    + salvage_cte(
+        "SELECT f.file_id, coalesce(t.off, f.n) AS n FROM files f LEFT JOIN trailer t USING (file_id) "
+        "WHERE coalesce(t.off, f.n) >= 4 AND f.hx LIKE 'FFD8%'"
+    )
+)
