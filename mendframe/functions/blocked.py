@@ -78,33 +78,39 @@ def carried(
     order: list[str],
     block: Column,
     value: Column,
-    agg,
+    how: str,
     name: str,
     backwards: bool = False,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Running `agg` (an associative aggregate such as F.max) of `value` up to the row.
+    """Running max, min or sum of `value` up to the row (or from it, `backwards`).
 
-    With `backwards`, from the row to the end. The row itself is included.
+    NULLs are skipped. `block` must be monotone along `order`. Only one row
+    per (key, block) crosses block borders.
     """
+    agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    combine = {
+        "max": lambda a, b: F.greatest(a, b),
+        "min": lambda a, b: F.least(a, b),
+        "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    }[how]
     cols = df.columns
     tagged = df.withColumn("_block", block).withColumn("_v", value)
     by_block = [*keys, "_block"]
-    direction = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
-    upto = Window.unboundedPreceding
-    inside = Window.partitionBy(*by_block).orderBy(*[direction(c) for c in order]).rowsBetween(upto, 0)
-    across = Window.partitionBy(*keys).orderBy(direction("_block")).rowsBetween(upto, -1)
+    way = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
+    first = Window.unboundedPreceding
+    inside = (
+        Window.partitionBy(*by_block).orderBy(*[way(c) for c in order]).rowsBetween(first, 0 if inclusive else -1)
+    )
+    across = Window.partitionBy(*keys).orderBy(way("_block")).rowsBetween(first, -1)
     summary = (
         tagged.groupBy(*by_block)
         .agg(agg("_v").alias("_s"))
         .withColumn("_carry", agg("_s").over(across))
         .select(*by_block, "_carry")
     )
-    joined = tagged.withColumn("_in", agg("_v").over(inside)).join(summary, by_block)
-    both = F.array("_in", "_carry")
-    combine = {
-        "max": F.greatest("_in", "_carry"),
-        "min": F.least("_in", "_carry"),
-        "sum": F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0)),
-    }[agg.__name__]
-    del both
-    return joined.select(*cols, combine.alias(name))
+    return (
+        tagged.withColumn("_in", agg("_v").over(inside))
+        .join(summary, by_block)
+        .select(*cols, combine(F.col("_in"), F.col("_carry")).alias(name))
+    )
