@@ -95,22 +95,22 @@ def carried(
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     }[how]
     cols = df.columns
-    tagged = df.withColumn("_block", block).withColumn("_v", value)
-    by_block = [*keys, "_block"]
+    tagged = df.withColumn("__block", block).withColumn("__v", value)
+    by_block = [*keys, "__block"]
     way = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
     first = Window.unboundedPreceding
     inside = (
         Window.partitionBy(*by_block).orderBy(*[way(c) for c in order]).rowsBetween(first, 0 if inclusive else -1)
     )
-    across = Window.partitionBy(*keys).orderBy(way("_block")).rowsBetween(first, -1)
+    across = Window.partitionBy(*keys).orderBy(way("__block")).rowsBetween(first, -1)
     summary = (
         tagged.groupBy(*by_block)
-        .agg(agg("_v").alias("_s"))
-        .withColumn("_carry", agg("_s").over(across))
-        .select(*by_block, "_carry")
+        .agg(agg("__v").alias("__s"))
+        .withColumn("__carry", agg("__s").over(across))
+        .select(*by_block, "__carry")
     )
     return (
-        tagged.withColumn("_in", agg("_v").over(inside))
+        tagged.withColumn("__in", agg("__v").over(inside))
         .join(summary, by_block)
-        .select(*cols, combine(F.col("_in"), F.col("_carry")).alias(name))
+        .select(*cols, combine(F.col("__in"), F.col("__carry")).alias(name))
     )
