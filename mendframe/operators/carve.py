@@ -182,8 +182,8 @@ def whole_blobs(files: DataFrame) -> DataFrame:
     )
 
 
-def embedded(files: DataFrame) -> DataFrame:
-    """file_id, off, length, width, height, origin: other complete JPEGs inside each file.
+def with_embedded(files: DataFrame) -> DataFrame:
+    """Adds `embedded`, an array of off, length, width, height, origin: other complete JPEGs inside each file.
 
     Pictures named by the MP index come first; then every other SOI past the
     first byte that walks to an EOI, skipping what lies inside one already
@@ -219,15 +219,16 @@ def embedded(files: DataFrame) -> DataFrame:
         WHEN {inside}.marker = 225 THEN 'Exif thumbnail'
         WHEN {inside} IS NOT NULL THEN concat('preview in APP', {inside}.marker - 224, ' segment')
         ELSE 'embedded JPEG' END"""
-    return (
-        df.select("file_id", "walk", once(f"concat(_mpf, {greedy})").alias("_found"))
-        .select("file_id", "walk", F.explode("_found").alias("e"))
-        .select(
-            "file_id",
-            "e.off",
-            F.expr("e.p.stop - e.off").alias("length"),
-            F.expr("e.p.w").alias("width"),
-            F.expr("e.p.h").alias("height"),
-            F.expr(origin).alias("origin"),
-        )
-    )
+    df = df.withColumn("_found", once(f"concat(_mpf, {greedy})"))
+    return df.withColumn(
+        "embedded",
+        once(
+            f"transform(_found, e -> named_struct('off', e.off, 'length', e.p.stop - e.off, 'width', e.p.w, "
+            f"'height', e.p.h, 'origin', {origin}))"
+        ),
+    ).drop("_mpf", "_all", "_found", "mp")
+
+
+def embedded(files: DataFrame) -> DataFrame:
+    """file_id, off, length, width, height, origin."""
+    return with_embedded(files).select("file_id", F.explode("embedded").alias("e")).select("file_id", "e.*")
