@@ -10,7 +10,7 @@ from mendframe.functions.bytes import be16, cut, u8
 from mendframe.functions.names import TRUNCATED
 from mendframe.functions.once import once
 from mendframe.operators.markers import with_markers
-from mendframe.operators.structure import renumber_expr, tables_expr, with_frame, with_walk
+from mendframe.operators.structure import last_tables_expr, renumber_expr, tables_expr, with_frame, with_walk
 from mendframe.operators.trailer import with_footer
 
 # What STOP/Djvu encrypts, and limits of the searches.
@@ -369,8 +369,7 @@ def splice(
     df = _header_parts(df, "offset", False, "_own")
     own_t = "_own.tables" if keep_own_tables else "slice(_own.tables, 1, 0)"
     own = lambda f: f"_own.{f}" if keep_own_tables else "cast(null as binary)"
-    last = lambda ts: f"filter({ts}, (t, i) -> NOT exists(slice({ts}, i + 2, size({ts})), u -> u.kind = t.kind AND u.slot = t.slot))"
-    df = df.withColumn("_o", once(last(own_t))).withColumn("_d", once(last("header.tables")))
+    df = df.withColumn("_o", once(last_tables_expr(own_t))).withColumn("_d", once(last_tables_expr("header.tables")))
     merged = "array_sort(concat(_o, filter(_d, t -> NOT exists(_o, u -> u.kind = t.kind AND u.slot = t.slot))))"
     df = df.withColumn("_t", once(merged))
     pair = (

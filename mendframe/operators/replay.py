@@ -16,8 +16,6 @@ from mendframe.functions.once import once
 # Flags of a traced MCU.
 MOVED, DC, PASTED, NO_DATA, REENCODED = 1, 2, 4, 0x40, 0x80
 
-COEFFICIENT_OPS = ["cdelta", "copy", "insert", "delete", "paste"]
-
 
 def recipes(steps: DataFrame) -> DataFrame:
     """image_id, ops, auto_color: enabled coefficient steps in list order.
@@ -27,9 +25,7 @@ def recipes(steps: DataFrame) -> DataFrame:
     are not part of this list. h = 0 makes the scope a run of w MCUs (0 = to
     the end).
     """
-    on = steps.where("enabled")
-    op = F.struct("step_no", "op", "row", "col", "h", "w", "a", "b")
-    return on.groupBy("image_id").agg(
+    return steps.where("enabled").groupBy("image_id").agg(
         F.expr("array_sort(collect_list(CASE WHEN kind = 'ops' THEN struct(step_no, op, row, col, h, w, a, b) END))").alias("ops"),
         F.expr("bool_or(kind = 'autoColor')").alias("auto_color"),
     )
@@ -41,42 +37,50 @@ def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
     `src` is the original position shown at m, NULL for pasted content (then
     paste_step and paste_i say which); d0..d2 are the DC offsets added on the
     way. `grid`: image_id, m, total.
+
+    Once per image each step gets the range of positions it can touch, so that
+    a position only looks closely at the few steps that may concern it.
     """
     at = f"(o.row * {width} + o.col)"
-    scope = (
-        f"CASE WHEN o.h > 0 THEN s.p div {width} >= o.row AND s.p div {width} < o.row + o.h "
-        f"AND s.p % {width} >= o.col AND s.p % {width} < o.col + o.w "
-        f"ELSE s.p >= {at} AND (o.w <= 0 OR s.p < {at} + o.w) END"
-    )
+    end = "9223372036854775807L"
+    lo = f"CASE o.op WHEN 'insert' THEN {at} + o.a ELSE {at} END"
+    hi = f"""CASE WHEN o.op = 'paste' THEN {at} + o.a WHEN o.op IN ('insert', 'delete') THEN {end}
+        WHEN o.h > 0 THEN {at} + (o.h - 1) * {width} + o.w WHEN o.w > 0 THEN {at} + o.w ELSE {end} END"""
+    code = "CASE o.op WHEN 'cdelta' THEN 0 WHEN 'copy' THEN 1 WHEN 'insert' THEN 2 WHEN 'delete' THEN 3 ELSE 4 END"
+    prepared = f"""transform(reverse(ops), o -> named_struct('code', {code}, 'lo', cast({lo} as bigint), 'hi', cast({hi} as bigint),
+        'c0', CASE WHEN o.h > 0 THEN cast(o.col as bigint) ELSE 0L END, 'c1', CASE WHEN o.h > 0 THEN cast(o.col + o.w as bigint) ELSE {width}L END,
+        'a', cast(o.a as bigint), 'b', cast(o.b as bigint), 'step', cast(o.step_no as bigint)))"""
 
     def st(**over):
         fields = ["p", "live", "flags", "d0", "d1", "d2", "step", "i"]
         return "named_struct(" + ", ".join(f"'{f}', {over.get(f, 's.' + f)}" for f in fields) + ")"
 
     target = f"s.p + o.a * {width} + o.b"
+    in_scope = f"s.p % {width} >= o.c0 AND s.p % {width} < o.c1"
     in_grid = f"s.p % {width} + o.b BETWEEN 0 AND {width - 1} AND {target} >= 0 AND {target} < total"
-    fold = f"""aggregate(reverse(ops), named_struct('p', m, 'live', true, 'flags', 0, 'd0', 0L, 'd1', 0L, 'd2', 0L,
+    fold = f"""aggregate(_ops, named_struct('p', m, 'live', true, 'flags', 0, 'd0', 0L, 'd1', 0L, 'd2', 0L,
         'step', cast(null as bigint), 'i', cast(null as bigint)), (s, o) -> CASE
-      WHEN NOT s.live THEN s
-      WHEN o.op = 'cdelta' AND ({scope}) THEN {st(flags=f's.flags | {DC}', d0='s.d0 + CASE WHEN o.a = 0 THEN o.b ELSE 0 END',
-                                                  d1='s.d1 + CASE WHEN o.a = 1 THEN o.b ELSE 0 END', d2='s.d2 + CASE WHEN o.a = 2 THEN o.b ELSE 0 END')}
-      WHEN o.op = 'copy' AND ({scope}) AND {in_grid} THEN {st(p=target, flags=f's.flags | {MOVED}')}
-      WHEN o.op = 'insert' AND s.p >= {at} + o.a THEN {st(p='s.p - o.a', flags=f's.flags | {MOVED}')}
-      WHEN o.op = 'delete' AND s.p >= {at} AND s.p + o.a < total THEN {st(p='s.p + o.a', flags=f's.flags | {MOVED}')}
-      WHEN o.op = 'paste' AND s.p >= {at} AND s.p < {at} + o.a THEN {st(live='false', flags=f's.flags | {PASTED}',
-                                                                       step='cast(o.step_no as bigint)', i=f's.p - {at}')}
+      WHEN s.p < o.lo OR s.p >= o.hi OR NOT s.live THEN s
+      WHEN o.code = 2 THEN {st(p='s.p - o.a', flags=f's.flags | {MOVED}')}
+      WHEN o.code = 3 THEN CASE WHEN s.p + o.a < total THEN {st(p='s.p + o.a', flags=f's.flags | {MOVED}')} ELSE s END
+      WHEN o.code = 4 THEN {st(live='false', flags=f's.flags | {PASTED}', step='o.step', i='s.p - o.lo')}
+      WHEN NOT ({in_scope}) THEN s
+      WHEN o.code = 0 THEN {st(flags=f's.flags | {DC}', d0='s.d0 + CASE WHEN o.a = 0 THEN o.b ELSE 0 END',
+                               d1='s.d1 + CASE WHEN o.a = 1 THEN o.b ELSE 0 END', d2='s.d2 + CASE WHEN o.a = 2 THEN o.b ELSE 0 END')}
+      WHEN {in_grid} THEN {st(p=target, flags=f's.flags | {MOVED}')}
       ELSE s END)"""
+    ready = recipe.select("image_id", once(prepared).alias("_ops"))
     return (
         grid.select("image_id", "m", "total")
-        .join(recipe.select("image_id", "ops"), "image_id", "left")
-        .withColumn("ops", F.coalesce("ops", F.expr("array()")))
+        .join(ready, "image_id", "left")
         .withColumn("_t", once(fold))
         .select(
             "image_id",
             "m",
-            F.expr("CASE WHEN _t.live THEN _t.p END").alias("src"),
-            F.col("_t.flags").alias("flags"),
-            *[F.col(f"_t.d{i}").alias(f"d{i}") for i in range(3)],
+            # No recipe: the position shows itself.
+            F.expr("CASE WHEN _t IS NULL THEN m WHEN _t.live THEN _t.p END").alias("src"),
+            F.expr("coalesce(_t.flags, 0)").alias("flags"),
+            *[F.expr(f"coalesce(_t.d{i}, 0L)").alias(f"d{i}") for i in range(3)],
             F.col("_t.step").alias("paste_step"),
             F.col("_t.i").alias("paste_i"),
         )

@@ -317,12 +317,15 @@ def tables_expr(segs: str, blob: str = "content") -> str:
     return f"flatten(transform(filter({segs}, g -> g.marker IN (196, 219)), g -> {inner}))"
 
 
+def last_tables_expr(ts: str) -> str:
+    """SQL: of several definitions of a slot the last one, within the row."""
+    return f"filter({ts}, (t, i) -> NOT exists(slice({ts}, i + 2, size({ts})), u -> u.kind = t.kind AND u.slot = t.slot))"
+
+
 def tables(files: DataFrame) -> DataFrame:
     """file_id, kind, slot, bytes: quantization and Huffman tables; the last definition of a slot wins."""
     listed = with_walk(files).select("file_id", F.expr(tables_expr("walk.segs")).alias("ts"))
-    # Later definitions override earlier ones within the row: no shuffle.
-    last = "filter(ts, (t, i) -> NOT exists(slice(ts, i + 2, size(ts)), u -> u.kind = t.kind AND u.slot = t.slot))"
-    return listed.select("file_id", F.explode(F.expr(last)).alias("t")).select("file_id", "t.*")
+    return listed.select("file_id", F.explode(F.expr(last_tables_expr("ts"))).alias("t")).select("file_id", "t.*")
 
 
 def segment_inventory(files: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mendframe.functions.lineage import materialize
 from mendframe.operators import donors as dn
-from mendframe.operators.structure import tables
+from mendframe.operators.structure import last_tables_expr, tables, tables_expr
 from mendframe.plans import duck
 from mendframe.plans.registry import query
 from mendframe.plans.structure_queries import TABLES_SQL
@@ -291,8 +292,14 @@ def d10_splice(spark, sf_dir):
         QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY matches DESC, donor_id) <= 5""",
 )
 def d11_table_donors(spark, sf_dir):
-    files = fx.files(spark, sf_dir)
-    own = tables(files)
-    usable = dn.donor_problem(dn.layouts(files)).where("donor_problem IS NULL").select("file_id")
-    donor = own.join(usable, "file_id").withColumnRenamed("file_id", "donor_id")
+    # One pass over the bytes; the tables of a file are a few hundred bytes.
+    rows = dn.with_layout(fx.files(spark, sf_dir)).select(
+        "file_id", "layout.*", F.expr(tables_expr("walk.segs")).alias("ts")
+    )
+    own = materialize(
+        dn.donor_problem(rows)
+        .select("file_id", "donor_problem", F.explode(F.expr(last_tables_expr("ts"))).alias("t"))
+        .select("file_id", "donor_problem", "t.*")
+    )
+    donor = own.where("donor_problem IS NULL").select(F.col("file_id").alias("donor_id"), "kind", "slot", "bytes")
     return dn.table_donors(own, donor)

@@ -233,9 +233,19 @@ def files_sql(d: Dialect, table: str = "documents") -> str:
     FROM d4"""
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the table comes in fewer pieces than there are cores.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, path, source, size, mtime, content."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(docs, "doc_id")
     built = spark.sql(files_sql(SPARK, "{docs}"), docs=docs)
     return built.select(
         "file_id",
@@ -320,7 +330,7 @@ def blocks_sql(table: str = "embeddings") -> str:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, unit, m, comp, coef: 4x4 MCUs of six 8x8 blocks (4:2:0) per image."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id")
     return e.select(
         F.expr("vec_id div 96").alias("image_id"),
         F.expr("vec_id % 96").alias("unit"),
@@ -371,7 +381,7 @@ def pixels_sql(table: str = "embeddings") -> str:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, x, y, c0, c1, c2: 64 vectors tile one 64x64 picture."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id")
     v = lambda k: (
         f"cast(least(255, greatest(0, round(128 + 256 * cast(embedding[{k}] as double)))) as bigint)"
     )
