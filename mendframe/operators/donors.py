@@ -431,43 +431,50 @@ def table_donors(own: DataFrame, donor: DataFrame, k: int = 5) -> DataFrame:
     """file_id, donor_id, matches, rank: donors sharing the most surviving tables, lowest id first on ties.
 
     `own`: file_id, kind, slot, bytes; `donor`: donor_id, kind, slot, bytes.
-    Standard tables are shared by nearly every camera, so matching rows
-    directly would pair everything with everything. Files and donors are first
-    grouped by their whole set of tables; sets are few, and only sets are
-    matched. Of each donor set the first k donors can appear in any answer.
+    Standard tables are shared by nearly every camera, so matching files with
+    donors, or even their sets of tables, would pair everything with
+    everything. Instead every combination of a set's tables (usually six
+    tables, so 63) becomes a key that keeps its k lowest donor ids, and a file
+    looks up its own combinations: at most k rows each. That is exact: donors
+    listed before D under the tables D shares with a file share at least
+    those tables and have lower ids, so each of them beats D.
     """
-    digest = F.expr("sha2(concat(encode(concat(kind, ':', slot, ':'), 'UTF-8'), bytes), 256)")
+    digest = F.expr("md5(concat(encode(concat(kind, ':', slot, ':'), 'UTF-8'), bytes))")
+    subsets = (
+        "transform(filter(aggregate(tables, array(named_struct('t', '', 'n', 0)), (a, t) -> concat(a, transform(a, "
+        "x -> named_struct('t', concat(x.t, t), 'n', x.n + 1)))), x -> x.n > 0), x -> named_struct('key', md5(x.t), 'n', x.n))"
+    )
 
     def sets(df: DataFrame, key: str) -> DataFrame:
         # At most 4 DQT and 8 DHT slots per file.
         return df.groupBy(key).agg(F.sort_array(F.collect_set(digest)).alias("tables")).withColumn(
-            "set_id", F.sha2(F.concat_ws(",", "tables"), 256)
+            "set_id", F.md5(F.concat_ws(",", "tables"))
         )
 
-    files, donors = sets(own, "file_id"), sets(donor, "donor_id")
-    first = Window.partitionBy("set_id").orderBy("donor_id")
-    members = (
-        donors.select("set_id", "donor_id")
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= k)
-        .select(F.col("set_id").alias("donor_set"), "donor_id")
-    )
-    unpack = lambda df, name: (
-        df.groupBy("set_id").agg(F.first("tables").alias("tables")).select(
-            F.col("set_id").alias(name), F.explode("tables").alias("table")
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        """Combinations of each distinct set."""
+        return (
+            df.groupBy("set_id")
+            .agg(F.first("tables").alias("tables"))
+            .select(F.col("set_id").alias(name), F.explode(once(subsets)).alias("s"))
+            .select(name, "s.key", F.col("s.n").alias("matches"))
         )
-    )
-    matches = (
-        unpack(files, "file_set")
-        .join(unpack(donors, "donor_set"), "table")
-        .groupBy("file_set", "donor_set")
-        .agg(F.count(F.lit(1)).alias("matches"))
-    )
-    # Sets are ranked first: no set past the k-th can reach the answer.
-    best_set = Window.partitionBy("file_set").orderBy(F.col("matches").desc(), "donor_id")
+
+    def lowest(df: DataFrame, by: str) -> DataFrame:
+        # Limited to k rows per group before the shuffle.
+        w = Window.partitionBy(by).orderBy("donor_id")
+        return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+    files, donors = sets(own, "file_id"), sets(donor, "donor_id")
+    members = lowest(donors.select(F.col("set_id").alias("donor_set"), "donor_id"), "donor_set")
+    listed = lowest(keys(donors, "donor_set").join(members, "donor_set").select("key", "donor_id"), "key")
+    best = Window.partitionBy("file_set").orderBy(F.col("matches").desc(), "donor_id")
     answer = (
-        matches.join(members, "donor_set")
-        .withColumn("rank", F.row_number().over(best_set))
+        keys(files, "file_set")
+        .join(listed, "key")
+        .groupBy("file_set", "donor_id")
+        .agg(F.max("matches").alias("matches"))
+        .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
     )
     return files.select("file_id", F.col("set_id").alias("file_set")).join(answer, "file_set").select(

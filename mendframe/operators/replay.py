@@ -11,21 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mendframe.functions.lineage import materialize
 from mendframe.functions.once import once
 
 # Flags of a traced MCU.
 MOVED, DC, PASTED, NO_DATA, REENCODED = 1, 2, 4, 0x40, 0x80
 
+RECIPE_BLOCK = 1024
 
-def recipes(steps: DataFrame) -> DataFrame:
-    """image_id, ops, auto_color: enabled coefficient steps in list order.
+
+def recipes(steps: DataFrame, block: int = RECIPE_BLOCK) -> DataFrame:
+    """image_id, block, ops, auto_color: enabled coefficient steps in list order, in blocks of `block` step numbers.
 
     `steps`: image_id, step_no, kind (ops, bytes, autoColor), enabled, op, row,
     col, h, w, a, b. Byte steps act on the file before anything is decoded and
     are not part of this list. h = 0 makes the scope a run of w MCUs (0 = to
     the end).
     """
-    return steps.where("enabled").groupBy("image_id").agg(
+    return steps.where("enabled").groupBy("image_id", F.expr(f"step_no div {block}").alias("block")).agg(
         F.expr("array_sort(collect_list(CASE WHEN kind = 'ops' THEN struct(step_no, op, row, col, h, w, a, b) END))").alias("ops"),
         F.expr("bool_or(kind = 'autoColor')").alias("auto_color"),
     )
@@ -39,7 +42,9 @@ def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
     way. `grid`: image_id, m, total.
 
     Once per image each step gets the range of positions it can touch, so that
-    a position only looks closely at the few steps that may concern it.
+    a position only looks closely at the few steps that may concern it. A
+    recipe longer than one block is folded block by block, the last one first,
+    so that no array grows with it.
     """
     at = f"(o.row * {width} + o.col)"
     end = "9223372036854775807L"
@@ -58,8 +63,7 @@ def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
     target = f"s.p + o.a * {width} + o.b"
     in_scope = f"s.p % {width} >= o.c0 AND s.p % {width} < o.c1"
     in_grid = f"s.p % {width} + o.b BETWEEN 0 AND {width - 1} AND {target} >= 0 AND {target} < total"
-    fold = f"""aggregate(_ops, named_struct('p', m, 'live', true, 'flags', 0, 'd0', 0L, 'd1', 0L, 'd2', 0L,
-        'step', cast(null as bigint), 'i', cast(null as bigint)), (s, o) -> CASE
+    fold = f"""aggregate(coalesce(_ops, array()), _t, (s, o) -> CASE
       WHEN s.p < o.lo OR s.p >= o.hi OR NOT s.live THEN s
       WHEN o.code = 2 THEN {st(p='s.p - o.a', flags=f's.flags | {MOVED}')}
       WHEN o.code = 3 THEN CASE WHEN s.p + o.a < total THEN {st(p='s.p + o.a', flags=f's.flags | {MOVED}')} ELSE s END
@@ -69,21 +73,26 @@ def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
                                d1='s.d1 + CASE WHEN o.a = 1 THEN o.b ELSE 0 END', d2='s.d2 + CASE WHEN o.a = 2 THEN o.b ELSE 0 END')}
       WHEN {in_grid} THEN {st(p=target, flags=f's.flags | {MOVED}')}
       ELSE s END)"""
-    ready = recipe.select("image_id", once(prepared).alias("_ops"))
-    return (
-        grid.select("image_id", "m", "total")
-        .join(ready, "image_id", "left")
-        .withColumn("_t", once(fold))
-        .select(
-            "image_id",
-            "m",
-            # No recipe: the position shows itself.
-            F.expr("CASE WHEN _t IS NULL THEN m WHEN _t.live THEN _t.p END").alias("src"),
-            F.expr("coalesce(_t.flags, 0)").alias("flags"),
-            *[F.expr(f"coalesce(_t.d{i}, 0L)").alias(f"d{i}") for i in range(3)],
-            F.col("_t.step").alias("paste_step"),
-            F.col("_t.i").alias("paste_i"),
-        )
+    ready = materialize(recipe.select("image_id", "block", once(prepared).alias("_ops")))
+    start = (
+        "named_struct('p', m, 'live', true, 'flags', 0, 'd0', 0L, 'd1', 0L, 'd2', 0L, "
+        "'step', cast(null as bigint), 'i', cast(null as bigint))"
+    )
+    state = grid.select("image_id", "m", "total", F.expr(start).alias("_t"))
+    last = ready.agg(F.max("block")).first()[0]
+    for b in range(-1 if last is None else int(last), -1, -1):
+        ops = ready.where(F.col("block") == b).select("image_id", "_ops")
+        state = state.join(ops, "image_id", "left").select("image_id", "m", "total", once(fold).alias("_t"))
+        if b > 0:
+            state = materialize(state)
+    return state.select(
+        "image_id",
+        "m",
+        F.expr("CASE WHEN _t.live THEN _t.p END").alias("src"),
+        F.col("_t.flags").alias("flags"),
+        *[F.col(f"_t.d{i}").alias(f"d{i}") for i in range(3)],
+        F.col("_t.step").alias("paste_step"),
+        F.col("_t.i").alias("paste_i"),
     )
 
 
@@ -111,7 +120,7 @@ def provenance(traced: DataFrame, empty: DataFrame, recipe: DataFrame) -> DataFr
     `empty`: image_id, m of original MCUs whose coefficients are all zero.
     """
     hollow = empty.select("image_id", F.col("m").alias("src"), F.lit(NO_DATA).alias("_e"))
-    auto = recipe.where("auto_color").select("image_id", F.lit(REENCODED).alias("_r"))
+    auto = recipe.where("auto_color").select("image_id").distinct().withColumn("_r", F.lit(REENCODED))
     return (
         traced.join(hollow, ["image_id", "src"], "left")
         .join(auto, "image_id", "left")

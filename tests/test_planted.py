@@ -5,8 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from mendframe.operators import carve as cv
+from mendframe.operators import donors as dn
 from mendframe.operators import edits as ed
 from mendframe.operators import grid as g
+from mendframe.operators import replay as rp
 from mendframe.operators import sessions as se
 from mendframe.operators.markers import _find_markers, marker_scan, marker_scan_chunks
 from mendframe.operators.salvage import salvage_read_through
@@ -170,6 +172,37 @@ def test_session_history_equals_replay(spark):
     assert got == want
 
 
+def test_long_recipe_in_blocks_equals_one_block(spark):
+    rnd = random.Random(6)
+    kinds = ["cdelta", "copy", "insert", "delete", "paste"]
+    rows = [
+        (i, k, "ops", True, rnd.choice(kinds), rnd.randrange(6), rnd.randrange(8), rnd.choice([0, 2]), rnd.randrange(1, 5), rnd.randrange(3), rnd.randrange(1, 3))
+        for i in range(2) for k in range(40)
+    ]
+    steps = spark.createDataFrame(
+        rows, "image_id long, step_no long, kind string, enabled boolean, op string, row long, col long, h long, w long, a long, b long"
+    )
+    grid = spark.range(3 * 64).selectExpr("id div 64 AS image_id", "id % 64 AS m", "64L AS total")
+    one = rp.trace(grid, rp.recipes(steps), 8).collect()
+    many = rp.trace(grid, rp.recipes(steps, block=7), 8).collect()
+    assert sorted(one, key=str) == sorted(many, key=str) and len(one) == 192
+
+
+def test_table_donors_equal_brute_force(spark):
+    rnd = random.Random(7)
+    own = [(f, "DQT", s, bytes([rnd.randrange(2)])) for f in range(20) for s in range(4) if rnd.random() < 0.8]
+    donor = [(d, "DQT", s, bytes([rnd.randrange(2)])) for d in range(30) for s in range(4) if rnd.random() < 0.8]
+    df = lambda rows, key: spark.createDataFrame([(a, b, c, bytearray(e)) for a, b, c, e in rows], f"{key} long, kind string, slot int, bytes binary")
+    got = {}
+    for r in dn.table_donors(df(own, "file_id"), df(donor, "donor_id"), k=3).collect():
+        got.setdefault(r.file_id, []).append((r["rank"], r.donor_id, r.matches))
+    for f in {o[0] for o in own}:
+        mine = {o[2:] for o in own if o[0] == f}
+        score = sorted((-len(mine & {d[2:] for d in donor if d[0] == i}), i) for i in range(30))
+        want = [(n + 1, i, -s) for n, (s, i) in enumerate([x for x in score if x[0] < 0][:3])]
+        assert sorted(got.get(f, [])) == want
+
+
 def test_regions_match_flood_fill(spark):
     rnd = random.Random(9)
     W, H = 16, 30
