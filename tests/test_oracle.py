@@ -46,3 +46,10 @@ def test_query(spark, con, name):
 def test_contract():
     assert set(oracle_sql()) <= set(queries())
     assert len(queries()) >= 120
+
+
+def test_entry(spark):
+    from __spark_entry__ import entry
+
+    rows = {r.verdict: r.n for r in entry(spark).collect()}
+    assert sum(rows.values()) == 200 and len(rows) == 6

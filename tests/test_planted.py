@@ -259,3 +259,33 @@ def test_plans_do_not_shuffle_file_bytes(spark):
     for df in (walk_status(files), triage(files), cv.embedded(files)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_scan_pushes_the_size_limit_and_reads_only_what_it_must(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.jpg").write_bytes(b"abc")
+    (tmp_path / "sub" / "b.JPEG.xyz").write_bytes(b"0123456789")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    df = sf.scan_files(spark, str(tmp_path), max_bytes=5)
+    got = {r.path.rsplit("/", 1)[1]: (r.size, r.content) for r in df.collect()}
+    assert got == {"a.jpg": (3, b"abc"), "b.JPEG.xyz": (10, None)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,5)" in plan and "GreaterThan(length,5)" in plan
+
+
+def test_pictures_and_reports_are_written(spark, tmp_path):
+    one = jpeg(16, 8)
+    parts = spark.createDataFrame([("base", 1, 7, 16, 8, bytearray(one))], "base string, rank long, off long, width int, height int, content binary")
+    sinks.write_parts(parts, str(tmp_path / "parts"))
+    assert (tmp_path / "parts" / "base_0001_16x8.jpg").read_bytes() == one
+    report = spark.sql(
+        """SELECT 'p.jpg' AS path, 9L AS size, 'ab' AS sha256, cast(null as string) AS donor_path, 0L AS splice_offset, cast(null as string) AS trailer,
+        array(named_struct('kind', 'ops', 'enabled', true, 'description', 'x')) AS steps, 4L AS total, 1L AS untouched, 3L AS moved, 0L AS dc, 0L AS pasted,
+        0L AS no_data, 0L AS reencoded, 'out/p.jpg' AS out_path, 8L AS out_bytes, 'cd' AS out_sha256, 16 AS width, 8 AS height, '2024' AS created"""
+    )
+    sinks.write_report(report, str(tmp_path / "reports"))
+    import json
+
+    got = json.loads((tmp_path / "reports" / "p.jpg.report.json").read_text())
+    assert got["mcus"]["moved"] == 3 and got["source"]["path"] == "p.jpg" and "donorHeader" not in got["source"]
+    assert "moved into place:       3 (75.0%)" in sinks.build_report(report).first().text
