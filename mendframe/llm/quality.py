@@ -34,7 +34,7 @@ def _kept_once(value: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text), with counts over its whole text beside the columns of `docs`.
+    """One row per row of `docs` (doc_id, text): the row as a struct `__row`, and counts over its whole text.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines
     with a word that equal an earlier line), n_repeat_words (words in windows of
@@ -42,9 +42,10 @@ def features(docs: DataFrame) -> DataFrame:
     rules use, in one struct column `q`. NULL texts have no words.
     """
     t = "__text"
-    base = docs.withColumn(t, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(
-        "__w", _kept_once(words(F.col(t)))
-    )
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t),
+    ).withColumn("__w", _kept_once(words(F.col(t))))
     n = F.size("__w")
     # Windows of three words as hashes with their place; equal hashes stand together once sorted.
     window = F.sort_array(
@@ -85,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count(t, F.lit(f"[.!?](?=[{SPACE_CLASS}]|\\z)")).alias("n_ends"),
         F.size(F.array_distinct("__w")).alias("n_distinct"),
     )
-    return base.select(*docs.columns, _kept_once(q).alias("q"))
+    return base.select("__row", _kept_once(q).alias("q"))
 
 
 def votes(q: str = "q") -> dict[str, Column]:
@@ -94,7 +95,7 @@ def votes(q: str = "q") -> dict[str, Column]:
     def c(name: str) -> Column:
         return F.col(f"{q}.{name}").cast("double")
 
-    n = F.when(c("n_words") > 0, c("n_words"))
+    n, chars = (F.when(c(name) > 0, c(name)) for name in ("n_words", "word_chars"))
 
     def low(value: Column, good: float, bad: float) -> Column:
         return F.when(value <= good, 1).when(value >= bad, 0)
@@ -105,14 +106,14 @@ def votes(q: str = "q") -> dict[str, Column]:
     ends, mean = c("n_ends") / n, c("word_chars") / n
     long = c("n_words") >= 50
     return {
-        "symbols": low(c("n_symbols") / c("word_chars"), 0.01, 0.05),
-        "capitals": low(c("n_upper") / c("word_chars"), 0.10, 0.30),
+        "symbols": low(c("n_symbols") / chars, 0.01, 0.05),
+        "capitals": low(c("n_upper") / chars, 0.10, 0.30),
         "repeats": low(c("n_repeat_words") / n, 0.10, 0.30),
         # Longer texts use a word again more often.
         "variety": high(c("n_distinct") / F.least(n, F.lit(400.0)), 0.50, 0.35),
         "sentences": F.when(ends.between(0.02, 0.35), 1).when(long & ((ends < 0.005) | (ends > 0.60)), 0),
         "shouts": low(c("n_shouts") / n, 0.05, 0.30),
-        "lines": F.when(c("n_lines") >= 5, low(c("n_dup_lines") / c("n_lines"), 0.10, 0.30)),
+        "lines": F.when(c("n_lines") >= 5, low(c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1.0)), 0.10, 0.30)),
         "word_length": F.when(mean.between(3, 9), 1).when((mean < 2) | (mean > 14), 0),
         "stop_words": F.when(long, high(c("n_stop"), 3, 0)),
     }
@@ -168,7 +169,8 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5, least_words: int = 50
     windows; such rows are not kept, and the others are when p_good, the
     posterior probability of being good, reaches `threshold`. Accuracies come from
     the votes on all rows, repeated ones counted each. NULL and empty texts fail.
-    An empty table gives an empty result.
+    An empty table gives an empty result. A column of `docs` that is called like
+    one of the four is replaced.
     """
     measured = features(docs)
     failed = (F.col("q.n_words") < least_words) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
@@ -177,9 +179,14 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5, least_words: int = 50
     voted = measured.select("*", *[v.alias(names[r]) for r, v in votes().items()])
     model = accuracies(voted)
     out = voted.withColumn("p_good", posterior(model))
-    return out.select(
-        *docs.columns, "q", "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept")
-    )
+    added = {
+        "q": F.col("q"),
+        "base_failed": F.col("base_failed"),
+        "p_good": F.col("p_good"),
+        "kept": ~F.col("base_failed") & (F.col("p_good") >= threshold),
+    }
+    old = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    return out.select(*old, *[value.alias(name) for name, value in added.items()])
 
 
 def digest(judged: DataFrame) -> DataFrame:
