@@ -66,4 +66,5 @@ VERDICTS = {
     "truncated": "truncated",
     "decode": "decode errors",
     "not_jpeg": "not a JPEG",
+    "unread": "not read",
 }

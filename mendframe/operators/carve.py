@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.functions import names
-from mendframe.functions.blocked import carried
+from mendframe.functions.blocked import blocked_row_number, carried
 from mendframe.functions.bytes import be16, cut, u32
 from mendframe.functions.lineage import materialize
 from mendframe.functions.once import once
@@ -106,22 +106,26 @@ def carve(
     chunks: DataFrame,
     key: str = "path",
     load: Callable[[DataFrame], DataFrame] | None = None,
-    min_length: int = 1024,
-    max_count: int = 1000,
-    reach: int = 8 << 20,
+    min_length: int = 0,
+    max_count: int | None = None,
+    reach: int = 1 << 20,
 ) -> DataFrame:
     """key, off, length, width, height, rank: every complete JPEG, not counting nested ones.
 
     `chunks`: key, start, length, total, content, where content holds the
     owned `length` bytes and some overlap. A picture that runs past its
-    chunk's bytes is continued by `load`, round after round with twice the
-    bytes, until none is left open; without `load` each chunk must be a whole
-    blob. The first `max_count` pictures of a blob in offset order are kept
-    and ranked largest first.
+    chunk's bytes is continued by `load`, `reach` bytes at a time, until none
+    is left open; without `load` each chunk must be a whole blob. Inside scan
+    data a walk goes on at the next marker that can end it, looked up in a table
+    of such markers, so the bytes between, or the rest of a blob behind a
+    truncated picture, are not read again. Pictures below `min_length` bytes are
+    dropped; with `max_count`, the first so many of a blob in offset order are
+    kept. They are ranked largest first.
     """
     walks = candidates(chunks, key)
     if load is not None:
         done = []
+        stops = materialize(scan_stops(chunks, key))
         walks = materialize(walks)
         while True:
             done.append(walks.where("status <> 0"))
@@ -129,8 +133,7 @@ def carve(
             if pending.isEmpty():
                 break
             # Only open walks travel; their number falls with every round.
-            walks = materialize(resume(pending.repartition(key, "off"), load, key, reach))
-            reach *= 2
+            walks = materialize(resume(at_next_stop(pending, stops, key).repartition(key, "off"), load, key, reach))
         walks = done[0]
         for part in done[1:]:
             walks = walks.unionByName(part)
@@ -143,15 +146,49 @@ def carve(
     ).where(F.col("end") - F.col("off") >= min_length)
     # One row per picture, needed several times below: the bytes are scanned once.
     outer = not_nested(materialize(found), key)
-    first = Window.partitionBy(key).orderBy("off")
-    largest = Window.partitionBy(key).orderBy(F.col("length").desc(), "off")
+    sized = materialize(outer.withColumn("length", F.col("end") - F.col("off")))
+    if max_count is not None:
+        numbered = blocked_row_number(sized, [key], ["off"], F.expr(f"off div {_BLOCK_BYTES}"), "_n")
+        sized = numbered.where(F.col("_n") < max_count)
+    sized = sized.withColumn("_smaller", -F.col("length"))
+    ranked = blocked_row_number(sized, [key], ["_smaller", "off"], F.expr("-(length div 16384)"), "_rank")
+    return ranked.select(key, "off", "length", "width", "height", (F.col("_rank") + 1).alias("rank"))
+
+
+def scan_stops(chunks: DataFrame, key: str) -> DataFrame:
+    """key, stop: where an FF starts a marker that is neither stuffing nor a restart, in the bytes a chunk owns.
+
+    Few rows: entropy-coded data holds almost only the others.
+    """
+    held = f"filter(markers, x -> x.code <> 0 AND NOT {names.is_rst('x.code')} AND x.off < length)"
     return (
-        outer.withColumn("length", F.col("end") - F.col("off"))
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= max_count)
-        .withColumn("rank", F.row_number().over(largest))
-        .select(key, "off", "length", "width", "height", "rank")
+        chunks.withColumn("markers", find_markers("content"))
+        .select(key, "start", F.explode(once(f"transform({held}, x -> x.off)")).alias("o"))
+        .select(key, (F.col("start") + F.col("o")).alias("stop"))
+    )
+
+
+def at_next_stop(pending: DataFrame, stops: DataFrame, key: str) -> DataFrame:
+    """Open walks moved to where they go on: those inside scan data to the next stop, or dropped without one."""
+    cols = pending.columns
+    at = F.col("base") + F.col("resume")
+    waiting = pending.where("in_scan").select(key, at.alias("pos"), F.struct(*cols).alias("walk"))
+    both = waiting.withColumn("stop", F.lit(None).cast("bigint")).unionByName(
+        stops.select(key, F.col("stop").alias("pos"), F.lit(None).cast(waiting.schema["walk"].dataType).alias("walk"), "stop")
+    )
+    seen = carried(both, [key], ["pos"], F.expr(f"pos div {_BLOCK_BYTES}"), F.col("stop"), "min", "next", backwards=True)
+    # Equal places: a stop right where the walk waits is its next one.
+    same = stops.select(key, F.col("stop").alias("_here"))
+    moved = (
+        seen.where("walk IS NOT NULL")
+        .join(same, (seen[key] == same[key]) & (F.col("pos") == F.col("_here")), "left")
+        .select("walk", F.coalesce("_here", "next").alias("go"))
+        .where("go IS NOT NULL")
+        .select("walk.*", "go")
+        .withColumn("resume", F.col("go") - F.col("base"))
+        .select(*cols)
     )
+    return pending.where("NOT in_scan").unionByName(moved)
 
 
 def not_nested(found: DataFrame, key: str) -> DataFrame:

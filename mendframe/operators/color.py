@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mendframe.functions.sizes import Size, size_columns
+
 CDELTA_LIMIT = 2047
 CLIPPED_SHARE = 0.01
 LARGE_DELTA = 60
@@ -179,33 +181,36 @@ def aspect_changed(sizes: DataFrame) -> DataFrame:
     )
 
 
-def patch_pixels(reference: DataFrame, rects: DataFrame, mcu_w: int, mcu_h: int, width: int, height: int) -> DataFrame:
+def patch_pixels(reference: DataFrame, rects: DataFrame, mcu_w: Size, mcu_h: Size, width: Size, height: Size) -> DataFrame:
     """image_id, rect_id, x, y, c0, c1, c2: reference pixels for MCU rectangles read at an MCU offset.
 
     `rects`: image_id, rect_id, row, col, rows, cols, d_row, d_col (in MCUs).
+    Sizes are numbers, or columns of `rects`.
     Reads past the reference repeat its edge. Coordinates of the patch start
     at 0; each output pixel looks up one reference pixel by an equi-join.
     """
     grid = (
-        rects.withColumn("x", F.explode(F.expr(f"sequence(0L, cols * {mcu_w} - 1L)")))
-        .withColumn("y", F.explode(F.expr(f"sequence(0L, rows * {mcu_h} - 1L)")))
+        rects.withColumn("x", F.explode(F.expr(f"sequence(0L, cast(cols * {mcu_w} as bigint) - 1L)")))
+        .withColumn("y", F.explode(F.expr(f"sequence(0L, cast(rows * {mcu_h} as bigint) - 1L)")))
         .select(
             "image_id", "rect_id", "x", "y",
-            F.expr(f"least(greatest((col + d_col) * {mcu_w} + x, 0), {width - 1})").alias("_sx"),
-            F.expr(f"least(greatest((row + d_row) * {mcu_h} + y, 0), {height - 1})").alias("_sy"),
+            F.expr(f"least(greatest((col + d_col) * {mcu_w} + x, 0), cast({width} as bigint) - 1)").alias("_sx"),
+            F.expr(f"least(greatest((row + d_row) * {mcu_h} + y, 0), cast({height} as bigint) - 1)").alias("_sy"),
         )
     )
     source = reference.select("image_id", F.col("x").alias("_sx"), F.col("y").alias("_sy"), *CHANNELS)
     return grid.join(source, ["image_id", "_sx", "_sy"]).select("image_id", "rect_id", "x", "y", *CHANNELS)
 
 
-def pad_edges(pixels: DataFrame, width: int, height: int, padded_width: int, padded_height: int) -> DataFrame:
+def pad_edges(pixels: DataFrame, width: Size, height: Size, padded_width: Size, padded_height: Size) -> DataFrame:
     """The picture grown to whole MCUs by repeating its last column and row.
 
-    Each edge pixel emits its own copies: no join and no shuffle.
+    Each edge pixel emits its own copies: no join and no shuffle. Sizes are
+    numbers, or columns of `pixels`.
     """
-    grow = lambda c, n, m: F.explode(F.expr(f"CASE WHEN {c} = {n - 1} THEN sequence({c}, {m - 1}L) ELSE array({c}) END"))
+    grow = lambda c, n, m: F.explode(F.expr(f"CASE WHEN {c} = {n} - 1 THEN sequence({c}, cast({m} as bigint) - 1L) ELSE array({c}) END"))
+    carry = size_columns(pixels, height, padded_height)
     return (
-        pixels.select("image_id", grow("x", width, padded_width).alias("x"), "y", *CHANNELS)
+        pixels.select("image_id", grow("x", width, padded_width).alias("x"), "y", *carry, *CHANNELS)
         .select("image_id", "x", grow("y", height, padded_height).alias("y"), *CHANNELS)
     )

@@ -15,11 +15,11 @@ from mendframe.operators.trailer import with_footer
 
 # What STOP/Djvu encrypts, and limits of the searches.
 ENCRYPTED_PREFIX = 150 * 1024
-MAX_SPLICE_POINTS = 12
-MAX_SIBLINGS_TRIED = 12
-MAX_SIBLING_BYTES = 64 << 20
 FULL_SCORE_MCUS = 200
 
+#: Over how many tasks the files of one folder, or of one set of tables, are spread in a join.
+SPREAD = 16
+
 
 def with_layout(files: DataFrame) -> DataFrame:
     """Adds `layout`: what a file's front matter says, up to its first scan header."""
@@ -118,7 +118,7 @@ def splice_points_expr(restart_interval: str, prefix: int) -> str:
 
 
 def splice_points(
-    files: DataFrame, restart_interval: int = 0, prefix: int = ENCRYPTED_PREFIX, limit: int = MAX_SPLICE_POINTS
+    files: DataFrame, restart_interval: int = 0, prefix: int = ENCRYPTED_PREFIX, limit: int | None = None
 ) -> DataFrame:
     """file_id, seq, off, reason, unavailable: where the surviving data may begin, best guess first.
 
@@ -133,7 +133,7 @@ def splice_points(
     return (
         with_boundary(files)
         .withColumn("_c", once(listed))
-        .select("file_id", F.posexplode(F.expr(f"slice({unique}, 1, {limit})")).alias("seq", "t"))
+        .select("file_id", F.posexplode(F.expr(unique if limit is None else f"slice({unique}, 1, {limit})")).alias("seq", "t"))
         .select("file_id", "seq", "t.*")
     )
 
@@ -177,14 +177,17 @@ def rank_donors(trials: DataFrame, donors: DataFrame, limit: int | None = None)
 
 
 def suggest_siblings(
-    files: DataFrame, tried: int = MAX_SIBLINGS_TRIED, max_bytes: int = MAX_SIBLING_BYTES
+    files: DataFrame, tried: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """file_id, donor_path, tried: the first usable donor in name order in each file's own folder.
-
-    A file's candidates are the first `tried` JPEGs of the folder other than
-    itself, so the folder's first `tried` + 1 serve every file in it: each
-    folder is reduced to that short list (a top-k window, limited before the
-    shuffle) and no pairs of files are formed.
+    """file_id, donor_path, position: the first usable donor in name order in each file's own folder.
+
+    The folder's two lowest usable paths serve every file in it, because only
+    one of them can be the file itself: each folder is reduced to those two by an
+    aggregate that combines before its shuffle, and files meet them spread over
+    `SPREAD` copies, so a folder of any size is many tasks. With `tried`, a
+    donor must be among the first so many JPEGs other than the file, and
+    position is its place among them. With `max_bytes`, larger files give no
+    header.
     """
     named = with_layout(files).select(
         "file_id",
@@ -196,21 +199,30 @@ def suggest_siblings(
     facts = donor_problem(named.select("file_id", "path", "size", "folder", "layout.*")).select(
         "file_id", "path", "size", "folder", F.col("donor_problem").isNull().alias("usable")
     )
-    eligible = facts.where(F.col("size") <= max_bytes).where("lower(path) RLIKE '\\\\.jpe?g$'")
-    short = (
-        eligible.withColumn("_n", F.row_number().over(Window.partitionBy("folder").orderBy("path")))
-        .where(F.col("_n") <= tried + 1)
-        .groupBy("folder")
-        .agg(F.expr("array_sort(collect_list(struct(_n, path, usable)))").alias("list"))
+    eligible = facts.where("lower(path) RLIKE '\\\\.jpe?g$'")
+    if max_bytes is not None:
+        eligible = eligible.where(F.col("size") <= max_bytes)
+    if tried is None:
+        eligible = eligible.where("usable")
+    most = 2 if tried is None else tried + 1
+    # Only the lowest paths of a folder leave a task.
+    low = eligible.groupBy("folder", F.spark_partition_id().alias("_task")).agg(
+        F.expr(f"slice(array_sort(collect_list(struct(path, usable))), 1, {most})").alias("list")
+    )
+    short = low.groupBy("folder").agg(F.expr(f"slice(array_sort(flatten(collect_list(list))), 1, {most})").alias("list"))
+    copies = short.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    own = facts.select("file_id", "path", "folder").withColumn("_copy", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int"))
+    return (
+        own.join(copies, ["folder", "_copy"])
+        .select("file_id", F.expr("filter(list, c -> c.path <> path)").alias("c"))
+        .select("file_id", F.expr("c" if tried is None else f"slice(c, 1, {tried})").alias("c"))
+        .select(
+            "file_id",
+            F.expr("get(filter(c, d -> d.usable), 0).path").alias("donor_path"),
+            F.expr("coalesce(array_position(transform(c, d -> d.usable), true), 0)").alias("position"),
+        )
+        .where("donor_path IS NOT NULL")
     )
-    return facts.select("file_id", "path", "folder").join(short, "folder").select(
-        "file_id",
-        F.expr(f"slice(filter(list, c -> c.path <> path), 1, {tried})").alias("c"),
-    ).select(
-        "file_id",
-        F.expr("get(filter(c, d -> d.usable), 0).path").alias("donor_path"),
-        F.expr("coalesce(array_position(transform(c, d -> d.usable), true), 0)").alias("position"),
-    ).where("donor_path IS NOT NULL")
 
 
 def candidate_widths(min_w: int, max_w: int, step: int, donor: tuple[int, int] = ()) -> list[int]:
@@ -219,31 +231,31 @@ def candidate_widths(min_w: int, max_w: int, step: int, donor: tuple[int, int] =
     return sorted(w for w in widths if 0 < w <= 65535)
 
 
-def detect_width(edges: DataFrame, widths: list[int], max_rows: int = 24, min_rows: int = 3) -> DataFrame:
+def detect_width(edges: DataFrame, widths: list[int], max_rows: int | None = None, min_rows: int = 3) -> DataFrame:
     """image_id, width, rows, cost, rank: how smoothly the MCU rows continue at each width (in MCUs).
 
     `edges`: image_id, m, top, bottom, inner: mean edge samples and inner
     contrast of each MCU, and `total` MCUs. The stream is the same at every
     width; only which MCU lies above changes. The cost is the mean step across
-    row borders over the mean inner contrast plus one, over the first
-    `max_rows` rows. Rows that no width can reach are dropped before anything
-    else, pairs meet by position, and sums combine before the shuffle.
+    row borders over the mean inner contrast plus one, over all rows or the
+    first `max_rows`. Pairs meet by position, and sums combine before the
+    shuffle.
     """
-    reach = max(widths) * max_rows
-    near = edges.where(F.col("m") < reach)
+    near = edges if max_rows is None else edges.where(F.col("m") < max(widths) * max_rows)
+    rows = "total div width" if max_rows is None else f"least({max_rows}, total div width)"
     ws = F.array(*[F.lit(w).cast("bigint") for w in widths])
     # total // w rows carry data at width w.
     below = near.select(
         "image_id", "m", "top", "inner", "total", F.explode(ws).alias("width")
     ).where(
-        f"m >= width AND m < width * least({max_rows}, total div width) AND least({max_rows}, total div width) >= {min_rows}"
+        f"m >= width AND m < width * ({rows}) AND ({rows}) >= {min_rows}"
     ).withColumn("above", F.col("m") - F.col("width"))
     above = near.select("image_id", F.col("m").alias("above"), "bottom")
     cost = (
         below.join(above, ["image_id", "above"])
         .groupBy("image_id", "width")
         .agg(
-            F.max(F.expr(f"least({max_rows}, total div width)")).alias("rows"),
+            F.max(F.expr(rows)).alias("rows"),
             F.sum(F.abs(F.col("top") - F.col("bottom"))).alias("_seam"),
             F.sum("inner").alias("_inner"),
             F.count(F.lit(1)).alias("_n"),

@@ -15,6 +15,7 @@ from mendframe.functions.blocked import BLOCK, blocked_row_number
 from mendframe.functions.bytes import cut, u8
 from mendframe.functions.lineage import materialize
 from mendframe.functions.once import once
+from mendframe.functions.sizes import Size
 
 STEP_LIMIT = 2047
 AC_LIMIT = 1023
@@ -43,12 +44,16 @@ def show_from(mcus: DataFrame, source: Column, payload: list[str], key: str = "i
     )
 
 
-def copy_blocks(mcus: DataFrame, d_row: int, d_col: int, scope: Column, width: int, payload: list[str]) -> DataFrame:
-    """MCUs in scope take what lies (d_row, d_col) away; a source outside the grid leaves them as they are."""
+def copy_blocks(mcus: DataFrame, d_row: int, d_col: int, scope: Column, width: Size, payload: list[str]) -> DataFrame:
+    """MCUs in scope take what lies (d_row, d_col) away; a source outside the grid leaves them as they are.
+
+    `width` is a number, or a column of `mcus`.
+    """
     if d_row == 0 and d_col == 0:
         raise ValueError("a copy needs an offset")
-    inside = (F.col("col") + d_col >= 0) & (F.col("col") + d_col < width) & (F.col("row") + d_row >= 0)
-    return show_from(mcus, F.when(scope & inside, F.col("m") + d_row * width + d_col).otherwise(F.col("m")), payload)
+    wide = F.expr(f"cast({width} as bigint)")
+    inside = (F.col("col") + d_col >= 0) & (F.col("col") + d_col < wide) & (F.col("row") + d_row >= 0)
+    return show_from(mcus, F.when(scope & inside, F.col("m") + d_row * wide + d_col).otherwise(F.col("m")), payload)
 
 
 def insert_source(n: int | str, at: int | str, pos: str = "m") -> Column:
@@ -214,6 +219,8 @@ def changed_rows(before: DataFrame, after: DataFrame, payload: list[str]) -> Dat
 def apply_byte_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """file_id, content, error: each file after its ordered edits.
 
+    Files without edits come back as they are.
+
     `edits`: file_id, edit_no, kind, offset, bit, count, data. Offsets refer to
     the result of the edit before. deleteBytes, insertBytes, flipBit and
     truncate are byte operations; an edit outside the file stops the list with
@@ -240,7 +247,7 @@ def apply_byte_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
         ELSE concat({cut(b, '0', 'e.offset')}, X'FFD9') END, 'error', cast(null as string)) END"""
     fold = f"aggregate(_e, named_struct('b', content, 'error', cast(null as string)), (s, e) -> {step})"
     return (
-        files.join(listed, "file_id")
-        .withColumn("_r", once(fold))
+        files.join(listed, "file_id", "left")
+        .withColumn("_r", once(f"CASE WHEN _e IS NULL THEN named_struct('b', content, 'error', cast(null as string)) ELSE {fold} END"))
         .select("file_id", F.col("_r.b").alias("content"), F.col("_r.error").alias("error"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.functions.lineage import materialize
+from mendframe.functions.sizes import Size, pixel_sizes
 
 # Fixed values of the fit.
 BAND = 64
@@ -102,29 +103,39 @@ def find_drift(original: DataFrame, answer: DataFrame, mask: DataFrame, judged:
     return _best(fine, "_sx", "_sy", 1.0)
 
 
-def _shifted(answer: DataFrame, points: DataFrame, drift: DataFrame, width: int, height: int) -> DataFrame:
-    """`points` (image_id, x, y, ...) with a0..a2, the answer read at the drift, edges repeated."""
+def _shifted(answer: DataFrame, points: DataFrame, drift: DataFrame, width: Size, height: Size) -> DataFrame:
+    """`points` (image_id, x, y, ...) with a0..a2, the answer read at the drift, edges repeated.
+
+    Sizes are numbers, or columns of `drift`.
+    """
     at = points.join(drift, "image_id").select(
         *[F.col(c) for c in points.columns],
-        F.expr(f"least(greatest(x + dx, 0), {width - 1})").alias("_ax"),
-        F.expr(f"least(greatest(y + dy, 0), {height - 1})").alias("_ay"),
+        F.expr(f"least(greatest(x + dx, 0), cast({width} as bigint) - 1)").alias("_ax"),
+        F.expr(f"least(greatest(y + dy, 0), cast({height} as bigint) - 1)").alias("_ay"),
     )
     src = answer.select("image_id", F.col("x").alias("_ax"), F.col("y").alias("_ay"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(3)])
     return at.join(src, ["image_id", "_ax", "_ay"]).drop("_ax", "_ay")
 
 
-def register_grids(original: DataFrame, answer: DataFrame, mask: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+def register_grids(original: DataFrame, answer: DataFrame, mask: DataFrame, width: int | None = None, height: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(fit, registered): drift, gain and offset per channel and residual per image, and the answer moved back.
 
     The fit is judged on real picture near the hole, so a tint or a move of
     the redrawn window is undone without looking at what was drawn in it.
-    Images with fewer than 64 such pixels are left out.
+    An image with fewer than 64 such pixels gets the answer as it is: no drift,
+    gain 1, offset 0, and a NULL residual that says so. Without sizes every picture
+    has those of its own pixels.
     """
+    images = original.select("image_id").distinct()
+    if width is None or height is None:
+        images = materialize(pixel_sizes(original))
+        width, height = "_width", "_height"
+    sizes = [c for c in images.columns if c != "image_id"]
     judged = _judged(original, mask)
     usable = judged.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 64").select("image_id")
     judged = materialize(judged.join(usable, "image_id", "left_semi"))
     drift = materialize(find_drift(original, answer, mask, judged))
-    seen = _shifted(answer, judged, drift, width, height)
+    seen = _shifted(answer, judged, drift.join(images, "image_id"), width, height)
     sums = seen.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n"),
         *[
@@ -156,23 +167,28 @@ def register_grids(original: DataFrame, answer: DataFrame, mask: DataFrame, widt
         .join(residual, "image_id")
         .select("image_id", "dx", "dy", *[f"gain{i}" for i in range(3)], *[f"offset{i}" for i in range(3)], F.expr("_r / 3").alias("residual"))
     )
-    everywhere = _shifted(answer, original.select("image_id", "x", "y"), drift, width, height)
-    registered = everywhere.join(gains, "image_id").select(
+    identity = {"dx": 0, "dy": 0} | {f"gain{i}": 1.0 for i in range(3)} | {f"offset{i}": 0.0 for i in range(3)}
+    fit = materialize(images.join(fit, "image_id", "left").fillna(identity))
+    everywhere = _shifted(answer, original.select("image_id", "x", "y"), fit.select("image_id", "dx", "dy", *sizes), width, height)
+    registered = everywhere.join(fit, "image_id").select(
         "image_id", "x", "y", *[F.expr(fixed(i)).alias(f"c{i}") for i in range(3)]
     )
-    return fit, registered
+    return fit.drop(*sizes), registered
 
 
-def fill_differences(original: DataFrame, answer: DataFrame, mask: DataFrame, width: int, height: int) -> DataFrame:
+def fill_differences(original: DataFrame, answer: DataFrame, mask: DataFrame) -> DataFrame:
     """image_id, x, y, c0, c1, c2: the answer with the difference to the original carried smoothly into the hole.
 
     Differences known outside the hole are averaged into ever coarser levels
     (pull) and what a level does not know is read from the next one by
     bilinear interpolation (push): log2(size) rounds of grouped averages and
     neighbour joins on single pixels. Images without a hole or without any
-    known pixel are returned as they are.
+    known pixel are returned as they are. Each picture has the size of its own
+    pixels; a smaller one is done levels earlier and stays a single pixel.
     """
     key = ["image_id", "x", "y"]
+    frame = materialize(pixel_sizes(original))
+    largest = frame.agg(F.greatest(F.max("_width"), F.max("_height"))).first()[0] or 1
     diff = original.select(*key, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(CHANNELS)]).join(answer, key)
     hole = mask.select(*key, F.lit(True).alias("_hole"))
     flagged = diff.join(hole, key, "left")
@@ -181,9 +197,9 @@ def fill_differences(original: DataFrame, answer: DataFrame, mask: DataFrame, wi
         *[F.expr(f"CASE WHEN _hole THEN 0D ELSE cast(_o{i} - c{i} as double) END").alias(f"v{i}") for i in range(3)],
         F.expr("CASE WHEN _hole THEN 0D ELSE 1D END").alias("wt"),
     )
-    levels, sizes = [materialize(base)], [(width, height)]
-    while sizes[-1] != (1, 1):
-        w, h = sizes[-1]
+    levels, side = [materialize(base)], largest
+    while side > 1:
+        side = (side + 1) // 2
         up = (
             levels[-1]
             .groupBy("image_id", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y"))
@@ -195,21 +211,21 @@ def fill_differences(original: DataFrame, answer: DataFrame, mask: DataFrame, wi
             )
         )
         levels.append(materialize(up))
-        sizes.append(((w + 1) // 2, (h + 1) // 2))
     above = levels[-1]
     for k in range(len(levels) - 2, -1, -1):
-        cw, ch = sizes[k + 1]
-        pos = lambda c, n: f"least(greatest(({c} + 0.5D) / 2 - 0.5D, 0D), {n - 1}D)"
+        # A side of n pixels has ceil(n / 2^j) of them j levels up.
+        cw, ch = (f"(({n} + {2 ** (k + 1) - 1}) div {2 ** (k + 1)})" for n in ("_width", "_height"))
+        pos = lambda c, n: f"least(greatest(({c} + 0.5D) / 2 - 0.5D, 0D), {n} - 1D)"
         fine = levels[k]
-        need = fine.where("wt < 1").select(
-            *key, "wt", *[f"v{i}" for i in range(3)], F.expr(pos("x", cw)).alias("_fx"), F.expr(pos("y", ch)).alias("_fy")
+        need = fine.where("wt < 1").join(frame, "image_id").select(
+            *key, "wt", F.expr(cw).alias("_cw"), F.expr(ch).alias("_ch"), *[f"v{i}" for i in range(3)], F.expr(pos("x", cw)).alias("_fx"), F.expr(pos("y", ch)).alias("_fy")
         )
         corners = need.select(
             *key,
             F.explode(
                 F.expr(
                     f"""transform(array(0, 1, 2, 3), j -> named_struct(
-                    'cx', least(cast(floor(_fx) as bigint) + j % 2, {cw - 1}L), 'cy', least(cast(floor(_fy) as bigint) + j div 2, {ch - 1}L),
+                    'cx', least(cast(floor(_fx) as bigint) + j % 2, _cw - 1L), 'cy', least(cast(floor(_fy) as bigint) + j div 2, _ch - 1L),
                     'p', (CASE WHEN j % 2 = 0 THEN 1 - (_fx - floor(_fx)) ELSE _fx - floor(_fx) END)
                        * (CASE WHEN j < 2 THEN 1 - (_fy - floor(_fy)) ELSE _fy - floor(_fy) END)))"""
                 )

@@ -9,6 +9,7 @@ from mendframe.functions.blocked import BLOCK, carried
 from mendframe.functions.dct import EDGES, edge_expr
 from mendframe.functions.lineage import materialize
 from mendframe.functions.once import once
+from mendframe.functions.sizes import Size, size_columns
 from mendframe.functions.stats import upper_median
 
 THRESHOLD = 0.5
@@ -30,18 +31,19 @@ def _step(order: str, along: str, cols: list[str]) -> list[Column]:
 
 
 def damage_score(
-    pixels: DataFrame, width: int, height: int, mcu_w: int, mcu_h: int, mcus: DataFrame | None = None
+    pixels: DataFrame, width: Size, height: Size, mcu_w: Size, mcu_h: Size, mcus: DataFrame | None = None
 ) -> DataFrame:
     """image_id, m, score: how badly each MCU meets the ones above and to the left of it.
 
     The step across the top and left edges (luma plus half the chroma) is
     compared with the steps inside the MCU. MCUs the map calls anomalous score
-    1. Neighbours come from windows over single pixel rows and columns, so
-    a large picture is spread over its rows.
+    1. Sizes are numbers, or columns of `pixels`. Neighbours come from windows
+    over single pixel rows and columns, so a large picture is spread over its
+    rows.
     """
     chans = ["c0", "c1", "c2"]
     df = pixels.select("*", *_step("x", "y", chans)).select("*", *_step("y", "x", chans))
-    cols = -(-width // mcu_w)
+    cols = f"(({width} + {mcu_w} - 1) div {mcu_w})"
     df = df.select(
         "*",
         F.expr(f"y div {mcu_h}").alias("_r"),
@@ -92,23 +94,30 @@ def next_damaged(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def auto_align(mcus: DataFrame, starts: DataFrame, width: int, max_shift: int) -> DataFrame:
+def auto_align(mcus: DataFrame, starts: DataFrame, width: Size, max_shift: Size) -> DataFrame:
     """image_id, shift, offset_y, offset_cb, offset_cr, cost, rank: which shift re-aligns the stream.
 
     At shift k, position p of the row that begins at `start` shows p - k and
     is compared with p - width. The cost is the spread of the difference, so
-    a plain offset costs nothing; it is reported instead. Every comparison is
-    found by (image_id, m), and sums combine before they shuffle.
+    a plain offset costs nothing; it is reported instead. `width` is a number or
+    a column of both tables, `max_shift` one of `starts`. Only the MCUs that a
+    start can reach are kept before anything meets by (image_id, m), and sums
+    combine before they shuffle.
     """
     chans = ["y", "cb", "cr"]
+    begin = starts.withColumn("_w", F.expr(f"cast({width} as bigint)")).withColumn("_most", F.expr(f"cast({max_shift} as bigint)"))
+    begin = begin.where("start >= _w").select("image_id", "start", "_w", "_most")
+    reach = begin.groupBy("image_id").agg(
+        F.expr("min(start - greatest(_w, _most))").alias("_lo"), F.expr("max(start + _w + _most)").alias("_hi")
+    )
+    mcus = mcus.join(reach, "image_id").where("m BETWEEN _lo AND _hi")
     pairs = (
-        starts.where(F.col("start") >= width)
-        .withColumn("p", F.explode(F.expr(f"sequence(start, start + {width - 1})")))
-        .withColumn("shift", F.explode(F.expr(f"sequence({-max_shift}L, {max_shift}L)")))
+        begin.withColumn("p", F.explode(F.expr("sequence(start, start + _w - 1)")))
+        .withColumn("shift", F.explode(F.expr("sequence(-_most, _most)")))
         .select("image_id", "p", "shift", (F.col("p") - F.col("shift")).alias("m"))
     )
     # p itself must exist too.
-    above = mcus.select("image_id", (F.col("m") + width).alias("p"), *[F.col(c).alias(f"_a{c}") for c in chans])
+    above = mcus.select("image_id", F.expr(f"m + ({width})").alias("p"), *[F.col(c).alias(f"_a{c}") for c in chans])
     here = mcus.select("image_id", F.col("m").alias("p"))
     shown = mcus.select("image_id", "m", *chans)
     diff = lambda c: F.col(c) - F.col(f"_a{c}")
@@ -175,13 +184,18 @@ def estimate_dc(edges: DataFrame, mask: DataFrame, quant: DataFrame) -> DataFram
     )
 
 
-def row_continuity(pixels: DataFrame, height: int, mcu_h: int, rows: int) -> DataFrame:
-    """image_id, cost: the step across MCU row borders over the step just below them; 1e9 when there is none."""
+def row_continuity(pixels: DataFrame, height: Size, mcu_h: Size, rows: Size) -> DataFrame:
+    """image_id, cost: the step across MCU row borders over the step just below them; 1e9 when there is none.
+
+    Sizes are numbers, or columns of `pixels`.
+    """
     w = Window.partitionBy("image_id", "x").orderBy("y")
     border = F.expr(f"y % {mcu_h} = 0 AND y > 0 AND y < {rows} * {mcu_h}")
     up = F.when(F.lag("y").over(w) == F.col("y") - 1, F.abs(F.col("c0") - F.lag("c0").over(w)))
     down = F.when(F.lead("y").over(w) == F.col("y") + 1, F.abs(F.lead("c0").over(w) - F.col("c0")))
-    df = pixels.where(F.col("y") <= rows * mcu_h).select("image_id", "y", up.alias("_u"), down.alias("_d"))
+    near = pixels.where(F.expr(f"y <= {rows} * {mcu_h}"))
+    df = near.select("image_id", up.alias("_u"), down.alias("_d"), border.alias("_border"))
+    border = F.col("_border")
     sums = df.groupBy("image_id").agg(
         F.avg(F.when(border, F.col("_u"))).alias("_seam"), F.avg(F.when(border, F.col("_d"))).alias("_inner")
     )
@@ -209,21 +223,25 @@ def scope_mask(
     return F.expr(tests[kind])
 
 
-def selection_runs(mask: DataFrame) -> DataFrame:
-    """image_id, row, c0, c1: maximal horizontal runs of selected MCUs."""
+def selection_runs(mask: DataFrame, *sizes: Size) -> DataFrame:
+    """image_id, row, c0, c1: maximal horizontal runs of selected MCUs, and the columns that `sizes` mention."""
     w = Window.partitionBy("image_id", "row").orderBy("col")
+    carry = size_columns(mask, *sizes)
     return (
-        mask.select("image_id", "row", "col", (F.col("col") - F.row_number().over(w)).alias("_g"))
-        .groupBy("image_id", "row", "_g")
+        mask.select("image_id", "row", "col", *carry, (F.col("col") - F.row_number().over(w)).alias("_g"))
+        .groupBy("image_id", "row", "_g", *carry)
         .agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
         .drop("_g")
     )
 
 
-def selection_rects(mask: DataFrame, mcu_w: int, mcu_h: int, width: int, height: int) -> DataFrame:
-    """image_id, x, y, w, h: the selection as pixel rectangles, one per run, clipped to the picture."""
+def selection_rects(mask: DataFrame, mcu_w: Size, mcu_h: Size, width: Size, height: Size) -> DataFrame:
+    """image_id, x, y, w, h: the selection as pixel rectangles, one per run, clipped to the picture.
+
+    Sizes are numbers, or columns of `mask`.
+    """
     return (
-        selection_runs(mask)
+        selection_runs(mask, mcu_w, mcu_h, width, height)
         .select(
             "image_id",
             F.expr(f"c0 * {mcu_w}").alias("x"),
@@ -235,15 +253,16 @@ def selection_rects(mask: DataFrame, mcu_w: int, mcu_h: int, width: int, height:
     )
 
 
-def regions(mask: DataFrame, width: int) -> DataFrame:
+def regions(mask: DataFrame, width: Size) -> DataFrame:
     """image_id, region, r0, c0, r1, c1, mcus: 8-connected parts of the selection, in scan order.
 
     Labels spread over runs, not MCUs: every round takes the smallest label of
     the touching runs and then the label of that label, so the rounds grow
     with the logarithm of a region's length. Each round is materialised.
+    `width` is a number, or a column of `mask`.
     """
     nodes = materialize(
-        selection_runs(mask).withColumn("id", F.col("row") * width + F.col("c0"))
+        selection_runs(mask, width).withColumn("id", F.expr(f"row * ({width}) + c0")).select("image_id", "row", "c0", "c1", "id")
     )
     a, b = nodes.alias("a"), nodes.alias("b")
     touch = (
@@ -304,14 +323,15 @@ def fringe(max_h: int, max_v: int) -> int:
     return max(2, max_h, max_v)
 
 
-def dilate(mask: DataFrame, by: int, width: int, height: int) -> DataFrame:
-    """image_id, x, y: the mask grown by `by` pixels each way, first across, then down."""
-    across = mask.select(
-        "image_id", "y", F.explode(F.expr(f"sequence(greatest(x - {by}, 0), least(x + {by}, {width - 1}))")).alias("x")
-    ).distinct()
-    return across.select(
-        "image_id", "x", F.explode(F.expr(f"sequence(greatest(y - {by}, 0), least(y + {by}, {height - 1}))")).alias("y")
-    ).distinct()
+def dilate(mask: DataFrame, by: int, width: Size, height: Size) -> DataFrame:
+    """image_id, x, y: the mask grown by `by` pixels each way, first across, then down.
+
+    Sizes are numbers, or columns of `mask`.
+    """
+    grown = lambda c, n: F.explode(F.expr(f"sequence(greatest({c} - {by}, 0), least({c} + {by}, cast({n} as bigint) - 1))"))
+    carry = size_columns(mask, height)
+    across = mask.select("image_id", "y", *carry, grown("x", width).alias("x")).distinct()
+    return across.select("image_id", "x", grown("y", height).alias("y")).distinct()
 
 
 def combine_masks(kept: DataFrame, run: DataFrame, subtract: bool = False) -> DataFrame:

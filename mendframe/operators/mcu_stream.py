@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendframe.functions.sizes import Size
 from mendframe.functions.blocked import at_offset, carried, with_halo
 from mendframe.functions.bytes import cut, latin1
 from mendframe.functions.names import ANOMALY_BITS
@@ -83,24 +84,32 @@ def resync_candidates(points: DataFrame, max_bits: int = 64, max_bytes: int = 20
     return at_start.unionByName(whole)
 
 
-def expected_dc(mcus: DataFrame, width: int, value: str = "y") -> DataFrame:
+def expected_dc(mcus: DataFrame, width: Size, value: str = "y") -> DataFrame:
     """Adds `expected`: the value an MCU should have, judged from untouched MCUs before `m0`.
 
     Carried on from the two rows above, else the row above, else from the two
-    MCUs to the left. `m0` is a column. Neighbours are read inside blocks with
-    a halo of two rows, so a long image is many short windows.
+    MCUs to the left. `m0` is a column; `width` is a number, or a column of
+    `mcus`. With one width for all, neighbours are read inside blocks with a
+    halo of two rows, so a long image is many short windows; with one per
+    image they are equi-joins on (image_id, m).
     """
     cols = mcus.columns
-    near = with_halo(mcus, ["image_id"], "m", before=2 * width)
-    v = lambda k: at_offset(value, ["image_id"], "m", -k)
-    df = near.select(
-        "*", v(width).alias("_u1"), v(2 * width).alias("_u2"), v(1).alias("_l1"), v(2).alias("_l2")
-    ).where("_own")
+    if isinstance(width, int):
+        near = with_halo(mcus, ["image_id"], "m", before=2 * width)
+        v = lambda k: at_offset(value, ["image_id"], "m", -k)
+        df = near.select(
+            "*", v(width).alias("_u1"), v(2 * width).alias("_u2"), v(1).alias("_l1"), v(2).alias("_l2")
+        ).where("_own")
+    else:
+        df = mcus
+        for name, back in (("_u1", f"({width})"), ("_u2", f"2 * ({width})"), ("_l1", "1"), ("_l2", "2")):
+            there = mcus.select("image_id", F.expr(f"m + {back}").alias("m"), F.col(value).alias(name))
+            df = df.join(there, ["image_id", "m"], "left")
     return df.select(
         *cols,
         F.expr(
-            f"""CASE WHEN m - 2 * {width} >= 0 AND m - {width} < m0 THEN 2 * _u1 - _u2
-            WHEN m - {width} >= 0 AND m - {width} < m0 THEN _u1
+            f"""CASE WHEN m - 2 * ({width}) >= 0 AND m - ({width}) < m0 THEN 2 * _u1 - _u2
+            WHEN m - ({width}) >= 0 AND m - ({width}) < m0 THEN _u1
             WHEN m - 2 >= 0 AND m - 1 < m0 THEN 2 * _l1 - _l2 END"""
         ).alias("expected"),
     )

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mendframe.functions.blocked import blocked_row_number
 from mendframe.functions.lineage import materialize
 from mendframe.functions.once import once
+from mendframe.functions.sizes import Size
 
 # Flags of a traced MCU.
 MOVED, DC, PASTED, NO_DATA, REENCODED = 1, 2, 4, 0x40, 0x80
@@ -21,48 +23,68 @@ RECIPE_BLOCK = 1024
 
 
 def recipes(steps: DataFrame, block: int = RECIPE_BLOCK) -> DataFrame:
-    """image_id, block, ops, auto_color: enabled coefficient steps in list order, in blocks of `block` step numbers.
+    """image_id, block, ops, auto_color: enabled coefficient steps in list order, in blocks of `block` steps.
 
     `steps`: image_id, step_no, kind (ops, bytes, autoColor), enabled, op, row,
-    col, h, w, a, b. Byte steps act on the file before anything is decoded and
-    are not part of this list. h = 0 makes the scope a run of w MCUs (0 = to
-    the end).
+    col, h, w, a, b and, where there are mask scopes, mask: one byte per MCU,
+    00 outside. Byte steps act on the file before anything is decoded and are
+    not part of this list. h = 0 makes the scope a run of w MCUs (0 = to
+    the end). Step numbers may have any gaps: blocks count steps.
     """
-    return steps.where("enabled").groupBy("image_id", F.expr(f"step_no div {block}").alias("block")).agg(
-        F.expr("array_sort(collect_list(CASE WHEN kind = 'ops' THEN struct(step_no, op, row, col, h, w, a, b) END))").alias("ops"),
+    if "mask" not in steps.columns:
+        steps = steps.withColumn("mask", F.lit(None).cast("binary"))
+    numbered = blocked_row_number(
+        steps.where("enabled"), ["image_id"], ["step_no"], F.expr(f"step_no div {16 * block}"), "_place"
+    )
+    return numbered.groupBy("image_id", F.expr(f"_place div {block}").alias("block")).agg(
+        F.expr("array_sort(collect_list(CASE WHEN kind = 'ops' THEN struct(step_no, op, row, col, h, w, a, b, mask) END))").alias("ops"),
         F.expr("bool_or(kind = 'autoColor')").alias("auto_color"),
     )
 
 
-def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
+def trace(grid: DataFrame, recipe: DataFrame, width: Size, units: int = 1) -> DataFrame:
     """image_id, m, src, flags, d0, d1, d2, paste_step, paste_i.
 
     `src` is the original position shown at m, NULL for pasted content (then
     paste_step and paste_i say which); d0..d2 are the DC offsets added on the
-    way. `grid`: image_id, m, total.
+    way. `grid`: image_id, m, total, and `width`, if it is a column. With
+    `units` blocks per MCU the positions m and total count blocks, and unit
+    operations (a blocks at block b of the MCU at row, col) can be traced;
+    without, they are an error, as is any unknown operation.
 
     Once per image each step gets the range of positions it can touch, so that
     a position only looks closely at the few steps that may concern it. A
     recipe longer than one block is folded block by block, the last one first,
     so that no array grows with it.
     """
-    at = f"(o.row * {width} + o.col)"
+    u = units
+    single = "o.op IN ('unitInsert', 'unitDelete')"
+    at = f"((o.row * _w + o.col) * {u} + CASE WHEN {single} THEN o.b ELSE 0 END)"
+    long = f"(o.a * CASE WHEN {single} THEN 1 ELSE {u} END)"
     end = "9223372036854775807L"
-    lo = f"CASE o.op WHEN 'insert' THEN {at} + o.a ELSE {at} END"
-    hi = f"""CASE WHEN o.op = 'paste' THEN {at} + o.a WHEN o.op IN ('insert', 'delete') THEN {end}
-        WHEN o.h > 0 THEN {at} + (o.h - 1) * {width} + o.w WHEN o.w > 0 THEN {at} + o.w ELSE {end} END"""
-    code = "CASE o.op WHEN 'cdelta' THEN 0 WHEN 'copy' THEN 1 WHEN 'insert' THEN 2 WHEN 'delete' THEN 3 ELSE 4 END"
-    prepared = f"""transform(reverse(ops), o -> named_struct('code', {code}, 'lo', cast({lo} as bigint), 'hi', cast({hi} as bigint),
-        'c0', CASE WHEN o.h > 0 THEN cast(o.col as bigint) ELSE 0L END, 'c1', CASE WHEN o.h > 0 THEN cast(o.col + o.w as bigint) ELSE {width}L END,
-        'a', cast(o.a as bigint), 'b', cast(o.b as bigint), 'step', cast(o.step_no as bigint)))"""
+    lo = f"CASE WHEN o.op IN ('insert', 'unitInsert') THEN {at} + {long} WHEN o.mask IS NOT NULL THEN 0L ELSE {at} END"
+    hi = f"""CASE WHEN o.op = 'paste' THEN {at} + {long} WHEN o.op IN ('insert', 'delete', 'unitInsert', 'unitDelete') THEN {end}
+        WHEN o.mask IS NOT NULL THEN cast(length(o.mask) as bigint) * {u}
+        WHEN o.h > 0 THEN {at} + ((o.h - 1) * _w + o.w) * {u} WHEN o.w > 0 THEN {at} + o.w * {u} ELSE {end} END"""
+    unit_code = "raise_error(concat('operation on single blocks needs a grid of blocks: ', o.op))"
+    code = f"""CASE WHEN o.op = 'cdelta' THEN 0 WHEN o.op = 'copy' THEN 1 WHEN o.op = 'insert' THEN 2 WHEN o.op = 'delete' THEN 3
+        WHEN o.op = 'paste' THEN 4 WHEN o.op = 'unitInsert' THEN {2 if u > 1 else unit_code} WHEN o.op = 'unitDelete' THEN {3 if u > 1 else unit_code}
+        ELSE raise_error(concat('unknown operation: ', o.op)) END"""
+    prepared = f"""transform(reverse(ops), o -> named_struct('code', cast({code} as int), 'lo', cast({lo} as bigint), 'hi', cast({hi} as bigint),
+        'c0', CASE WHEN o.h > 0 AND o.mask IS NULL THEN cast(o.col as bigint) ELSE 0L END,
+        'c1', CASE WHEN o.h > 0 AND o.mask IS NULL THEN cast(o.col + o.w as bigint) ELSE cast(_w as bigint) END,
+        'a', cast(CASE WHEN o.op IN ('insert', 'delete', 'unitInsert', 'unitDelete') THEN {long} ELSE o.a END as bigint),
+        'b', cast(o.b as bigint), 'step', cast(o.step_no as bigint), 'mask', o.mask))"""
 
     def st(**over):
         fields = ["p", "live", "flags", "d0", "d1", "d2", "step", "i"]
         return "named_struct(" + ", ".join(f"'{f}', {over.get(f, 's.' + f)}" for f in fields) + ")"
 
-    target = f"s.p + o.a * {width} + o.b"
-    in_scope = f"s.p % {width} >= o.c0 AND s.p % {width} < o.c1"
-    in_grid = f"s.p % {width} + o.b BETWEEN 0 AND {width - 1} AND {target} >= 0 AND {target} < total"
+    target = f"s.p + (o.a * _w + o.b) * {u}"
+    col = f"(s.p div {u}) % _w"
+    inside = f"(o.mask IS NULL OR substring(o.mask, cast(s.p div {u} as int) + 1, 1) <> X'00')"
+    in_scope = f"{col} >= o.c0 AND {col} < o.c1 AND {inside}"
+    in_grid = f"{col} + o.b BETWEEN 0 AND _w - 1 AND {target} >= 0 AND {target} < total"
     fold = f"""aggregate(coalesce(_ops, array()), _t, (s, o) -> CASE
       WHEN s.p < o.lo OR s.p >= o.hi OR NOT s.live THEN s
       WHEN o.code = 2 THEN {st(p='s.p - o.a', flags=f's.flags | {MOVED}')}
@@ -73,16 +95,21 @@ def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
                                d1='s.d1 + CASE WHEN o.a = 1 THEN o.b ELSE 0 END', d2='s.d2 + CASE WHEN o.a = 2 THEN o.b ELSE 0 END')}
       WHEN {in_grid} THEN {st(p=target, flags=f's.flags | {MOVED}')}
       ELSE s END)"""
-    ready = materialize(recipe.select("image_id", "block", once(prepared).alias("_ops")))
+    wide = F.expr(f"cast({width} as bigint)")
+    if isinstance(width, int):
+        sized = recipe.withColumn("_w", wide)
+    else:
+        sized = recipe.join(grid.groupBy("image_id").agg(F.max(wide).alias("_w")), "image_id")
+    ready = materialize(sized.select("image_id", "block", once(prepared).alias("_ops")))
     start = (
         "named_struct('p', m, 'live', true, 'flags', 0, 'd0', 0L, 'd1', 0L, 'd2', 0L, "
         "'step', cast(null as bigint), 'i', cast(null as bigint))"
     )
-    state = grid.select("image_id", "m", "total", F.expr(start).alias("_t"))
+    state = grid.select("image_id", "m", "total", wide.alias("_w"), F.expr(start).alias("_t"))
     last = ready.agg(F.max("block")).first()[0]
     for b in range(-1 if last is None else int(last), -1, -1):
         ops = ready.where(F.col("block") == b).select("image_id", "_ops")
-        state = state.join(ops, "image_id", "left").select("image_id", "m", "total", once(fold).alias("_t"))
+        state = state.join(ops, "image_id", "left").select("image_id", "m", "total", "_w", once(fold).alias("_t"))
         if b > 0:
             state = materialize(state)
     return state.select(
@@ -96,13 +123,16 @@ def trace(grid: DataFrame, recipe: DataFrame, width: int) -> DataFrame:
     )
 
 
-def replay(base: DataFrame, recipe: DataFrame, width: int, clips: DataFrame | None = None, channels=("y", "cb", "cr")) -> DataFrame:
+def replay(
+    base: DataFrame, recipe: DataFrame, width: Size, clips: DataFrame | None = None, channels=("y", "cb", "cr"), traced: DataFrame | None = None
+) -> DataFrame:
     """image_id, m, src, flags and the channels of the repaired picture.
 
-    `base`: image_id, m, total and the channels (DC values); `clips`: image_id,
-    paste_step, paste_i and the channels, what each paste step writes.
+    `base`: image_id, m, total and the channels (DC values), and `width`, if it
+    is a column; `clips`: image_id, paste_step, paste_i and the channels, what
+    each paste step writes. `traced` may hold the trace, where it is at hand.
     """
-    traced = trace(base, recipe, width)
+    traced = trace(base, recipe, width) if traced is None else traced
     source = base.select("image_id", F.col("m").alias("src"), *[F.col(c).alias(f"_{c}") for c in channels])
     out = traced.join(source, ["image_id", "src"], "left")
     if clips is not None:

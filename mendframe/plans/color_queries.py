@@ -333,7 +333,7 @@ def _pyramid() -> str:
 )
 def g26_fill_differences(spark, sf_dir):
     original, answer, mask = _redraw(spark, sf_dir)
-    return fl.fill_differences(original, answer, mask, 64, 64)
+    return fl.fill_differences(original, answer, mask)
 
 
 _WARN = "CASE WHEN {s}_c0 > 0.01 THEN 'Y' END, CASE WHEN {s}_c1 > 0.01 THEN 'Cb' END, CASE WHEN {s}_c2 > 0.01 THEN 'Cr' END"

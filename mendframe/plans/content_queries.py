@@ -142,7 +142,7 @@ _SOI3 = f"mk.code = 216 AND mk.off + 3 < files.n AND {duck.h('mk.off + 2')} = 'F
       FROM (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY start) <= 1000)""",
 )
 def b17_carve(spark, sf_dir):
-    return cv.carve(cv.whole_blobs(fx.files(spark, sf_dir)), key="file_id")
+    return cv.carve(cv.whole_blobs(fx.files(spark, sf_dir)), key="file_id", min_length=1024, max_count=1000)
 
 
 EMBEDDED_CTE = (

@@ -116,29 +116,45 @@ def d4_rank_donors(spark, sf_dir):
     return dn.rank_donors(trials, donors)
 
 
-@query(
-    "d5_suggest_siblings",
-    "file_id:i, donor_path:s, position:i",
+_SIBLINGS = (
     LAYOUTS
     + """, fl AS (SELECT f.file_id, f.path, regexp_replace(f.path, '/[^/]*$', '') AS folder, d.donor_problem IS NULL AS usable
            FROM files f JOIN donor_rows d USING (file_id)),
     pr AS (SELECT a.file_id, b.path, b.usable, row_number() OVER (PARTITION BY a.file_id ORDER BY b.path) AS pos
-           FROM fl a JOIN fl b ON a.folder = b.folder AND a.path <> b.path AND regexp_matches(lower(b.path), '\\.jpe?g$'))
-    --- SELECT file_id, path AS donor_path, pos AS position FROM pr WHERE usable AND pos <= 12
+           FROM fl a JOIN fl b ON a.folder = b.folder AND a.path <> b.path AND regexp_matches(lower(b.path), '\\.jpe?g$'))"""
+)
+
+
+@query(
+    "d5_suggest_siblings",
+    "file_id:i, donor_path:s",
+    _SIBLINGS
+    + """ --- SELECT file_id, path AS donor_path FROM pr WHERE usable
         QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY pos) = 1""",
 )
 def d5_suggest_siblings(spark, sf_dir):
     return dn.suggest_siblings(fx.files(spark, sf_dir))
 
 
+@query(
+    "d5_suggest_siblings_tried",
+    "file_id:i, donor_path:s, position:i",
+    _SIBLINGS
+    + """ --- SELECT file_id, path AS donor_path, pos AS position FROM pr WHERE usable AND pos <= 12
+        QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY pos) = 1""",
+)
+def d5_suggest_siblings_tried(spark, sf_dir):
+    return dn.suggest_siblings(fx.files(spark, sf_dir), tried=12)
+
+
 @query(
     "d6_detect_width",
     "image_id:i, width:i, rows:i, cost:d, rank:i",
     f"""WITH mc AS MATERIALIZED (SELECT image_id, m, y AS top, y + cb - cr AS bottom, cr AS inner_, count(*) OVER (PARTITION BY image_id) AS total
           FROM ({fx.mcus_sql()})),
-    w AS (SELECT unnest([8, 12, 16, 20, 24, 17]) AS width),
-    p AS (SELECT a.image_id, w.width, least(24, a.total // w.width) AS rows, abs(a.top - b.bottom) AS seam, a.inner_
-          FROM w JOIN mc a ON a.m >= w.width AND a.m < w.width * least(24, a.total // w.width) AND a.total // w.width >= 3
+    w AS (SELECT unnest(range(8, 65, 4) || [17]) AS width),
+    p AS (SELECT a.image_id, w.width, a.total // w.width AS rows, abs(a.top - b.bottom) AS seam, a.inner_
+          FROM w JOIN mc a ON a.m >= w.width AND a.m < w.width * (a.total // w.width) AND a.total // w.width >= 3
           JOIN mc b ON b.image_id = a.image_id AND b.m = a.m - w.width),
     g AS (SELECT image_id, width, max(rows) AS rows, avg(seam) / (avg(inner_) + 1) AS cost FROM p GROUP BY ALL)
     --- SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(cost, 9), width) AS rank FROM g""",
@@ -149,7 +165,7 @@ def d6_detect_width(spark, sf_dir):
     edges = mc.join(total, "image_id").select(
         "image_id", "m", F.col("y").alias("top"), F.expr("y + cb - cr").alias("bottom"), F.col("cr").alias("inner"), "total"
     )
-    return dn.detect_width(edges, dn.candidate_widths(8, 24, 4, donor=(16, 17)))
+    return dn.detect_width(edges, dn.candidate_widths(8, 64, 4, donor=(16, 17)))
 
 
 _OVERLAY = (

@@ -275,6 +275,38 @@ def e12_replay(spark, sf_dir):
     return rp.replay(base, rp.recipes(steps), fx.MCU_WIDTH, clips)
 
 
+def _unit_steps(spark, sf_dir):
+    """On every third picture: two blocks go in and one comes out inside MCU 4, then a mask is made brighter."""
+    ids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr("cast(l_suppkey as bigint)").alias("image_id")).distinct()
+    rows = """explode(array(
+        named_struct('step_no', 10L, 'op', 'unitInsert', 'row', 0, 'col', 4, 'a', 2L, 'b', 1L, 'mask', cast(null as binary)),
+        named_struct('step_no', 5000L, 'op', 'unitDelete', 'row', 1, 'col', 0, 'a', 1L, 'b', 2L, 'mask', cast(null as binary)),
+        named_struct('step_no', 9000000000L, 'op', 'cdelta', 'row', 0, 'col', 0, 'a', 0L, 'b', 7L, 'mask', unhex(repeat('0001', 40)))))"""
+    return ids.where("image_id % 3 = 0").select("image_id", F.expr(rows).alias("s")).select(
+        "image_id", "s.*", F.lit("ops").alias("kind"), F.lit(True).alias("enabled"), F.lit(0).alias("h"), F.lit(0).alias("w")
+    )
+
+
+@query(
+    "e13_trace_units",
+    "image_id:i, m:i, src:i, flags:i, d0:i",
+    f"""WITH {MC}, g AS (SELECT image_id, count(*) AS mcus, 5 + image_id % 4 AS w FROM mc GROUP BY image_id),
+      p AS (SELECT image_id, mcus * 3 AS total, w, unnest(range(mcus * 3)) AS m FROM g),
+      c AS (SELECT *, image_id % 3 = 0 AND (m // 3) % 2 = 1 AND m // 3 < 80 AS lit,
+        CASE WHEN image_id % 3 = 0 AND m >= w * 3 + 2 AND m + 1 < total THEN m + 1 ELSE m END AS p1 FROM p)
+    --- SELECT image_id, m, CASE WHEN image_id % 3 = 0 AND p1 >= 15 THEN p1 - 2 ELSE p1 END AS src,
+        CASE WHEN lit THEN 2 ELSE 0 END | CASE WHEN p1 <> m OR (image_id % 3 = 0 AND p1 >= 15) THEN 1 ELSE 0 END AS flags,
+        CASE WHEN lit THEN 7 ELSE 0 END AS d0 FROM c""",
+)
+def e13_trace_units(spark, sf_dir):
+    # Three blocks per MCU, and a grid of its own width for each picture.
+    mcus = fx.mcus(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    grid = mcus.select(
+        "image_id", (F.col("n") * 3).alias("total"), F.expr("5 + image_id % 4").alias("wide"), F.explode(F.expr("sequence(0L, n * 3 - 1)")).alias("m")
+    )
+    return rp.trace(grid, rp.recipes(_unit_steps(spark, sf_dir)), "wide", units=3)
+
+
 _PROV_SQL = _WREC + """,
     au AS (SELECT DISTINCT image_id FROM steps WHERE enabled AND kind = 'autoColor'),
     pv AS MATERIALIZED (SELECT t.image_id, t.m, flags | CASE WHEN e.m IS NOT NULL THEN 64 ELSE 0 END | CASE WHEN au.image_id IS NOT NULL THEN 128 ELSE 0 END AS flags
@@ -360,6 +392,22 @@ def e17_apply_byte_edits(spark, sf_dir):
     return ed.apply_byte_edits(files, edits).withColumn("sha", F.sha2("content", 256))
 
 
+@query(
+    "e17_files_without_edits",
+    "file_id:i, error:s, sha:s",
+    "WITH " + duck.FILES
+    + """ --- SELECT file_id, CASE WHEN file_id % 3 = 0 AND n < 2000 THEN 'edit 0 is outside the file' END AS error,
+        sha256(unhex(CASE WHEN file_id % 3 = 0 AND n >= 2000 THEN substr(hx, 1, 4000) || 'FFD9' ELSE hx END)) AS sha FROM files""",
+)
+def e17_files_without_edits(spark, sf_dir):
+    files = fx.files(spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"))
+    edits = ids.where("file_id % 3 = 0").selectExpr(
+        "file_id", "0 AS edit_no", "'truncate' AS kind", "2000L AS offset", "0 AS bit", "0L AS count", "X'' AS data"
+    )
+    return ed.apply_byte_edits(files, edits).withColumn("sha", F.sha2("content", 256))
+
+
 _LOG_SQL = f"""WITH {_STEPS_SQL}, lg AS MATERIALIZED (SELECT image_id AS session_id, step_no, kind,
     row_number() OVER (PARTITION BY image_id ORDER BY kind <> 'bytes', step_no) - 1 AS position FROM steps)"""
 

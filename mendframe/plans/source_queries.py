@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -59,16 +60,21 @@ def s1_scan_files(spark, sf_dir):
 
 
 # Disk images: fifty files end to end.
-_IMAGES = f"""docs AS (SELECT * FROM ({fx.files_sql(fx.DUCK)})),
-    files AS MATERIALIZED (SELECT *, length(hx) // 2 AS n FROM (SELECT file_id // 50 AS file_id, string_agg(hx, '' ORDER BY file_id) AS hx FROM docs GROUP BY file_id // 50))"""
+def _images_sql(files: int) -> str:
+    return f"""docs AS (SELECT * FROM ({fx.files_sql(fx.DUCK)})),
+    files AS MATERIALIZED (SELECT *, length(hx) // 2 AS n FROM (SELECT file_id // {files} AS file_id, string_agg(hx, '' ORDER BY file_id) AS hx FROM docs GROUP BY file_id // {files}))"""
 
 
-def _images(spark, sf_dir: str) -> str:
+_IMAGES = _images_sql(50)
+
+
+def _images(spark, sf_dir: str, files: int = 50) -> str:
+    """Disk images in a folder whose name needs care."""
     folder = _shared_folder(spark, "images")
-    parts = fx.files(spark, sf_dir).groupBy(F.expr("file_id div 50").alias("image_id")).agg(
+    parts = fx.files(spark, sf_dir).groupBy(F.expr(f"file_id div {files}").alias("image_id")).agg(
         F.expr("aggregate(array_sort(collect_list(struct(file_id, content))), X'', (a, x) -> concat(a, x.content))").alias("content")
     )
-    sinks.write_files(parts.select(F.format_string("%06d.img", "image_id").alias("name"), "content"), folder)
+    sinks.write_files(parts.select(F.format_string("scan %%20 #1+\u00e4/%06d.img", "image_id").alias("name"), "content"), folder)
     return folder
 
 
@@ -101,6 +107,23 @@ def s2_read_chunks(spark, sf_dir):
 def b17_carve_images(spark, sf_dir):
     # Chunks much smaller than the pictures, so that most walks are continued.
     chunks = sf.read_chunks(spark, _images(spark, sf_dir), chunk=16384, overlap=1024)
+    found = cv.carve(chunks, load=sf.load_chunks, reach=2048, min_length=1024, max_count=1000)
+    return found.withColumn("file_id", F.expr(_IMAGE_ID))
+
+
+@query(
+    "b17_carve_images_all",
+    "file_id:i, off:i, length:i, width:i, height:i, rank:i",
+    "WITH RECURSIVE " + _images_sql(2000) + "," + duck.markers_cte() + ","
+    + _pictures("cand", f"SELECT file_id, mk.off AS start, n FROM mk JOIN files USING (file_id) WHERE {_SOI3} "
+                        f"AND {duck.h('mk.off + 3')} BETWEEN 'C0' AND 'FE'")
+    + ", big AS (SELECT * FROM cand_ok)," + _greedy("kept", "big")
+    + """ --- SELECT file_id, start AS off, stop - start AS length, width, height,
+        row_number() OVER (PARTITION BY file_id ORDER BY stop - start DESC, start) AS rank FROM kept""",
+)
+def b17_carve_images_all(spark, sf_dir):
+    # Every picture of images that hold two thousand files each.
+    chunks = sf.read_chunks(spark, _images(spark, sf_dir, 2000), chunk=65536, overlap=1024)
     return cv.carve(chunks, load=sf.load_chunks, reach=2048).withColumn("file_id", F.expr(_IMAGE_ID))
 
 
@@ -193,6 +216,29 @@ def s5_resolve_paths(spark, sf_dir):
     return pj.resolve_paths(docs)
 
 
+@query(
+    "s5_resolve_uris",
+    "file_id:i, resolved:s",
+    """SELECT doc_id AS file_id, CASE doc_id % 5 WHEN 0 THEN 'hdfs://nn:8020/p/' || source || '/a b#1%20+ä/' || doc_id || '.jpg'
+      WHEN 1 THEN 's3a://bucket/p/' || doc_id || '.jpg' WHEN 2 THEN '/x/' || doc_id || '.jpg' WHEN 3 THEN 's3a://other/k//' || doc_id || '.jpg'
+      ELSE 'file:/' || doc_id || '.jpg' END AS resolved FROM documents""",
+)
+def s5_resolve_uris(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("file_id"),
+        F.expr(
+            "concat(CASE doc_id % 5 WHEN 0 THEN 'hdfs://nn:8020' WHEN 1 THEN 's3a://bucket' WHEN 2 THEN 'hdfs://nn' WHEN 3 THEN '' ELSE 'file:' END, "
+            "'/p/', source, '/x y.proj')"
+        ).alias("project_path"),
+        F.expr(
+            "CASE doc_id % 5 WHEN 0 THEN concat('./a b#1%20+ä//', doc_id, '.jpg') WHEN 1 THEN concat('b/../../', doc_id, '.jpg') "
+            "WHEN 2 THEN concat('/x/y/../', doc_id, '.jpg') WHEN 3 THEN concat('s3a://other/k//', doc_id, '.jpg') "
+            "ELSE concat('../../../../', doc_id, '.jpg') END"
+        ).alias("stored"),
+    )
+    return pj.resolve_paths(docs)
+
+
 @query(
     "s6_part_names",
     "file_id:i, name:s, sha:s",
@@ -206,7 +252,7 @@ def s5_resolve_paths(spark, sf_dir):
 )
 def s6_part_names(spark, sf_dir):
     files = fx.files(spark, sf_dir)
-    parts = cv.carve(cv.whole_blobs(files), key="file_id")
+    parts = cv.carve(cv.whole_blobs(files), key="file_id", min_length=1024)
     named = sinks.part_names(parts.withColumn("base", F.concat(F.lit("doc"), "file_id")))
     # Bytes are cut where the file is read; only then do they meet their names.
     cuts = named.groupBy("file_id").agg(F.collect_list(F.struct("name", "off", "length")).alias("p"))
@@ -218,7 +264,7 @@ def s6_part_names(spark, sf_dir):
     )
 
 
-_PCT = lambda c: f"{c} || ' (' || printf('%.1f', 100.0 * {c} / greatest(1, total)) || '%)'"
+_PCT = lambda c: f"{c} || chr(9) || printf('%.1f', 100.0 * {c} / greatest(1, total))"
 
 
 @query(
@@ -226,15 +272,14 @@ _PCT = lambda c: f"{c} || ' (' || printf('%.1f', 100.0 * {c} / greatest(1, total
     "image_id:i, text:s",
     _PROV_SQL
     + f""", pc AS (SELECT image_id, {_COUNTS} FROM pv GROUP BY image_id)
-    --- SELECT image_id, 'Recovery report' || chr(10) || 'Created 2024-01-01' || chr(10) || chr(10) || 'Source: img/' || image_id || '.jpg' || chr(10)
-        || '  SHA-256 00ff, ' || (1000 + image_id) || ' bytes' || chr(10)
-        || CASE WHEN image_id % 3 = 0 THEN '  Header borrowed from donor.jpg, data from byte ' || image_id * 10 || chr(10) ELSE '' END
-        || CASE WHEN image_id % 4 = 0 THEN '  After the image: a video' || chr(10) ELSE '' END || chr(10) || 'Steps:' || chr(10)
-        || '  [x] shift (ops)' || chr(10) || '  [ ] cut (bytes)' || chr(10) || chr(10) || 'MCUs: ' || total || ' total' || chr(10)
-        || '  untouched:              ' || {_PCT('untouched')} || chr(10) || '  moved into place:       ' || {_PCT('moved')} || chr(10)
-        || '  DC adjusted:            ' || {_PCT('dc')} || chr(10) || '  pasted or synthesized:  ' || {_PCT('pasted')} || chr(10)
-        || '  no recovered data:      ' || {_PCT('no_data')} || chr(10) || '  re-encoded (auto color): ' || {_PCT('reencoded')} || chr(10) || chr(10)
-        || 'Output: out/' || image_id || '.jpg' || chr(10) || '  SHA-256 aa, ' || (900 + image_id) || ' bytes, 64 x 48' || chr(10) AS text FROM pc""",
+    --- SELECT image_id, concat_ws(chr(10), 'created' || chr(9) || '2024-01-01',
+        'file' || chr(9) || 'img/' || image_id || '.jpg' || chr(9) || (1000 + image_id) || chr(9) || '00ff',
+        CASE WHEN image_id % 3 = 0 THEN 'donor' || chr(9) || 'donor.jpg' || chr(9) || image_id * 10 END,
+        CASE WHEN image_id % 5 = 0 THEN 'salvage' || chr(9) || 'truncate' || chr(9) || image_id || chr(9) || 7 END,
+        CASE WHEN image_id % 4 = 0 THEN 'behind' || chr(9) || 'a video' END,
+        'step' || chr(9) || 'on' || chr(9) || 'ops' || chr(9) || 'shift', 'step' || chr(9) || 'off' || chr(9) || 'bytes' || chr(9) || 'cut',
+        {", ".join(f"'mcus' || chr(9) || '{c}' || chr(9) || {_PCT(c)}" for c in ('untouched', 'moved', 'dc', 'pasted', 'no_data', 'reencoded'))},
+        'result' || chr(9) || 'out/' || image_id || '.jpg' || chr(9) || (900 + image_id) || chr(9) || 'aa' || chr(9) || '64x48') AS text FROM pc""",
 )
 def s7_report_text(spark, sf_dir):
     from mendframe.plans.edit_queries import e15_provenance_counts
@@ -249,6 +294,7 @@ def s7_report_text(spark, sf_dir):
         "CASE WHEN image_id % 3 = 0 THEN 'donor.jpg' END AS donor_path",
         "image_id * 10 AS splice_offset",
         "CASE WHEN image_id % 4 = 0 THEN 'a video' END AS trailer",
+        "CASE WHEN image_id % 5 = 0 THEN named_struct('mode', 'truncate', 'at', image_id, 'dropped', 7) END AS salvage",
         "array(named_struct('kind', 'ops', 'enabled', true, 'description', 'shift'), named_struct('kind', 'bytes', 'enabled', false, 'description', 'cut')) AS steps",
         "concat('out/', image_id, '.jpg') AS out_path",
         "900 + image_id AS out_bytes",
@@ -339,15 +385,42 @@ def e22_batch_apply(spark, sf_dir):
     return reports.join(sums, "image_id")
 
 
+_STREAM_SQL = (
+    _TG
+    + f""", seen AS (SELECT t.verdict, f.hx FROM triage t JOIN files f USING (file_id) WHERE {_NAMED.replace('path', 't.path')})
+      --- SELECT verdict, count(*) AS n, count(DISTINCT hx) AS n_contents FROM seen GROUP BY verdict"""
+)
+
+
 @query(
     "t1_triage_stream",
-    "verdict:s, n:i",
-    _TG
-    + f""", once_ AS (SELECT t.verdict FROM triage t JOIN files f USING (file_id) WHERE {_NAMED.replace('path', 't.path')}
-         QUALIFY row_number() OVER (PARTITION BY f.hx ORDER BY t.path) = 1) --- SELECT verdict, count(*) AS n FROM once_ GROUP BY verdict""",
+    "verdict:s, n:i, n_contents:i",
+    _STREAM_SQL,
 )
 def t1_triage_stream(spark, sf_dir):
     folder, rows = _written(spark, sf_dir, "arriving"), _shared_folder(spark, "rows")
-    stream = ts.triage_stream(spark, folder, rows, _shared_folder(spark, "state"), lateness="30 days")
+    stream = ts.triage_stream(spark, folder, rows, _shared_folder(spark, "state"))
     stream.awaitTermination()
     return ts.running_counts(spark, rows)
+
+
+def _backdated(rows):
+    """Gives files of the shared folder the times of old photographs."""
+    for r in rows:
+        os.utime(r.target, (r.time, r.time))
+
+
+@query("t1_triage_stream_old_files", "verdict:s, n:i, n_contents:i", _STREAM_SQL)
+def t1_triage_stream_old_files(spark, sf_dir):
+    # Two batches; the files of the second are up to thirty years older than those of the first.
+    folder, rows, state = (_shared_folder(spark, n) for n in ("arriving", "rows", "state"))
+    every = fx.files(spark, sf_dir).select(F.col("path").alias("name"), "content", (F.col("file_id") % 2).alias("half"), "file_id")
+    for half in (0, 1):
+        part = every.where(F.col("half") == half)
+        sinks.write_files(part, folder)
+        if half:
+            part.select(
+                F.concat(F.lit(folder + "/"), "name").alias("target"), F.expr("cast(700000000 + file_id * 86400 as bigint)").alias("time")
+            ).foreachPartition(_backdated)
+        ts.triage_stream(spark, folder, rows, state).awaitTermination()
+    return ts.running_counts(spark, rows)

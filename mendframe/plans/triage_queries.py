@@ -152,15 +152,15 @@ _TRIAGE_ROWS = """,
         CASE WHEN rd AND NOT is_foot THEN grid ELSE 0 END AS mcus,
         CASE WHEN rd AND NOT is_foot THEN decode_errors ELSE 0 END AS decode_errors,
         CASE WHEN rd AND NOT is_foot THEN first_error END AS first_error, readable,
-        CASE WHEN is_foot THEN 'ransomware footer, personal ID ' || coalesce(personal_id, '?') ||
-               CASE WHEN offline THEN ' (offline ID: try a decryptor first)' ELSE '' END
-             WHEN NOT rd THEN CASE WHEN problem IS NULL THEN 'unreadable header' ELSE problem || coalesce(' at ' || problem_at, '') END
-             WHEN decode_errors > 0 THEN decode_errors || ' MCU(s) with decode errors, first at MCU ' || first_error
-             WHEN verdict = 'truncated' THEN CAST(floor(readable * 100) AS INT) || '% of the picture has data'
+        CASE WHEN is_foot THEN 'footer of a file encrypter, victim ' || coalesce(personal_id, 'unnamed') ||
+               CASE WHEN offline THEN '; key is a shared one' ELSE '' END
+             WHEN NOT rd THEN CASE WHEN problem IS NULL THEN 'no usable frame or scan header' ELSE problem || coalesce(' at ' || problem_at, '') END
+             WHEN decode_errors > 0 THEN 'bad MCUs: ' || decode_errors || ', from ' || first_error
+             WHEN verdict = 'truncated' THEN 'data for ' || CAST(floor(readable * 100) AS INT) || ' percent'
              WHEN verdict = 'healthy, data after image' THEN CASE kind
-               WHEN 'mpf' THEN 'further images indexed by the MPF segment (' || t_len || ' bytes)'
-               WHEN 'motion_photo' THEN 'a motion photo video (' || t_len || ' bytes)'
-               WHEN 'embedded_jpeg' THEN 'another JPEG after the image (' || t_len || ' bytes)' END
+               WHEN 'mpf' THEN 'MPF pictures: ' || t_len || ' bytes'
+               WHEN 'motion_photo' THEN 'video: ' || t_len || ' bytes'
+               WHEN 'embedded_jpeg' THEN 'second JPEG: ' || t_len || ' bytes' END
              ELSE '' END AS summary FROM tg1)"""
 
 
@@ -180,6 +180,18 @@ def b19_triage(spark, sf_dir):
     return tg.triage(fx.files(spark, sf_dir))
 
 
+@query(
+    "b19_triage_unread",
+    "file_id:i, verdict:s, mcus:i, readable:d, summary:s",
+    triage_sql(False)
+    + """ --- SELECT file_id, CASE WHEN size > 4000 THEN 'not read' ELSE verdict END AS verdict, CASE WHEN size > 4000 THEN 0 ELSE mcus END AS mcus,
+        CASE WHEN size <= 4000 THEN readable END AS readable, CASE WHEN size > 4000 THEN 'content was not loaded' ELSE summary END AS summary FROM triage""",
+)
+def b19_triage_unread(spark, sf_dir):
+    files = fx.files(spark, sf_dir)
+    return tg.triage(files.withColumn("content", F.when(F.col("size") <= 4000, F.col("content"))))
+
+
 @query("b19_triage_with_map", _COLS, triage_sql(True) + " --- SELECT * FROM triage")
 def b19_triage_with_map(spark, sf_dir):
     maps = fx.mcus(spark, sf_dir).withColumnRenamed("image_id", "file_id")

@@ -20,6 +20,8 @@ def local_session(cpus: int = 8, app: str = "mendframe") -> SparkSession:
         # Folds cost far more per byte than a plain scan: keep small stages on all cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        # Checkpoints of a loop's earlier rounds go when nothing refers to them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("MENDFRAME_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

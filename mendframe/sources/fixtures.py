@@ -234,12 +234,8 @@ def files_sql(d: Dialect, table: str = "documents") -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the table comes in fewer pieces than there are cores.
-
-    A large table has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Rows over all cores: one file of a driver table is one split, however long its folds take."""
+    return df.repartition(key)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

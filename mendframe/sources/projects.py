@@ -18,7 +18,7 @@ PROJECT = (
     f"export:string,steps:array<{STEP}>,history:struct<pool:array<{STEP}>,states:array<array<int>>,index:int>>"
 )
 
-# Names used in project files.
+# Names used in project files; so are the keys in the types above.
 OPS = ["cdelta", "copy", "insert", "delete", "paste", "unitInsert", "unitDelete"]
 EDITS = ["deleteBytes", "insertBytes", "flipBit", "deleteBits", "insertBits", "truncate"]
 
@@ -72,7 +72,9 @@ def parse_projects(raw: DataFrame, app: str = APP) -> DataFrame:
 
 def read_projects(spark: SparkSession, path: str, app: str = APP) -> tuple[DataFrame, DataFrame]:
     """(projects, errors): one row per usable project file, and path and error of the others."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    # The metadata column holds an encoded URI; listings hold names as they are.
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = spark.read.option("wholetext", True).text(path).select(decoded.alias("path"), "value")
     parsed = parse_projects(raw, app)
     return project_rows(parsed), parsed.where("error IS NOT NULL").select("path", "error")
 
@@ -96,7 +98,7 @@ def project_rows(parsed: DataFrame) -> DataFrame:
 
 
 def project_steps(projects: DataFrame) -> DataFrame:
-    """path, step_no, kind, enabled, description and one row per operation or edit of each step."""
+    """path, step_no, kind, enabled, description, n_ops, n_edits: one row per step; their content is in the functions below."""
     return projects.select("path", F.posexplode("steps").alias("step_no", "s")).select(
         "path",
         "step_no",
@@ -108,6 +110,64 @@ def project_steps(projects: DataFrame) -> DataFrame:
     )
 
 
+def _operations(s: str) -> str:
+    """SQL: the coefficient operations of a step as an array, an automatic correction as one of its own."""
+    op = """named_struct('kind', 'ops', 'enabled', coalesce(s.enabled, true), 'op', o.type,
+        'row', coalesce(o.scope.row, 0), 'col', coalesce(o.scope.col, 0),
+        'h', CASE WHEN o.scope.kind = 'rect' THEN coalesce(o.scope.height, 0) ELSE 0 END,
+        'w', CASE o.scope.kind WHEN 'rect' THEN coalesce(o.scope.width, 0) WHEN 'run' THEN coalesce(o.scope.count, 0) ELSE 0 END,
+        'a', coalesce(o.a, 0), 'b', coalesce(o.b, 0),
+        'mask', CASE WHEN o.scope.kind = 'mask' THEN unbase64(o.scope.mask) END, 'coefs', unbase64(o.coefs))"""
+    auto = """named_struct('kind', 'autoColor', 'enabled', coalesce(s.enabled, true), 'op', cast(null as string), 'row', 0, 'col', 0,
+        'h', 0, 'w', 0, 'a', 0, 'b', 0, 'mask', cast(null as binary), 'coefs', cast(null as binary))"""
+    return f"CASE s.kind WHEN 'ops' THEN transform(s.ops, o -> {op}) WHEN 'autoColor' THEN array({auto}) ELSE slice(array({auto}), 1, 0) END"
+
+
+def project_operations(projects: DataFrame) -> DataFrame:
+    """path, step_no, kind, enabled, op, row, col, h, w, a, b, mask, coefs: what `recipes` takes, densely numbered.
+
+    Masks (one byte per MCU) and pasted coefficients are decoded.
+    """
+    return projects.select("path", F.posexplode(F.expr(f"flatten(transform(steps, s -> {_operations('s')}))")).alias("step_no", "o")).select(
+        "path", "step_no", "o.*"
+    )
+
+
+def project_clips(projects: DataFrame, per_mcu: int) -> DataFrame:
+    """path, paste_step, paste_i, unit, coef: the blocks that paste operations write, `per_mcu` of them per MCU.
+
+    A payload is a row of little-endian 16-bit coefficients, 64 per block.
+    """
+    value = "conv(hex(concat(substring(coefs, 128 * k + 2 * i + 2, 1), substring(coefs, 128 * k + 2 * i + 1, 1))), 16, 10)"
+    signed = f"cast(cast({value} as int) - CASE WHEN cast({value} as int) > 32767 THEN 65536 ELSE 0 END as int)"
+    blocks = (
+        project_operations(projects)
+        .where("enabled AND op = 'paste' AND length(coefs) >= 128")
+        .select("path", F.col("step_no").alias("paste_step"), "coefs", F.explode(F.expr("sequence(0, length(coefs) div 128 - 1)")).alias("k"))
+    )
+    return blocks.select(
+        "path",
+        "paste_step",
+        F.expr(f"cast(k div {per_mcu} as bigint)").alias("paste_i"),
+        F.expr(f"k % {per_mcu}").alias("unit"),
+        F.expr(f"transform(sequence(0, 63), i -> {signed})").alias("coef"),
+    )
+
+
+def project_edits(projects: DataFrame) -> DataFrame:
+    """path, edit_no, kind, offset, bit, count, data: the byte edits of enabled steps, densely numbered, for `apply_byte_edits`."""
+    listed = "flatten(transform(filter(steps, s -> s.kind = 'bytes' AND coalesce(s.enabled, true)), s -> s.edits))"
+    return projects.select("path", F.posexplode(F.expr(listed)).alias("edit_no", "e")).select(
+        "path",
+        "edit_no",
+        "e.kind",
+        F.expr("coalesce(e.offset, 0L)").alias("offset"),
+        F.expr("coalesce(e.bit, 0)").alias("bit"),
+        F.expr("coalesce(e.count, 0L)").alias("count"),
+        F.expr("coalesce(unbase64(e.data), X'')").alias("data"),
+    )
+
+
 def project_json(projects: DataFrame, app: str = APP) -> DataFrame:
     """Adds `json`, the project as it is stored; paths relative to the project's folder where they lie below it."""
     body = f"""to_json(named_struct('app', '{app}', 'formatVersion', {FORMAT_VERSION}, 'source', {store_expr('path', 'source_path')},
@@ -120,9 +180,10 @@ def project_json(projects: DataFrame, app: str = APP) -> DataFrame:
 
 
 def write_projects(projects: DataFrame, folder: str, app: str = APP) -> None:
-    from mendframe.sources.sinks import write_files
+    """One file per project, below the folders of its path, so that equal base names stay apart."""
+    from mendframe.sources.sinks import relative_name, write_files
 
-    named = project_json(projects, app).withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
+    named = project_json(projects, app).withColumn("name", F.expr(relative_name("path")))
     write_files(named, folder, content="json")
 
 
@@ -131,19 +192,21 @@ def folder_expr(path: str) -> str:
 
 
 def clean_expr(path: str) -> str:
-    """SQL: a path without '.', '..' and doubled slashes."""
-    parts = f"filter(split({path}, '/'), s -> s <> '' AND s <> '.')"
+    """SQL: a path without '.', '..' and doubled slashes; scheme and authority stay."""
+    root = f"regexp_extract({path}, '^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?/?', 0)"
+    parts = f"filter(split(substring({path}, length({root}) + 1), '/'), s -> s <> '' AND s <> '.')"
     stack = (
         f"aggregate({parts}, cast(array() as array<string>), (a, s) -> CASE WHEN s = '..' AND size(a) > 0 AND get(a, size(a) - 1) <> '..' "
-        f"THEN slice(a, 1, size(a) - 1) WHEN s = '..' AND startswith({path}, '/') THEN a ELSE concat(a, array(s)) END)"
+        f"THEN slice(a, 1, size(a) - 1) WHEN s = '..' AND {root} <> '' THEN a ELSE concat(a, array(s)) END)"
     )
-    return f"concat(CASE WHEN startswith({path}, '/') THEN '/' ELSE '' END, array_join({stack}, '/'))"
+    return f"concat({root}, array_join({stack}, '/'))"
 
 
 def resolve_expr(project: str, stored: str) -> str:
     """SQL: a stored path read from the project's folder; absolute ones stay."""
-    joined = f"CASE WHEN startswith({stored}, '/') OR {stored} LIKE '%://%' THEN {stored} ELSE concat({folder_expr(project)}, '/', {stored}) END"
-    return f"CASE WHEN {stored} LIKE '%://%' THEN {stored} ELSE {clean_expr(joined)} END"
+    uri = f"{stored} RLIKE '^[A-Za-z][A-Za-z0-9+.-]*://'"
+    joined = f"CASE WHEN startswith({stored}, '/') THEN {stored} ELSE concat({folder_expr(project)}, '/', {stored}) END"
+    return f"CASE WHEN {uri} THEN {stored} ELSE {clean_expr(joined)} END"
 
 
 def store_expr(project: str, path: str) -> str:
