@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendframe.functions.sizes import Size
 from mendframe.functions.blocked import at_offset, carried, with_halo
 from mendframe.functions.bytes import cut, latin1
 from mendframe.functions.names import ANOMALY_BITS
+from mendframe.functions.sizes import Size
 
 # Limits of the resync search.
 WINDOW = 400
@@ -59,29 +59,55 @@ def mcu_at_byte(mcus: DataFrame, offsets: DataFrame) -> DataFrame:
     return found.where("_ask = 1").select("image_id", *cols, "m")
 
 
-def resync_candidates(points: DataFrame, max_bits: int = 64, max_bytes: int = 2048) -> DataFrame:
-    """file_id, delta_bits, bit_pos: every edit worth trying at each damage point.
+def resync_candidates(
+    points: DataFrame,
+    max_bits: int = 64,
+    max_bytes: int = 2048,
+    max_reach_bits: int | None = MAX_REACH_BITS,
+    max_positions: int | None = MAX_POSITIONS,
+) -> DataFrame:
+    """file_id, cand_id, delta_bits, bit_pos: every edit worth trying at each damage point.
 
     `points`: file_id, start (bit), fail_end (end bit of the first MCU that
     failed, NULL if none). Positive deltas delete, negative ones insert. Whole
     bytes are also tried at each byte position up to the failure plus 8 bits,
-    at most 1 KiB and 256 positions on. Rows are spread by (file, position)
-    before they multiply.
+    at most `max_reach_bits` and `max_positions` on (None: no such limit; where
+    nothing failed, one of them must be given). cand_id numbers a point's
+    candidates in the order of trying: no edit, then growing edits at the start
+    with deletions first, then position by position. Rows are spread by
+    (file, position) before they multiply.
     """
+    if max_reach_bits is None and max_positions is None:
+        points = points.where("fail_end IS NOT NULL")
     align = "((start + 7) div 8) * 8"
-    limit = f"least(coalesce(fail_end, start + {MAX_REACH_BITS}) + CASE WHEN fail_end IS NULL THEN 0 ELSE 8 END, start + {MAX_REACH_BITS}, {align} + 8 * {MAX_POSITIONS})"
+    bounds = ["fail_end + 8"]
+    bounds += [f"start + {max_reach_bits}"] if max_reach_bits is not None else []
+    bounds += [f"{align} + 8 * {max_positions}"] if max_positions is not None else []
+    limit = f"least({', '.join(bounds)})" if len(bounds) > 1 else bounds[0]
+    both, single = 2 * max_bits, 8 * max_bytes
     at_start = points.select(
         "file_id",
         F.explode(F.expr(f"sequence({-max_bits}L, {8 * max_bytes}L)")).alias("delta_bits"),
         F.col("start").alias("bit_pos"),
+    ).withColumn(
+        "cand_id",
+        F.expr(
+            f"CASE WHEN delta_bits = 0 THEN 0L WHEN abs(delta_bits) <= {max_bits} "
+            f"THEN 2 * abs(delta_bits) - CASE WHEN delta_bits > 0 THEN 1 ELSE 0 END ELSE {both} + delta_bits - {max_bits} END"
+        ),
     )
     places = points.select(
-        "file_id", F.explode(F.expr(f"CASE WHEN {limit} >= {align} THEN sequence({align}, {limit}, 8L) END")).alias("bit_pos")
+        "file_id",
+        F.expr(align).alias("_from"),
+        F.explode(F.expr(f"CASE WHEN {limit} >= {align} THEN sequence({align}, {limit}, 8L) END")).alias("bit_pos"),
     ).repartition("file_id", "bit_pos")
     whole = places.select(
-        "file_id", F.explode(F.expr(f"sequence(8L, {8 * max_bytes}L, 8L)")).alias("delta_bits"), "bit_pos"
+        "file_id", "_from", F.explode(F.expr(f"sequence(8L, {8 * max_bytes}L, 8L)")).alias("delta_bits"), "bit_pos"
     )
-    return at_start.unionByName(whole)
+    at = f"{both + max(single - max_bits, 0)} + (bit_pos - _from) div 8 * {max_bytes} + delta_bits div 8"
+    whole = whole.withColumn("cand_id", F.expr(f"cast({at} as bigint)"))
+    cols = ["file_id", "cand_id", "delta_bits", "bit_pos"]
+    return at_start.select(*cols).unionByName(whole.select(*cols))
 
 
 def expected_dc(mcus: DataFrame, width: Size, value: str = "y") -> DataFrame:
@@ -115,6 +141,36 @@ def expected_dc(mcus: DataFrame, width: Size, value: str = "y") -> DataFrame:
     )
 
 
+def seam_cost(blocks: DataFrame, around: DataFrame, width: Size) -> DataFrame:
+    """file_id, cand_id, edge_cost: how badly the first two MCUs of each trial meet what lies around them.
+
+    `blocks`: file_id, cand_id, k (0 or 1), m (the position), `width`, if it
+    is a column, and the edge samples top, left, right of the trial's MCU; `around`:
+    file_id, m and the edge samples bottom and right of the picture as it is.
+    A seam is the mean step across an edge; the cost sums those of the first
+    MCU with its left and upper neighbour, of the second with the first, when
+    both stand in one row, and of the second with the one above it. Candidates
+    without a second MCU have no cost (NULL).
+    """
+    mean = lambda a, b: f"aggregate(zip_with({a}, {b}, (p, q) -> abs(p - q)), 0D, (s, x) -> s + x) / size({a})"
+    key = ["file_id", "cand_id"]
+    df = blocks.where("k < 2").withColumn("_w", F.expr(f"cast({width} as bigint)"))
+    above = around.select("file_id", F.col("m").alias("_up"), F.col("bottom").alias("_above"))
+    beside = around.select("file_id", F.col("m").alias("_back"), F.col("right").alias("_left"))
+    df = df.withColumn("_up", F.expr("m - _w")).withColumn("_back", F.expr("CASE WHEN k = 0 AND m % _w > 0 THEN m - 1 END"))
+    df = df.join(above, ["file_id", "_up"], "left").join(beside, ["file_id", "_back"], "left")
+    both = df.groupBy(*key).agg(
+        *[F.max(F.when(F.col("k") == k, F.struct("m", "_w", "top", "left", "right", "_above", "_left"))).alias(f"_{k}") for k in (0, 1)]
+    ).where("_0 IS NOT NULL AND _1 IS NOT NULL")
+    seams = [
+        mean("_0._left", "_0.left"),
+        mean("_0._above", "_0.top"),
+        f"CASE WHEN (_0.m + 1) % _0._w <> 0 THEN {mean('_0.right', '_1.left')} END",
+        mean("_1._above", "_1.top"),
+    ]
+    return both.select(*key, F.expr(" + ".join(f"coalesce({s}, 0D)" for s in seams)).alias("edge_cost"))
+
+
 def trial_metrics(trials: DataFrame, window: int = WINDOW) -> DataFrame:
     """file_id, cand_id, clean, reached_end, dc_step, excess_bits per trial decode.
 

@@ -395,6 +395,12 @@ def renumber_restarts(files: DataFrame) -> DataFrame:
     )
 
 
+def renumbered_content(files: DataFrame) -> DataFrame:
+    """file_id, content: files with a scan, their restart markers renumbered as `renumber_restarts` says."""
+    df = with_walk(files).where("size(walk.scans) > 0")
+    return df.select("file_id", once(renumber_expr("content", "markers", "get(walk.scans, 0).data_start")).alias("content"))
+
+
 def renumber_expr(blob: str, markers: str, start: str) -> str:
     """SQL: `blob` with its restart markers from `start` on renumbered from RST0.
 

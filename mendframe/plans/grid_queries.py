@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mendframe.functions.dct import basis
 from mendframe.operators import grid as g
 from mendframe.operators import mcu_stream as ms
 from mendframe.plans import duck
@@ -15,11 +14,16 @@ MC = f"mc AS MATERIALIZED ({fx.mcus_sql()})"
 PX = f"px AS MATERIALIZED ({fx.pixels_sql()})"
 
 
+def _cosine(k: int, n: int) -> str:
+    """SQL: sample n of the k-th 8-point cosine, from DuckDB's own functions."""
+    return f"({'1 / sqrt(8)' if k == 0 else '0.5'} * cos(pi() * {k} * {2 * n + 1} / 16))"
+
+
 def _edge_sql(edge: str) -> str:
     fixed = 0 if edge in ("top", "left") else 7
     at = "1 + b * 8 + a" if edge in ("top", "bottom") else "1 + a * 8 + b"
-    fold = "[" + ", ".join(repr(basis(b, fixed)) for b in range(8)) + "]"
-    table = "[" + ", ".join(repr(basis(a, n)) for n in range(8) for a in range(8)) + "]"
+    fold = "[" + ", ".join(_cosine(b, fixed) for b in range(8)) + "]"
+    table = "[" + ", ".join(_cosine(a, n) for n in range(8) for a in range(8)) + "]"
     return (
         f"list_transform(range(8), lambda n: list_sum(list_transform(range(8), lambda a: {table}[1 + n * 8 + a] * "
         f"list_sum(list_transform(range(8), lambda b: {fold}[1 + b] * CAST(coef[{at}] * q[{at}] AS DOUBLE))))))"
@@ -298,12 +302,15 @@ def m2_mcu_at_byte(spark, sf_dir):
 
 @query(
     "m3_resync_candidates",
-    "file_id:i, candidates:i, sum_delta:i, max_pos:i, positions:i",
+    "file_id:i, candidates:i, sum_delta:i, max_pos:i, positions:i, last_id:i, ids:i, ordered:i",
     f"""WITH {MC}, pt AS (SELECT image_id AS file_id, bit_pos AS start, CASE WHEN image_id % 3 > 0 THEN bit_pos + bits + 40 END AS fe FROM mc WHERE m = 17),
     l AS (SELECT *, (start + 7) // 8 * 8 AS al, least(coalesce(fe + 8, start + 8192), start + 8192, (start + 7) // 8 * 8 + 2048) AS lim FROM pt),
-    c AS (SELECT file_id, unnest(range(-64, 257)) AS d, start AS p FROM l
-      UNION ALL SELECT file_id, d * 8, p FROM (SELECT file_id, unnest(range(al, lim + 1, 8)) AS p FROM l), (SELECT unnest(range(1, 33)) AS d))
-    --- SELECT file_id, count(*) AS candidates, sum(d) AS sum_delta, max(p) AS max_pos, count(DISTINCT p) AS positions FROM c GROUP BY file_id""",
+    c AS (SELECT file_id, 0 AS part, d, start AS p, 0 AS nth FROM l, (SELECT unnest(range(-64, 16385)) AS d)
+      UNION ALL SELECT file_id, 1, d * 8, p, nth FROM (SELECT file_id, unnest(range(al, lim + 1, 8)) AS p, unnest(range(len(range(al, lim + 1, 8)))) AS nth FROM l), (SELECT unnest(range(1, 2049)) AS d)),
+    n AS (SELECT *, CASE WHEN part = 0 THEN CASE WHEN d = 0 THEN 0 WHEN abs(d) <= 64 THEN 2 * abs(d) - CASE WHEN d > 0 THEN 1 ELSE 0 END ELSE d + 64 END
+        ELSE 16448 + 2048 * nth + d // 8 END AS id FROM c)
+    --- SELECT file_id, count(*) AS candidates, sum(d) AS sum_delta, max(p) AS max_pos, count(DISTINCT p) AS positions, max(id) AS last_id,
+        count(DISTINCT id) AS ids, bit_xor(hash_of) AS ordered FROM (SELECT *, (id * 1000003 + d * 31 + p) % 2147483647 AS hash_of FROM n) AS h GROUP BY file_id""",
 )
 def m3_resync_candidates(spark, sf_dir):
     points = fx.mcus(spark, sf_dir).where("m = 17").select(
@@ -311,11 +318,14 @@ def m3_resync_candidates(spark, sf_dir):
         F.col("bit_pos").alias("start"),
         F.expr("CASE WHEN image_id % 3 > 0 THEN bit_pos + bits + 40 END").alias("fail_end"),
     )
-    return ms.resync_candidates(points, max_bytes=32).groupBy("file_id").agg(
+    return ms.resync_candidates(points).groupBy("file_id").agg(
         F.count(F.lit(1)).alias("candidates"),
         F.sum("delta_bits").alias("sum_delta"),
         F.max("bit_pos").alias("max_pos"),
         F.countDistinct("bit_pos").alias("positions"),
+        F.max("cand_id").alias("last_id"),
+        F.countDistinct("cand_id").alias("ids"),
+        F.bit_xor(F.expr("(cand_id * 1000003 + delta_bits * 31 + bit_pos) % 2147483647")).alias("ordered"),
     )
 
 

@@ -363,15 +363,17 @@ def b21_file_info(spark, sf_dir):
     return info.withColumn("embedded", F.expr(f"array_join({by_offset}, '|')"))
 
 
-@query(
-    "e22_batch_apply",
-    "image_id:i, target:s, untouched:i, moved:i, sum_y:i, sum_cb:i, sum_cr:i",
+_BATCH_SQL = (
     _PROV_SQL
     + f""", pc AS (SELECT image_id, {_COUNTS} FROM pv GROUP BY image_id),
     rp AS (SELECT t.image_id, sum(b.y + d0) AS sum_y, sum(b.cb + d1) AS sum_cb, sum(b.cr + d2) AS sum_cr FROM tre t LEFT JOIN mc b ON b.image_id = t.image_id AND b.m = t.src GROUP BY t.image_id)
     --- SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'out/' || image_id || '.jpg' ELSE 'img/' || image_id || '.jpg.repaired.jpg' END AS target, untouched, moved, sum_y, sum_cb, sum_cr
-      FROM pc JOIN rp USING (image_id)""",
+      FROM pc JOIN rp USING (image_id)"""
 )
+_BATCH = "image_id:i, target:s, untouched:i, moved:i, sum_y:i, sum_cb:i, sum_cr:i"
+
+
+@query("e22_batch_apply", _BATCH, _BATCH_SQL)
 def e22_batch_apply(spark, sf_dir):
     base, steps = _base(spark, sf_dir), _steps(spark, sf_dir)
     projects = base.select("image_id").distinct().selectExpr(
@@ -385,6 +387,33 @@ def e22_batch_apply(spark, sf_dir):
     return reports.join(sums, "image_id")
 
 
+_STORED = """to_json(named_struct('app', 'mendframe', 'formatVersion', 2, 'source', concat(image_id, '.jpg'), 'steps', transform(array_sort(collect_list(
+    struct(step_no, kind, enabled, op, row, col, h, w, a, b))), s -> named_struct('kind', s.kind, 'enabled', s.enabled,
+        'ops', CASE WHEN s.kind = 'ops' THEN array(named_struct('type', s.op, 'a', s.a, 'b', s.b, 'coefs', CASE WHEN s.op = 'paste' THEN 'AAA=' END,
+            'scope', named_struct('kind', CASE WHEN s.h > 0 THEN 'rect' ELSE 'run' END, 'row', s.row, 'col', s.col,
+                'height', s.h, 'width', s.w, 'count', s.w))) END,
+        'edits', CASE WHEN s.kind = 'bytes' THEN array(named_struct('kind', 'flipBit', 'offset', 9, 'bit', 1)) END))))"""
+
+
+@query("e22_batch_from_json", _BATCH, _BATCH_SQL)
+def e22_batch_from_json(spark, sf_dir):
+    # The recipes as stored projects, parsed and fed to the batch; every picture's width is a column.
+    raw = _steps(spark, sf_dir).groupBy("image_id").agg(F.expr(_STORED).alias("value"))
+    parsed = pj.parse_projects(raw.select(F.concat(F.lit("p/"), "image_id", F.lit(".proj")).alias("path"), "value"))
+    image = F.expr("cast(regexp_extract(path, '([0-9]+)[.]proj$', 1) as bigint)").alias("image_id")
+    steps = pj.project_operations(pj.project_rows(parsed)).select(image, "*")
+    base = _base(spark, sf_dir).withColumn("wide", F.lit(fx.MCU_WIDTH))
+    projects = base.select("image_id").distinct().selectExpr(
+        "image_id",
+        "concat('img/', image_id, '.jpg') AS source_path",
+        "CASE WHEN image_id % 2 = 0 THEN concat('out/', image_id, '.jpg') END AS output",
+        "'' AS export_path",
+    )
+    pictures, reports = batch_apply(projects, steps, base, "wide", empty=base.where("cb = 0 AND cr = 0"))
+    sums = pictures.groupBy("image_id").agg(*[F.sum(c).alias(f"sum_{c}") for c in YCC])
+    return reports.join(sums, "image_id")
+
+
 _STREAM_SQL = (
     _TG
     + f""", seen AS (SELECT t.verdict, f.hx FROM triage t JOIN files f USING (file_id) WHERE {_NAMED.replace('path', 't.path')})

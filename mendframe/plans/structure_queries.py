@@ -207,6 +207,20 @@ def b26_renumber_restarts(spark, sf_dir):
     return op.renumber_restarts(fx.files(spark, sf_dir))
 
 
+@query(
+    "b26_renumbered_content",
+    "file_id:i, sha:s",
+    duck.WALK
+    + """, mv AS (SELECT s.file_id, mk.off + 1 AS pos, 208 + (mk.code - first_value(mk.code) OVER (PARTITION BY s.file_id ORDER BY mk.off) + 8) % 8 AS new
+        FROM scan0 s JOIN mk ON mk.file_id = s.file_id AND mk.off >= s.data_start WHERE s.scan_no = 0 AND mk.code BETWEEN 208 AND 215),
+      bt AS (SELECT f.file_id, f.hx, unnest(range(f.n)) AS i FROM files f JOIN scan0 s ON s.file_id = f.file_id AND s.scan_no = 0)
+    --- SELECT b.file_id, sha256(unhex(string_agg(coalesce(hex(mv.new), substr(b.hx, 2 * b.i + 1, 2)), '' ORDER BY b.i))) AS sha
+        FROM bt b LEFT JOIN mv ON mv.file_id = b.file_id AND mv.pos = b.i GROUP BY b.file_id""",
+)
+def b26_renumbered_content(spark, sf_dir):
+    return op.renumbered_content(fx.files(spark, sf_dir)).withColumn("sha", F.sha2("content", 256))
+
+
 _NAME = """CASE WHEN marker = 216 THEN 'SOI' WHEN marker = 217 THEN 'EOI' WHEN marker = 218 THEN 'SOS'
       WHEN marker = 219 THEN 'DQT' WHEN marker = 196 THEN 'DHT' WHEN marker = 221 THEN 'DRI' WHEN marker = 254 THEN 'COM'
       WHEN marker = 192 THEN 'SOF0 (baseline)' WHEN marker = 193 THEN 'SOF1 (extended)'

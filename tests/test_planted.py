@@ -106,7 +106,9 @@ def test_carve_across_chunks_equals_whole(spark, tmp_path):
     cut = cv.carve(chunks, load=sf.load_chunks, reach=128).select(*cols)
     want = sorted(map(tuple, whole.collect()))
     assert want == sorted(map(tuple, cut.collect()))
-    assert [w[2:4] for w in want] == [(200, 100), (120, 90)]
+    assert [w[2:4] for w in want] == [(200, 100), (120, 90), (5, 5)]
+    large = cv.carve(cv.whole_blobs(table(spark, [blob])), key="file_id", min_length=1024, max_count=1)
+    assert [(r.width, r["rank"]) for r in large.collect()] == [(200, 1)]
 
 
 def test_chunk_markers_are_complete_and_unique(spark, tmp_path):
