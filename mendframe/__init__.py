@@ -1,7 +1,8 @@
 """Repair and triage of damaged JPEG collections, as Spark DataFrames.
 
 Files, marker segments, MCU grids, coefficient blocks, pixels and repair steps
-are tables; each operator takes DataFrames and returns a lazy DataFrame.
+are tables; each operator takes DataFrames and returns a DataFrame, lazy
+unless it has to iterate.
 """
 
 import sys

@@ -31,13 +31,15 @@ def _step(order: str, along: str, cols: list[str]) -> list[Column]:
 
 
 def damage_score(
-    pixels: DataFrame, width: Size, height: Size, mcu_w: Size, mcu_h: Size, mcus: DataFrame | None = None
+    pixels: DataFrame, width: Size, height: Size, mcu_w: Size, mcu_h: Size, mcus: DataFrame | None = None,
+    traced: DataFrame | None = None,
 ) -> DataFrame:
     """image_id, m, score: how badly each MCU meets the ones above and to the left of it.
 
     The step across the top and left edges (luma plus half the chroma) is
     compared with the steps inside the MCU. MCUs the map calls anomalous score
-    1. Sizes are numbers, or columns of `pixels`. Neighbours come from windows
+    1; with a trace (`traced`: image_id, m, src) the map is looked up at the MCU
+    that m shows, and pasted ones are not looked up. Sizes are numbers, or columns of `pixels`. Neighbours come from windows
     over single pixel rows and columns, so a large picture is spread over its
     rows.
     """
@@ -74,6 +76,8 @@ def damage_score(
     if mcus is None:
         return scored
     bad = mcus.where("anomalies <> 0").select("image_id", "m", F.lit(True).alias("_bad"))
+    if traced is not None:
+        bad = traced.select("image_id", "m", "src").join(bad.withColumnRenamed("m", "src"), ["image_id", "src"]).drop("src")
     return scored.join(bad, ["image_id", "m"], "left").select(
         "image_id", "m", F.when(F.col("_bad"), F.lit(1.0)).otherwise(F.col("score")).alias("score")
     )
@@ -148,8 +152,12 @@ def estimate_dc(edges: DataFrame, mask: DataFrame, quant: DataFrame) -> DataFram
     `edges`: image_id, m, comp, brow, bcol and the edge samples; `mask`:
     image_id, m. Differences are taken where only one side of a block edge is
     selected; their upper median per channel is the shift. Confidence falls
-    with the spread of luma.
+    with the spread of luma. Where `edges` has brows and bcols, the rows and
+    columns of blocks that hold picture, blocks beyond them are padding and are
+    not compared.
     """
+    if {"brows", "bcols"} <= set(edges.columns):
+        edges = edges.where("brow < brows AND bcol < bcols")
     key = ["image_id", "comp", "brow", "bcol"]
     inside = edges.join(mask.select("image_id", "m"), ["image_id", "m"], "left_semi")
     outside = edges.join(mask.select("image_id", "m"), ["image_id", "m"], "left_anti")

@@ -71,10 +71,10 @@ def parse_projects(raw: DataFrame, app: str = APP) -> DataFrame:
 
 
 def read_projects(spark: SparkSession, path: str, app: str = APP) -> tuple[DataFrame, DataFrame]:
-    """(projects, errors): one row per usable project file, and path and error of the others."""
+    """(projects, errors): one row per usable project file below `path`, and path and error of the others."""
     # The metadata column holds an encoded URI; listings hold names as they are.
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    raw = spark.read.option("wholetext", True).text(path).select(decoded.alias("path"), "value")
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(decoded.alias("path"), "value")
     parsed = parse_projects(raw, app)
     return project_rows(parsed), parsed.where("error IS NOT NULL").select("path", "error")
 

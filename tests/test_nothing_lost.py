@@ -94,7 +94,7 @@ def test_equal_base_names_do_not_meet(spark, tmp_path):
 
 
 def test_one_folder_with_most_files(spark):
-    blobs = [jpeg(16, 16, b"s" * 50)] * 60 + [b"junk"] * 540
+    blobs = [jpeg(16, 16, b"s" * 50, nc=3)] * 60 + [b"junk"] * 540
     files = table(spark, blobs).withColumn("path", F.expr("format_string('hot/%04d.jpg', 599 - file_id)"))
     got = dn.suggest_siblings(files).collect()
     usable = sorted(f"hot/{599 - i:04d}.jpg" for i in range(60))
@@ -119,6 +119,32 @@ def test_each_picture_has_its_own_width(spark):
     assert grown.groupBy("image_id").count().orderBy("image_id").collect() == [(1, 4), (2, 9)]
 
 
+def test_map_is_read_where_the_picture_comes_from(spark):
+    px = spark.range(64).selectExpr("0L AS image_id", "id % 16 AS x", "id div 16 AS y", "100L AS c0", "128L AS c1", "128L AS c2")
+    mcus = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 2, 0), (0, 3, 2)], "image_id long, m long, anomalies int")
+    traced = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 2, 3), (0, 3, None)], "image_id long, m long, src long")
+    score = lambda t: {r.m: r.score for r in g.damage_score(px, 16, 4, 4, 4, mcus, t).collect()}
+    assert score(None) == {0: 1.0, 1: 0.0, 2: 0.0, 3: 1.0}
+    assert score(traced) == {0: 0.0, 1: 1.0, 2: 1.0, 3: 0.0}
+
+
+def test_padding_blocks_do_not_count(spark):
+    side = lambda v: [float(v)] * 8
+    rows = []
+    for r in range(3):
+        for c in range(3):
+            inside = c == 1
+            # The last column is padding with wild values.
+            v = 90 if c == 2 else (10 if inside else 20)
+            rows.append((0, r * 3 + c, 0, r, c, side(v), side(v), side(v), side(v), 3, 2))
+    edges = spark.createDataFrame(
+        rows, "image_id long, m long, comp int, brow long, bcol long, top array<double>, bottom array<double>, left array<double>, right array<double>, brows int, bcols int"
+    )
+    mask = spark.createDataFrame([(0, 1), (0, 4), (0, 7), (0, 2)], "image_id long, m long")
+    quant = spark.createDataFrame([(0, 0, [8] * 64)], "image_id long, comp int, q array<int>")
+    assert [(r.shift, r.boundary) for r in g.estimate_dc(edges, mask, quant).collect()] == [(10.0, 24)]
+
+
 def _project(steps):
     return json.dumps({"app": "mendframe", "formatVersion": 2, "source": "a.jpg", "steps": steps})
 

@@ -288,6 +288,6 @@ def test_pictures_and_reports_are_written(spark, tmp_path):
     sinks.write_report(report, str(tmp_path / "reports"))
     import json
 
-    got = json.loads((tmp_path / "reports" / "p.jpg.report.json").read_text())
+    got = json.loads((tmp_path / "reports" / "out" / "p.jpg.report.json").read_text())
     assert got["mcus"]["moved"] == 3 and got["source"]["path"] == "p.jpg" and "donorHeader" not in got["source"]
-    assert "moved into place:       3 (75.0%)" in sinks.build_report(report).first().text
+    assert "mcus\tmoved\t3\t75.0\n" in sinks.build_report(report).first().text
