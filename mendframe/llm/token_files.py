@@ -3,7 +3,7 @@
 Documents in ascending doc_id, each closed by an end id, are one stream of
 ids. A file holds a range of documents as record batches with two columns:
 `ids`, a fixed-size list of unsigned 16- or 32-bit ids, and `mask`, a fixed-size list
-of bytes that are 0 on padding. Files are not compressed, so a reader maps
+of bits that are 0 on padding. Files are not compressed, so a reader maps
 them and finds sequence k of a file at a fixed offset. Sequences are packed
 across documents; only the last one of a file is padded. Beside each file lies an
 index of its documents.
@@ -38,7 +38,9 @@ class Encoder:
     """Ids of texts, each distinct word encoded once as long as the cache lasts.
 
     For tokenizers that cut at white space and drop it: a text's ids are those
-    of its words, one after the other.
+    of its words, one after the other. ASCII words are also looked up without
+    case and without one full stop or comma behind a letter or digit, which is a
+    token of its own.
     """
 
     def __init__(self, model: str, known_at_most: int = 600_000):
@@ -47,7 +49,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.most = known_at_most
         self.known: dict[str, tuple[int, ...]] = {}
-        probe = " It's  a-b\r\n\tc1\x0bd "
+        self.atoms: dict[str, tuple[int, ...]] = {}
+        same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab. C9,", "ab . c9 ,")]
+        self.folds = same[0] == same[1]
+        probe = " It's  A-b\r\n\tC1\x0bd, x9. "
         if self.tokenizer.encode(probe, add_special_tokens=False).ids != list(self(probe)):
             raise ValueError("this tokenizer does not drop white space")
 
@@ -58,11 +63,25 @@ class Encoder:
         if new:
             if len(known) + len(new) > self.most:
                 known.clear()
+                self.atoms.clear()
                 new = list(dict.fromkeys(found))
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update((w, tuple(c.ids)) for w, c in zip(new, coded, strict=True))
+            atoms, parts = self.atoms, [self._atoms(w) for w in new]
+            missing = [a for a in dict.fromkeys(chain.from_iterable(parts)) if a not in atoms]
+            coded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
+            atoms.update((a, tuple(c.ids)) for a, c in zip(missing, coded, strict=True))
+            for w, p in zip(new, parts, strict=True):
+                known[w] = atoms[p[0]] if len(p) == 1 else atoms[p[0]] + atoms[p[1]]
         return chain.from_iterable(map(known.__getitem__, found))
 
+    def _atoms(self, word: str) -> tuple[str, ...]:
+        # The strings of special tokens are matched before case is folded.
+        if not self.folds or not word.isascii() or "<|" in word:
+            return (word,)
+        low = word.lower()
+        if low[-1:] in (".", ",") and low[-2:-1].isalnum():
+            return low[:-1], low[-1]
+        return (low,)
+
     @property
     def dtype(self):
         return np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -71,14 +90,14 @@ class Encoder:
 def _schema(dtype, length: int, meta: dict) -> pa.Schema:
     kind = pa.from_numpy_dtype(dtype)
     return pa.schema(
-        [pa.field("ids", pa.list_(kind, length)), pa.field("mask", pa.list_(pa.uint8(), length))],
+        [pa.field("ids", pa.list_(kind, length)), pa.field("mask", pa.list_(pa.bool_(), length))],
         metadata={"tokens": json.dumps(meta)},
     )
 
 
 def _batch(schema: pa.Schema, ids: np.ndarray, real: int, length: int) -> pa.RecordBatch:
-    mask = np.zeros(len(ids), np.uint8)
-    mask[:real] = 1
+    mask = np.zeros(len(ids), bool)
+    mask[:real] = True
     return pa.record_batch(
         [
             pa.FixedSizeListArray.from_arrays(pa.array(ids), length),
@@ -166,13 +185,13 @@ def write_token_files(
 
 
 def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of sequence k of a file on a local disk, without copying."""
+    """(ids, mask) of sequence k of a file on a local disk: ids are the mapped file, mask is unpacked from its bits."""
     _, base = _open(folder)
     reader = pa.ipc.open_file(pa.memory_map(f"{base}/{name}.arrow"))
     rows = reader.get_batch(0).num_rows
     batch = reader.get_batch(k // rows)
-    ids, mask = (batch.column(i)[k % rows].values.to_numpy(zero_copy_only=True) for i in (0, 1))
-    return ids, mask
+    ids, mask = (batch.column(i)[k % rows].values for i in (0, 1))
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def _read(folder: str):
@@ -201,8 +220,8 @@ def _read(folder: str):
                         while have < n:
                             rows = reader.get_batch(number)
                             number += 1
-                            ids, mask = (rows.column(i).flatten().to_numpy() for i in (0, 1))
-                            parts.append(ids if mask[-1] else ids[mask != 0])
+                            ids, mask = (rows.column(i).flatten().to_numpy(zero_copy_only=not i) for i in (0, 1))
+                            parts.append(ids if mask[-1] else ids[mask])
                             have += len(parts[-1])
                         flat = np.concatenate(parts) if len(parts) > 1 else held
                         out.append((doc_id, start, flat[:n]))
