@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from mendframe.functions.lineage import materialize
 from mendframe.functions.sizes import Size, pixel_sizes
 
-# Fixed values of the fit.
+# How far from the hole pixels are judged, how far the answer may have moved at
+# half size, and by how much a shift must beat the one before.
 BAND = 64
 HALF_REACH = 6
 COARSE_GAIN = 0.98
@@ -20,13 +21,13 @@ CHANNELS = ["c0", "c1", "c2"]
 _LUMA = "shiftright(cast(c0 * 77 + c1 * 150 + c2 * 29 as bigint), 8)"
 
 
-def _judged(original: DataFrame, mask: DataFrame) -> DataFrame:
+def _judged(original: DataFrame, mask: DataFrame, band: int = BAND) -> DataFrame:
     """Pixels of the original outside the hole but within the band around it."""
     hole = mask.groupBy("image_id").agg(
         F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1")
     )
     near = original.join(hole, "image_id").where(
-        f"x BETWEEN _x0 - {BAND} AND _x1 + {BAND} AND y BETWEEN _y0 - {BAND} AND _y1 + {BAND}"
+        f"x BETWEEN _x0 - {band} AND _x1 + {band} AND y BETWEEN _y0 - {band} AND _y1 + {band}"
     )
     return near.join(mask.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti").select(
         "image_id", "x", "y", *CHANNELS
@@ -82,12 +83,12 @@ def _best(costs: DataFrame, start_dx: str, start_dy: str, factor: float) -> Data
     ).select("image_id", F.col("b.dx").alias("dx"), F.col("b.dy").alias("dy"))
 
 
-def find_drift(original: DataFrame, answer: DataFrame, mask: DataFrame, judged: DataFrame) -> DataFrame:
+def find_drift(original: DataFrame, answer: DataFrame, mask: DataFrame, judged: DataFrame, reach: int = HALF_REACH) -> DataFrame:
     """image_id, dx, dy: how far the answer moved, coarsely at half size and then to the pixel."""
     images = judged.select("image_id").distinct()
     half_here = _half(judged)
     enough = half_here.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 64").select("image_id")
-    coarse_costs = _drift_costs(half_here, _half(answer), _square(enough, HALF_REACH)).withColumn(
+    coarse_costs = _drift_costs(half_here, _half(answer), _square(enough, reach)).withColumn(
         "_sx", F.lit(0).cast("bigint")
     ).withColumn("_sy", F.lit(0).cast("bigint"))
     coarse = _best(coarse_costs, "_sx", "_sy", COARSE_GAIN).select(
@@ -117,7 +118,9 @@ def _shifted(answer: DataFrame, points: DataFrame, drift: DataFrame, width: Size
     return at.join(src, ["image_id", "_ax", "_ay"]).drop("_ax", "_ay")
 
 
-def register_grids(original: DataFrame, answer: DataFrame, mask: DataFrame, width: int | None = None, height: int | None = None) -> tuple[DataFrame, DataFrame]:
+def register_grids(
+    original: DataFrame, answer: DataFrame, mask: DataFrame, width: int | None = None, height: int | None = None, band: int = BAND, reach: int = HALF_REACH
+) -> tuple[DataFrame, DataFrame]:
     """(fit, registered): drift, gain and offset per channel and residual per image, and the answer moved back.
 
     The fit is judged on real picture near the hole, so a tint or a move of
@@ -131,10 +134,10 @@ def register_grids(original: DataFrame, answer: DataFrame, mask: DataFrame, widt
         images = materialize(pixel_sizes(original))
         width, height = "_width", "_height"
     sizes = [c for c in images.columns if c != "image_id"]
-    judged = _judged(original, mask)
+    judged = _judged(original, mask, band)
     usable = judged.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 64").select("image_id")
     judged = materialize(judged.join(usable, "image_id", "left_semi"))
-    drift = materialize(find_drift(original, answer, mask, judged))
+    drift = materialize(find_drift(original, answer, mask, judged, reach))
     seen = _shifted(answer, judged, drift.join(images, "image_id"), width, height)
     sums = seen.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n"),
