@@ -7,8 +7,9 @@ lists its distinct chunks; equal chunks of all blocks meet in one bucket by
 hash, where each is segmented once; the ids go back to the blocks and are
 joined to the texts by position.
 
-Blocks, and not single words, are the rows that travel: a text is shuffled as
-compressed positions, a chunk once per block. Buckets are streamed, so memory
+Blocks, and not single words, are the rows: a chunk travels once per block and
+its ids come back once; the positions are written in buckets of their block and
+stay where they are when the ids come. Buckets are streamed, so memory
 is bounded by a block and by the cache of distinct chunks.
 """
 
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import id_in, id_out, saved
+from mendframe.llm.common import bucketed, id_in, id_out
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -62,11 +64,29 @@ def segment(sp, chunks: list[str]) -> list[list[int]]:
     return [ids[skip:] for ids in sp.encode(["\n" + c for c in chunks], num_threads=1)]
 
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers packed with the bytes of one significance together, which compresses better."""
+    return _pack(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(_unpack(data), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
+
+
 def _blocks(chars: int, buckets: int):
-    """Rows (block, doc_ids, lengths, positions, chunks), each of about `chars` characters.
+    """Rows (block, doc_ids, lengths, positions, bucket_of, chunks), each of about `chars` characters.
 
-    Position 0 is the line feed; the others count through the block's chunks,
-    bucket by bucket.
+    positions holds a number for each chunk of the texts, 0 for the line feed
+    and the others from 1 on as they first occur, so frequent ones are small;
+    bucket_of says where each went, in whose list they keep their order.
     """
 
     def close(name: str, ids: list, texts: list[str]) -> pd.DataFrame:
@@ -74,21 +94,17 @@ def _blocks(chars: int, buckets: int):
         at = [
             np.array([number.setdefault(c, len(number)) for c in _CHUNK.findall(marked(t))], np.uint32) for t in texts
         ]
-        chunks = list(number)[1:]
-        where = np.array([zlib.crc32(c.encode()) % buckets for c in chunks], np.int64)
-        order = np.argsort(where, kind="stable")
-        place = np.zeros(len(number), np.uint32)
-        place[1 + order] = np.arange(1, len(number), dtype=np.uint32)
-        ends = np.cumsum(np.bincount(where, minlength=buckets))
-        by = [[chunks[i] for i in order[lo:hi]] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
-        flat = place[np.concatenate(at)] if at else place[:0]
+        by: list[list[str]] = [[] for _ in range(buckets)]
+        where = np.fromiter((zlib.crc32(c.encode()) % buckets for c in number), np.uint32, len(number))[1:]
+        for c, b in zip(list(number)[1:], where.tolist(), strict=True):
+            by[b].append(c)
         row = {
             "block": name,
             "doc_ids": ids,
             "lengths": [len(a) for a in at],
-            # The bytes of one significance stand together: they compress better.
-            "positions": zlib.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 1),
-            "chunks": [zlib.compress("\n".join(b).encode(), 1) if b else None for b in by],
+            "positions": _planes(np.concatenate(at)),
+            "bucket_of": _planes(where),
+            "chunks": [_pack("\n".join(b).encode()) if b else None for b in by],
         }
         return pd.DataFrame([row])
 
@@ -119,7 +135,7 @@ def _segmented(model, known_at_most: int = 1_000_000):
         for batch in batches:
             out, sizes = [], []
             for packed in batch["chunks"]:
-                chunks = zlib.decompress(packed).decode().split("\n")
+                chunks = _unpack(packed).decode().split("\n")
                 new = [c for c in chunks if c not in known]
                 if len(known) + len(new) > known_at_most:
                     known.clear()
@@ -128,7 +144,7 @@ def _segmented(model, known_at_most: int = 1_000_000):
                 ids = [known[c] for c in chunks]
                 n = np.array([len(i) for i in ids], np.uint32)
                 flat = np.array([i for one in ids for i in one], np.uint32)
-                out.append(zlib.compress(n.tobytes() + flat.tobytes(), 1))
+                out.append(_planes(np.concatenate([n, flat])))
                 sizes.append(len(n))
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "ids": out, "n": sizes})
 
@@ -141,14 +157,19 @@ def _assembled(model):
         feed = np.array(line_feed(sp), np.uint32)
         for batch in batches:
             for row in batch.itertuples():
+                where = _from_planes(row.bucket_of)
                 size, flat = [np.array([len(feed)], np.uint32)], [feed]
                 for part in sorted(row.parts if row.parts is not None else (), key=lambda p: p["bucket"]):
-                    packed = np.frombuffer(zlib.decompress(part["ids"]), np.uint32)
+                    packed = _from_planes(part["ids"])
                     size.append(packed[: part["n"]])
                     flat.append(packed[part["n"] :])
                 size, flat = np.concatenate(size).astype(np.int64), np.concatenate(flat)
-                first = np.cumsum(size) - size
-                at = np.frombuffer(zlib.decompress(row.positions), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
+                # From bucket order back to the numbers of the positions.
+                place = np.zeros(len(where) + 1, np.int64)
+                place[1 + np.argsort(where, kind="stable")] = np.arange(1, len(where) + 1)
+                first = (np.cumsum(size) - size)[place]
+                size = size[place]
+                at = _from_planes(row.positions)
                 lo, out = 0, []
                 for doc_id, n in zip(row.doc_ids, row.lengths, strict=True):
                     p = at[lo : lo + n]
@@ -169,7 +190,7 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "ids", "decoded"])
 
 
-def encode_decode(docs: DataFrame, model: bytes, chars: int = 4_000_000, buckets: int | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, model: bytes, chars: int = 16_000_000, buckets: int | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, ids, decoded.
 
     ids are those of the model for the whole text, without begin or end ids;
@@ -185,12 +206,14 @@ def encode_decode(docs: DataFrame, model: bytes, chars: int = 4_000_000, buckets
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = spark.sparkContext.broadcast(model)  # one file of fixed size
-    blocks = saved(
+    blocks = bucketed(
         docs.select(id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
             _blocks(chars, buckets),
-            "block string, doc_ids array<bigint>, lengths array<int>, positions binary, chunks array<binary>",
+            "block string, doc_ids array<bigint>, lengths array<int>, positions binary, bucket_of binary, chunks array<binary>",
         ),
-        "piece-blocks",
+        "piece_blocks",
+        "block",
+        buckets,
     )
     parts = (
         blocks.select("block", F.posexplode("chunks").alias("bucket", "chunks"))
@@ -201,8 +224,8 @@ def encode_decode(docs: DataFrame, model: bytes, chars: int = 4_000_000, buckets
         .agg(F.collect_list(F.struct("bucket", "ids", "n")).alias("parts"))
     )
     return (
-        blocks.select("block", "doc_ids", "lengths", "positions")
-        .join(parts, "block", "left")
+        blocks.select("block", "doc_ids", "lengths", "positions", "bucket_of")
+        .join(parts.hint("merge"), "block", "left")
         .mapInPandas(_assembled(model), "doc_id bigint, ids array<int>, decoded string")
         .withColumn("doc_id", id_out("doc_id"))
     )
