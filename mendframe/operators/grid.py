@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,47 +262,91 @@ def selection_rects(mask: DataFrame, mcu_w: Size, mcu_h: Size, width: Size, heig
     )
 
 
-def regions(mask: DataFrame, width: Size) -> DataFrame:
-    """image_id, region, r0, c0, r1, c1, mcus: 8-connected parts of the selection, in scan order.
-
-    Labels spread over runs, not MCUs: every round takes the smallest label of
-    the touching runs and then the label of that label, so the rounds grow
-    with the logarithm of a region's length. Each round is materialised.
-    `width` is a number, or a column of `mask`.
+def _touching(above: list[tuple], below: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of places of runs (c0, c1) of two neighbouring rows, both in order, that touch at a side or corner."""
+    pairs, i, j = [], 0, 0
+    while i < len(above) and j < len(below):
+        if above[i][0] <= below[j][1] + 1 and below[j][0] <= above[i][1] + 1:
+            pairs.append((i, j))
+        if above[i][1] <= below[j][1]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+def _label_band(runs: pd.DataFrame) -> pd.DataFrame:
+    """The smallest id of the part of one band of rows that each run belongs to."""
+    runs = runs.sort_values(["row", "c0"], ignore_index=True)
+    root = list(range(len(runs)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    cells = list(zip(runs["c0"].tolist(), runs["c1"].tolist(), strict=True))
+    starts = runs.index[~runs["row"].duplicated()].tolist() + [len(runs)]
+    rows = runs["row"].tolist()
+    for k in range(len(starts) - 2):
+        lo, mid, hi = starts[k : k + 3]
+        if rows[mid] == rows[lo] + 1:
+            for i, j in _touching(cells[lo:mid], cells[mid:hi]):
+                x, y = find(lo + i), find(mid + j)
+                root[max(x, y)] = min(x, y)
+    ids = runs["id"].to_numpy()
+    return pd.DataFrame({"image_id": runs["image_id"], "id": ids, "label": ids[[find(i) for i in range(len(runs))]]})
+
+
+def regions(mask: DataFrame, width: Size, band: int = 256) -> DataFrame:
+    """image_id, first_m, r0, c0, r1, c1, mcus: 8-connected parts of the selection.
+
+    Runs are joined inside bands of `band` MCU rows, each in one task. Only
+    where parts of two bands touch, which takes a picture of more than one
+    band, labels spread over the touching parts: every round takes the smallest
+    label of the neighbours and then the label of that label, so the rounds
+    grow with the logarithm of the number of bands. `width` is a number, or a
+    column of `mask`.
     """
-    nodes = materialize(
-        selection_runs(mask, width).withColumn("id", F.expr(f"row * ({width}) + c0")).select("image_id", "row", "c0", "c1", "id")
+    nodes = selection_runs(mask, width).withColumn("id", F.expr(f"cast(row * ({width}) + c0 as bigint)"))
+    nodes = materialize(nodes.select("image_id", "row", "c0", "c1", "id", F.expr(f"row div {band}").alias("band")))
+    local = materialize(
+        nodes.groupBy("image_id", "band").applyInPandas(_label_band, f"image_id {nodes.schema['image_id'].dataType.simpleString()}, id bigint, label bigint")
     )
-    a, b = nodes.alias("a"), nodes.alias("b")
-    touch = (
-        (F.col("a.image_id") == F.col("b.image_id"))
-        & (F.col("a.row") + 1 == F.col("b.row"))
-        & (F.col("a.c0") <= F.col("b.c1") + 1)
-        & (F.col("b.c0") <= F.col("a.c1") + 1)
+    named = nodes.join(local, ["image_id", "id"])
+    upper = named.where(f"row % {band} = {band - 1}").select(
+        "image_id", (F.col("row") + 1).alias("row"), F.col("c0").alias("_a0"), F.col("c1").alias("_a1"), F.col("label").alias("other")
     )
-    down = a.join(b, touch).select(F.col("a.image_id"), F.col("a.id").alias("id"), F.col("b.id").alias("other"))
-    links = materialize(
-        down.unionByName(down.select("image_id", F.col("other").alias("id"), F.col("id").alias("other")))
+    down = (
+        named.where(f"row % {band} = 0")
+        .join(upper, ["image_id", "row"])
+        .where("_a0 <= c1 + 1 AND c0 <= _a1 + 1")
+        .select("image_id", F.col("label").alias("id"), "other")
+        .distinct()
     )
-    labels = nodes.select("image_id", "id", F.col("id").alias("label"))
-    while True:
+    links = materialize(down.unionByName(down.select("image_id", F.col("other").alias("id"), F.col("id").alias("other"))))
+    parts_of = links.select("image_id", "id").distinct().withColumn("label", F.col("id"))
+    while not links.isEmpty():
         near = (
-            links.join(labels.select("image_id", F.col("id").alias("other"), "label"), ["image_id", "other"])
+            links.join(parts_of.select("image_id", F.col("id").alias("other"), "label"), ["image_id", "other"])
             .groupBy("image_id", "id")
             .agg(F.min("label").alias("_near"))
         )
-        low = labels.join(near, ["image_id", "id"], "left").select(
+        low = parts_of.join(near, ["image_id", "id"]).select(
             "image_id", "id", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
         )
         jump = low.select("image_id", F.col("id").alias("label"), F.col("label").alias("_to"))
         step = materialize(
-            low.join(jump, ["image_id", "label"]).select(
-                "image_id", "id", F.least("label", "_to").alias("label"), "_old"
-            )
+            low.join(jump, ["image_id", "label"]).select("image_id", "id", F.least("label", "_to").alias("label"), "_old")
         )
-        labels = step.select("image_id", "id", "label")
+        parts_of = step.select("image_id", "id", "label")
         if step.where("label <> _old").isEmpty():
             break
+    merged = parts_of.select("image_id", F.col("id").alias("label"), F.col("label").alias("_into"))
+    labels = local.join(merged, ["image_id", "label"], "left").select(
+        "image_id", "id", F.coalesce("_into", "label").alias("label")
+    )
     parts = (
         nodes.join(labels, ["image_id", "id"])
         .groupBy("image_id", "label")

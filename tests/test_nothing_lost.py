@@ -145,6 +145,17 @@ def test_padding_blocks_do_not_count(spark):
     assert [(r.shift, r.boundary) for r in g.estimate_dc(edges, mask, quant).collect()] == [(10.0, 24)]
 
 
+def test_regions_over_several_bands(spark):
+    """A snake through all rows, beside single dots, whatever the height of a band."""
+    rows = [(1, r, c) for r in range(0, 40, 2) for c in range(10)] + [(1, r, 9 if r % 4 == 1 else 0) for r in range(1, 40, 2)]
+    rows += [(1, r, 12) for r in range(0, 40, 3)]
+    mask = spark.createDataFrame(rows, "image_id long, row long, col long")
+    want = [(0, 0, 39, 9, 220)] + [(r, 12, r, 12, 1) for r in range(0, 40, 3)]
+    for band in (1, 3, 256):
+        got = sorted((r.r0, r.c0, r.r1, r.c1, r.mcus) for r in g.regions(mask, 14, band).collect())
+        assert got == sorted(want)
+
+
 def _project(steps):
     return json.dumps({"app": "mendframe", "formatVersion": 2, "source": "a.jpg", "steps": steps})
 
