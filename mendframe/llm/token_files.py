@@ -52,6 +52,9 @@ class Encoder:
         self.atoms: dict[str, tuple[int, ...]] = {}
         same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab. C9,", "ab . c9 ,")]
         self.folds = same[0] == same[1]
+        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab().items()
+        self.ends = {i for t, i in vocabulary if t.endswith(suffix)} if suffix else None
         probe = " It's  A-b\r\n\tC1\x0bd, x9. "
         if self.tokenizer.encode(probe, add_special_tokens=False).ids != list(self(probe)):
             raise ValueError("this tokenizer does not drop white space")
@@ -67,12 +70,24 @@ class Encoder:
                 new = list(dict.fromkeys(found))
             atoms, parts = self.atoms, [self._atoms(w) for w in new]
             missing = [a for a in dict.fromkeys(chain.from_iterable(parts)) if a not in atoms]
-            coded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            atoms.update((a, tuple(c.ids)) for a, c in zip(missing, coded, strict=True))
+            plain = [a for a in missing if self.ends is not None and a.isascii() and a.isalpha()]
+            for lo in range(0, len(plain), 1000):
+                self._run(plain[lo : lo + 1000])
+            rest = [a for a in missing if a not in atoms]
+            coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            atoms.update((a, tuple(c.ids)) for a, c in zip(rest, coded, strict=True))
             for w, p in zip(new, parts, strict=True):
                 known[w] = atoms[p[0]] if len(p) == 1 else atoms[p[0]] + atoms[p[1]]
         return chain.from_iterable(map(known.__getitem__, found))
 
+    def _run(self, words: list[str]) -> None:
+        """Words of letters are one token each before merging: encoded in one go and cut where a word ends."""
+        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        ends = [i + 1 for i, t in enumerate(ids) if t in self.ends]
+        if len(ends) == len(words):
+            starts = [0, *ends[:-1]]
+            self.atoms.update((w, tuple(ids[a:b])) for w, a, b in zip(words, starts, ends, strict=True))
+
     def _atoms(self, word: str) -> tuple[str, ...]:
         # The strings of special tokens are matched before case is folded.
         if not self.folds or not word.isascii() or "<|" in word:
@@ -246,7 +261,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     bases = files.select("name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     docs = (
         files.select("name")
-        .repartition("name")
+        # A row per file: by number, so that small rows are not put into one task.
+        .repartition(max(1, files.count()), "name")
         .mapInPandas(_read(folder), "name string, doc_id bigint, start bigint, ids array<int>, crc32 bigint")
     )
     return docs.join(bases, "name").select(
