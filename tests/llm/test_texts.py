@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import sys
 from collections import Counter
@@ -130,6 +131,35 @@ PLAIN = {
 }
 
 
+def test_substring_at_any_offset(spark):
+    """Passages inside long sentences, at all offsets: every repeated window of words goes, but for the ends of a passage."""
+    longest, least = 16, 20
+    r = random.Random(8)
+    word = lambda: f"v{r.randrange(10**6)}"
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = [word() for _ in range(4 * longest + least)]
+    mixed = [w + "." * (i % 23 == 9) for i, w in enumerate(word() for _ in range(110))]
+    data = [(i, "\t".join([word() for _ in range(5 + i)] + passage + [word() for _ in range(7)]), "en", "s", 1) for i in range(20)]
+    data += [(100 + i, " ".join([word() for _ in range(3 + i)] + mixed + [word() for _ in range(9)]), "en", "s", 1) for i in range(20)]
+    chinese = han(150)
+    data += [(200 + i, han(11 + i) + chinese + han(9), "zh", "s", 1) for i in range(17)]
+    result = {x.doc_id: x for x in substring_dedup.remove_repeated_spans(documents(spark, data)).collect()}
+    seen: set = set()
+    for doc_id, text, *_ in data:
+        units = list(text) if doc_id >= 200 else text.split()
+        bits = list(re.finditer(r"\S", text) if doc_id >= 200 else re.finditer(r"\S+", text))
+        spans = [tuple(map(int, x.split(":"))) for x in result[doc_id].removed_spans.split(",") if x]
+        gone = [any(a <= m.start() and m.end() <= b for a, b in spans) for m in bits]
+        windows = [tuple(units[i : i + 50]) for i in range(len(units) - 49)]
+        again = [any(windows[j] in seen for j in range(max(0, i - 49), min(i + 1, len(windows)))) for i in range(len(units))]
+        seen.update(windows)
+        assert not any(g and not a for g, a in zip(gone, again, strict=True)), doc_id
+        if doc_id % 100:
+            left = [i for i, (g, a) in enumerate(zip(gone, again, strict=True)) if a and not g]
+            lo, hi = again.index(True), len(again) - again[::-1].index(True)
+            assert any(gone) and all(i - lo <= longest or hi - i <= longest + 1 for i in left), doc_id
+
+
 def plain_spans(text):
     out = []
     for k, (kind, pattern) in enumerate(PLAIN.items()):
