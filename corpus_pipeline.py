@@ -30,11 +30,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, that with the smallest doc_id, of each group of near-duplicates.
 
     Five-word shingles and a similarity of 0.8. Rows without doc_id stay; of
-    repeated rows one stays, and of rows with one doc_id the first by text.
+    repeated rows one stays. A row goes as a near-duplicate for its own text only; of
+    those with one doc_id that are left, the first by text stays.
     """
-    judged = near_duplicates(docs)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    judged = near_duplicates(docs, marks=True)
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone"), "mark").distinct()
+    same = (docs["doc_id"] == gone["gone"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == gone["mark"])
+    left = docs.join(gone, same, "left_anti")
     once = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
     return once.select("doc_id", "d.*").unionByName(left.where("doc_id IS NULL")).select(*COLUMNS)
 

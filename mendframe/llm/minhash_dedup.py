@@ -101,6 +101,7 @@ def _signatures(size: int, coords: int):
                     "fp": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
                     "sig": sig,
                 }
+                | ({"mark": batch["mark"]} if "mark" in batch else {})
             )
 
     return run
@@ -134,8 +135,8 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS, marks: bool = False) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, with `marks` also mark, the text's hash.
 
     A document's set holds its distinct `words`-word shingles; documents are
     linked when 100 * intersection >= `percent` * union. component_id is the
@@ -147,11 +148,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
     another is there. An empty table gives an empty result. Further columns
     of `docs` are ignored.
     """
-    docs = docs.select(id_in("doc_id"), F.col("text").cast("string").alias("text"))
+    mark = [F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")] if marks else []
+    docs = docs.select(id_in("doc_id"), F.col("text").cast("string").alias("text"), *mark)
     need = match_threshold(percent, coords)
     rows = saved(
         docs.mapInPandas(
-            _signatures(words, coords), "doc_id bigint, n_shingles bigint, fp binary, sig array<int>"
+            _signatures(words, coords), "doc_id bigint, n_shingles bigint, fp binary, sig array<int>" + (", mark string" if marks else "")
         ),
         "minhash-signatures",
     ).withColumn("doc_id", id_out("doc_id"))
@@ -180,6 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        *(["mark"] if marks else []),
     )
 
 

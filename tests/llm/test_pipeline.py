@@ -51,6 +51,14 @@ def test_stages(spark):
     assert Counter((d, n, tuple(i)) for d, n, i in coded) == Counter((r[0], len(e), tuple(e)) for r in mixed for e in [sp.encode(r[1])])
 
 
+def test_repeated_id_is_judged_by_its_own_text(spark):
+    """A document goes for its own text, not for that of another one with its doc_id."""
+    one, two = prose(4001, 120, 3000), prose(4002, 120, 3000)
+    data = [(1, one, "en", "s", 1), (2, two, "en", "s", 1), (2, one + " More.", "en", "s", 1)]
+    left = corpus_pipeline.near_duplicate_stage(spark, documents(spark, data), "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, one), (2, two)]
+
+
 def test_empty(spark):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
