@@ -6,21 +6,25 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mendframe.llm import (
     embedding_dedup,
+    hard_negatives,
     minhash_dedup,
     mixing,
+    periodic_runs,
     pii,
     quality,
     sentencepiece_codec,
     substring_dedup,
     token_files,
+    topk_search,
     url_filter,
     warc,
 )
 from mendframe.llm.common import shared_folder, table
-from mendframe.llm.sql import MIX, NEAR_TEXTS, NEAR_VECTORS, URLS, WARC
+from mendframe.llm.sql import HARD, MIX, NEAR_TEXTS, NEAR_VECTORS, TOPK, URLS, WARC
 
 
 @dataclass(frozen=True)
@@ -110,6 +114,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+@query("op11_topk_search", TOPK)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_hard_negatives", HARD)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.find_runs(docs))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
