@@ -132,6 +132,8 @@ def _resolve(slices: int, k: int):
         for s in range(slices):
             gap = np.nonzero(~known[s])[0]
             total[gap] += _pairs(a[s], b[s], q[gap], c[gap])
+        reached = total >= cut[q]
+        q, c, total = q[reached], c[reached], total[reached]
         order = np.lexsort((first[c], -total, q))
         q, c, total = q[order], c[order], total[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
