@@ -12,9 +12,10 @@ index of its documents.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,72 +35,97 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
+#: The text preparation of a tokenizer for which `Encoder` cuts words itself.
+PREPARED = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: Blanks, visible ASCII and Latin letters that are one code point in either case and in composed form.
+_PLAIN = re.compile("[ \t\n\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_PIECE = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\r{_LETTERS}0-9]+")
+
+
 class Encoder:
-    """Ids of texts, each distinct word encoded once as long as the cache lasts.
+    """Ids of texts as bytes, each distinct piece encoded once as long as the cache lasts.
 
     For tokenizers that cut at white space and drop it: a text's ids are those
-    of its words, one after the other. ASCII words are also looked up without
-    case and without one full stop or comma behind a letter or digit, which is a
-    token of its own.
+    of its words, one after the other. Where the tokenizer prepares text as
+    `PREPARED` says, plain text is cut here and goes straight to its model, a
+    quarter of the work; all other words, and all words of other tokenizers, take the
+    tokenizer's own way.
     """
 
-    def __init__(self, model: str, known_at_most: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, model: str, known_at_most: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = known_at_most
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.atoms: dict[str, tuple[int, ...]] = {}
-        same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab. C9,", "ab . c9 ,")]
-        self.folds = same[0] == same[1]
-        suffix = json.loads(model)["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab().items()
-        self.ends = {i for t, i in vocabulary if t.endswith(suffix)} if suffix else None
-        probe = " It's  A-b\r\n\tC1\x0bd, x9. "
-        if self.tokenizer.encode(probe, add_special_tokens=False).ids != list(self(probe)):
-            raise ValueError("this tokenizer does not drop white space")
-
-    def __call__(self, text: str):
-        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(found) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        as_read = json.loads(model)
+        self.model = self.tokenizer.model if all(as_read.get(k) == v for k, v in PREPARED.items()) else None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+        probe = " It's  A-b\r\n\tC1, x9. \u00c9t\u00e9's 50%%'ll <x> \u0141\u00f3d\u017a "
+        for text in (probe, probe + "\x0bd"):
+            if self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) != self(text):
+                raise ValueError("this tokenizer does not drop white space")
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.dtype.char, ids).tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        # The strings of special tokens are matched before anything else.
+        return self.model is not None and "<|" not in text and _PLAIN.fullmatch(text) is not None
+
+    def __call__(self, text: str) -> bytes:
+        if self._is_plain(text):
+            return self._looked_up(self.pieces, _PIECE.findall(text.lower()), self._of_pieces)
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return self._looked_up(self.words, words, self._of_words)
+
+    def _looked_up(self, known: dict[str, bytes], parts: list[str], code) -> bytes:
+        coded = list(map(known.get, parts))
+        if None in coded:
+            gaps = [i for i, c in enumerate(coded) if c is None]
+            new = dict.fromkeys([parts[i] for i in gaps])
+            fresh = code(new)
+            for i in gaps:
+                coded[i] = fresh[parts[i]]
+            if len(known) + len(fresh) > self.most:
                 known.clear()
-                self.atoms.clear()
-                new = list(dict.fromkeys(found))
-            atoms, parts = self.atoms, [self._atoms(w) for w in new]
-            missing = [a for a in dict.fromkeys(chain.from_iterable(parts)) if a not in atoms]
-            plain = [a for a in missing if self.ends is not None and a.isascii() and a.isalpha()]
-            for lo in range(0, len(plain), 1000):
-                self._run(plain[lo : lo + 1000])
-            rest = [a for a in missing if a not in atoms]
-            coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            atoms.update((a, tuple(c.ids)) for a, c in zip(rest, coded, strict=True))
-            for w, p in zip(new, parts, strict=True):
-                known[w] = atoms[p[0]] if len(p) == 1 else atoms[p[0]] + atoms[p[1]]
-        return chain.from_iterable(map(known.__getitem__, found))
-
-    def _run(self, words: list[str]) -> None:
-        """Words of letters are one token each before merging: encoded in one go and cut where a word ends."""
-        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
-        ends = [i + 1 for i, t in enumerate(ids) if t in self.ends]
-        if len(ends) == len(words):
-            starts = [0, *ends[:-1]]
-            self.atoms.update((w, tuple(ids[a:b])) for w, a, b in zip(words, starts, ends, strict=True))
-
-    def _atoms(self, word: str) -> tuple[str, ...]:
-        # The strings of special tokens are matched before case is folded.
-        if not self.folds or not word.isascii() or "<|" in word:
-            return (word,)
-        low = word.lower()
-        if low[-1:] in (".", ",") and low[-2:-1].isalnum():
-            return low[:-1], low[-1]
-        return (low,)
-
-    @property
-    def dtype(self):
-        return np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+            known.update(fresh)
+        return b"".join(coded)
+
+    def _of_pieces(self, pieces) -> dict[str, bytes]:
+        tokenize, table, pack = self.model.tokenize, self.byte_level, self._pack
+        return {p: pack([t.id for t in tokenize(p if p.isascii() else p.translate(table))]) for p in pieces}
+
+    def _of_words(self, words) -> dict[str, bytes]:
+        out = {w: self(w) for w in words if self._is_plain(w)}
+        rest = [w for w in words if w not in out]
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        return out | {w: self._pack(c.ids) for w, c in zip(rest, coded, strict=True)}
 
 
 def _schema(dtype, length: int, meta: dict) -> pa.Schema:
@@ -131,14 +157,15 @@ def _write(folder: str, model, end_id: int, length: int, rows: int):
         attempt = f".{name}-{context.taskAttemptId()}"
         system, base = _open(folder)
         encode = Encoder(model.value)
-        schema = _schema(encode.dtype, length, {"length": length, "end_id": end_id})
+        schema = _schema(encode.dtype, length, {"length": length, "rows": rows, "end_id": end_id})
+        end = np.array([end_id], encode.dtype).tobytes()
         docs, starts, sizes, total = [], [], [], 0
         held, pending = [], 0
         writer = sink = None
         step = length * rows
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.fromiter(chain(encode(text or ""), (end_id,)), encode.dtype)
+                ids = np.frombuffer(encode(text or "") + end, encode.dtype)
                 docs.append(doc_id)
                 starts.append(total)
                 sizes.append(len(ids))
@@ -199,23 +226,31 @@ def write_token_files(
     return saved(written, "token-file-list")
 
 
-def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of sequence k of a file on a local disk: ids are the mapped file, mask is unpacked from its bits."""
-    _, base = _open(folder)
-    reader = pa.ipc.open_file(pa.memory_map(f"{base}/{name}.arrow"))
-    rows = reader.get_batch(0).num_rows
+def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """(ids, mask) of sequence k of a file, neither of them copied.
+
+    On a local disk both are views of the mapped file; on any other file system
+    that pyarrow reaches only the file's footer and the batch that holds the
+    sequence are read, and both are views of that buffer. The mask is an Arrow
+    array of bits; they take a sixteenth of the ids' room, and bytes half of it.
+    """
+    system, base = _open(folder)
+    path = f"{base}/{name}.arrow"
+    local = getattr(system, "type_name", "") == "local"
+    reader = pa.ipc.open_file(pa.memory_map(path) if local else system.open_input_file(path))
+    rows = json.loads(reader.schema.metadata[b"tokens"])["rows"]
     batch = reader.get_batch(k // rows)
     ids, mask = (batch.column(i)[k % rows].values for i in (0, 1))
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def _read(folder: str):
-    def frame(name: str, docs: list[tuple]) -> pd.DataFrame:
+    def frame(base: int, docs: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "name": name,
                 "doc_id": [d for d, _, _ in docs],
-                "start": [s for _, s, _ in docs],
+                "start": [base + s for _, s, _ in docs],
+                "n_tokens": [len(i) for _, _, i in docs],
                 "ids": [i.astype(np.int32) for _, _, i in docs],
                 "crc32": [zlib.crc32(i.astype("<u4").tobytes()) for _, _, i in docs],
             }
@@ -224,7 +259,7 @@ def _read(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open(folder)
         for batch in batches:
-            for name in batch["name"]:
+            for name, before in zip(batch["name"], batch["base"], strict=True):
                 with system.open_input_file(f"{base}/{name}.index") as f:
                     index = pa.ipc.open_file(f).read_all()
                 with system.open_input_file(f"{base}/{name}.arrow") as f:
@@ -242,32 +277,29 @@ def _read(folder: str):
                         out.append((doc_id, start, flat[:n]))
                         held = flat[n:]
                         if len(out) == 500:
-                            yield frame(name, out)
+                            yield frame(before, out)
                             out = []
                     if out:
-                        yield frame(name, out)
+                        yield frame(before, out)
 
     return run
 
 
-def read_token_files(files: DataFrame, folder: str) -> DataFrame:
+def read_token_files(files: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
     """One row per document of the files listed in `files` (name, n_ids): doc_id, start, n_tokens, ids, crc32.
 
     start counts the ids of all documents before it, crc32 is that of the ids as
-    little-endian unsigned 32-bit integers. Each file is read on its own, batch by
-    batch; only the list of files, a row each, is numbered in one order.
+    little-endian unsigned 32-bit integers. Only the list of files, a row each, is
+    numbered in one order, before it is dealt over `tasks` tasks (default: the number of
+    shuffle partitions); a file is read batch by batch, and nothing moves after that.
     """
+    tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    docs = (
-        files.select("name")
-        # A row per file: by number, so that small rows are not put into one task.
-        .repartition(max(1, files.count()), "name")
-        .mapInPandas(_read(folder), "name string, doc_id bigint, start bigint, ids array<int>, crc32 bigint")
-    )
-    return docs.join(bases, "name").select(
-        id_out("doc_id"), (F.col("base") + F.col("start")).alias("start"), F.size("ids").cast("bigint").alias("n_tokens"), "ids", "crc32"
+    docs = bases.repartition(tasks).mapInPandas(
+        _read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids array<int>, crc32 bigint"
     )
+    return docs.withColumn("doc_id", id_out("doc_id"))
 
 
 def digest(read: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import sys
 import zlib
 from collections import Counter
@@ -245,8 +246,26 @@ def test_token_files(spark):
         for k in range(-(-first.n_ids // length)):
             ids, mask = token_files.sequence(folder, first.name, k)
             assert len(ids) == length and not ids.flags.owndata
-            got += ids[mask != 0].tolist()
+            assert not ids.flags.owndata and mask.buffers()[1].is_cpu
+            got += ids[mask.to_numpy(zero_copy_only=False)].tolist()
         assert got == [i for r in sorted(read, key=lambda r: r.start) for i in r.ids][: first.n_ids]
     folder = shared_folder(spark, "tokens-test")
     empty = token_files.write_token_files(documents(spark, []), folder, model)
     assert not token_files.read_token_files(empty, folder).count()
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    model = tokenizer_file("word_bpe_49k.json").decode()
+    plain, encode = Tokenizer.from_str(model), token_files.Encoder(model, known_at_most=500)
+    assert encode.model is not None
+    r = random.Random(6)
+    letters = "abcdefzABZ09'.,-%<|>_~!" + "éÉèßüñŁłŸÿſıĿŉ×÷Æœ" + "İΣσςдЖ한中ﬁ①²½ªº\u0301\u00a0\u2028\u200d\x00\x1f\x85"
+    tails = ["'s", "'LL", "'re", "<|endoftext|>", "***", ",%%", "''t"]
+    for n in range(3000):
+        pool = letters[: (23, 41, len(letters))[n % 3]]
+        text = " ".join("".join(r.choice(pool) for _ in range(r.randrange(9))) + r.choice(["", *tails]) for _ in range(r.randrange(12)))
+        text = text.replace("~", r.choice("~\n\t\x0b"))
+        got = np.frombuffer(encode(text), encode.dtype).tolist()
+        assert got == plain.encode(text, add_special_tokens=False).ids, text
