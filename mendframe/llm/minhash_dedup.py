@@ -136,7 +136,10 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS, marks: bool = False) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, with `marks` also mark, the text's hash.
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    With `marks` also mark, the text's hash, and group_no, which tells components apart
+    whatever their ids, and is NULL for rows that stand alone.
 
     A document's set holds its distinct `words`-word shingles; documents are
     linked when 100 * intersection >= `percent` * union. component_id is the
@@ -175,14 +178,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
         nodes.join(roots, "node", "left")
         .join(group, "root", "left")
         .where(F.col("root").isNotNull() | (F.col("copies") > 1))
-        .select("fp", F.coalesce("lowest", "first_id").alias("component"))
+        .select("fp", F.coalesce("lowest", "first_id").alias("component"), F.coalesce("root", "node").alias("group_no"))
     )
     return rows.join(of_node, "fp", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
-        *(["mark"] if marks else []),
+        *(["mark", "group_no"] if marks else []),
     )
 
 

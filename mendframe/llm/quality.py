@@ -3,8 +3,9 @@
 Rules look at a text and vote good (1), bad (0) or abstain (NULL). No rule decides
 alone: expectation-maximisation estimates how often each rule is right about good and
 about bad documents, and a document is kept when its posterior probability of
-being good reaches a threshold. Texts are read once; the iterations run over the
-counts of the distinct vote vectors, of which there are at most 3^rules.
+being good reaches a threshold. Texts are measured once, and the measures saved; the
+iterations run over the counts of the distinct vote vectors, of which there are at
+most 3^rules.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def _kept_once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): the row as a struct `__row`, and counts over its whole text.
+def features(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): its `columns` as a struct `__row`, and counts over its whole text.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines
     with a word that equal an earlier line), n_repeat_words (words in windows of
@@ -43,7 +44,7 @@ def features(docs: DataFrame) -> DataFrame:
     """
     t = "__text"
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t),
     ).withColumn("__w", _kept_once(words(F.col(t))))
     n = F.size("__w")
@@ -119,30 +120,43 @@ def votes(q: str = "q") -> dict[str, Column]:
     }
 
 
-def accuracies(voted: DataFrame, rules: tuple[str, ...] = RULES, rounds: int = 25, prior: float = 0.9, trust: float = 0.999) -> dict:
+def accuracies(
+    voted: DataFrame,
+    rules: tuple[str, ...] = RULES,
+    rounds: int = 50,
+    prior: float = 0.9,
+    trust: tuple[float, float] = (0.9995, 30.0),
+    power: tuple[float, float] = (0.3, 0.1),
+) -> dict:
     """Estimates {"prior": p, rule: (right about good, right about bad)} from columns v_<rule> of `voted`.
 
-    Naive Bayes by expectation-maximisation with one count added on each side.
-    It starts from rules that rarely accuse a good document and each know
-    a part of the bad ones, which names the two classes. `trust` is the least
-    that a rule can be right about good documents, else a frequent kind of bad
-    document could pass for good ones with an accuser. Only sums leave the executors.
+    Naive Bayes by expectation-maximisation. Each rate starts at, and is drawn to, the
+    mean of a prior: `trust` says how often a rule is right about good documents and
+    `power` how often about bad ones, each with its weight in documents for
+    each document there is. The first weighs far more than the votes: rules look
+    at one text from nine sides, so their good votes are not independent, and without it
+    one frequent kind of bad document passes for good ones with an accuser.
+    Only sums by rule and vote leave the executors, and parameters enter as data, so
+    all rounds run the same code.
     """
     cols = [f"v_{r}" for r in rules]
-    counts = saved(voted.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")), "votes")
-    model = {"prior": prior} | dict.fromkeys(rules, (0.999, 0.30))
+    counts = saved(
+        voted.select(F.array(F.lit(1), *[F.col(c).cast("int") for c in cols]).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")),
+        "votes",
+    )
+    model = {"prior": prior} | dict.fromkeys(rules, (trust[0], power[0]))
     for _ in range(rounds):
-        p = counts.withColumn("p", posterior(model, rules))
-        good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        sums = [F.sum(good), F.sum(bad)]
-        for v in cols:
-            sums += [F.sum(F.when(F.col(v) == 1, good)), F.sum(F.when(F.col(v) == 0, good))]
-            sums += [F.sum(F.when(F.col(v) == 1, bad)), F.sum(F.when(F.col(v) == 0, bad))]
-        s = [x or 0.0 for x in p.agg(*sums).first()]
-        new = {"prior": (s[0] + 1) / (s[0] + s[1] + 2)}
-        for k, r in enumerate(rules):
-            g1, g0, b1, b0 = s[2 + 4 * k : 6 + 4 * k]
-            new[r] = (max(trust, (g1 + 1) / (g1 + g0 + 2)), (b0 + 1) / (b1 + b0 + 2))
+        p = counts.withColumn("p", _chance(F.col("v"), model, rules))
+        cells = p.select("n", "p", F.posexplode("v").alias("rule", "vote")).where("vote IS NOT NULL")
+        found = cells.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad"))
+        s = {(r.rule, r.vote): (r.good, r.bad) for r in found.collect()}  # three rows a rule at most
+        good, bad = s.get((0, 1), (0.0, 0.0))
+        all_rows = good + bad
+        new = {"prior": (good + 1) / (all_rows + 2)}
+        for k, r in enumerate(rules, 1):
+            (g1, b1), (g0, b0) = s.get((k, 1), (0.0, 0.0)), s.get((k, 0), (0.0, 0.0))
+            t, w = trust[1] * all_rows + 1, power[1] * all_rows + 1
+            new[r] = ((g1 + trust[0] * t) / (g1 + g0 + t), (b0 + power[0] * w) / (b1 + b0 + w))
         moved = max(abs(new["prior"] - model["prior"]), *(abs(new[r][i] - model[r][i]) for r in rules for i in (0, 1)))
         model = new
         if moved < 1e-6:
@@ -150,29 +164,37 @@ def accuracies(voted: DataFrame, rules: tuple[str, ...] = RULES, rounds: int = 2
     return model
 
 
+def _chance(v: Column, model: dict, rules: tuple[str, ...]) -> Column:
+    """Probability of being good given an array of votes, the first of which is always 1."""
+    yes = [math.log(model["prior"] / (1 - model["prior"]))] + [math.log(model[r][0] / (1 - model[r][1])) for r in rules]
+    no = [0.0] + [math.log((1 - model[r][0]) / model[r][1]) for r in rules]
+    odds = F.aggregate(
+        F.transform(v, lambda x, i: F.when(x == 1, F.get(F.lit(yes), i)).when(x == 0, F.get(F.lit(no), i)).otherwise(F.lit(0.0))),
+        F.lit(0.0),
+        lambda a, x: a + x,
+    )
+    return 1 / (1 + F.exp(-odds))
+
+
 def posterior(model: dict, rules: tuple[str, ...] = RULES) -> Column:
     """Probability of being good given the votes in columns v_<rule>."""
-    odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for r in rules:
-        on_good, on_bad = model[r]
-        v = F.col(f"v_{r}")
-        odds = odds + F.when(v == 1, F.lit(math.log(on_good / (1 - on_bad)))).when(
-            v == 0, F.lit(math.log((1 - on_good) / on_bad))
-        ).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-odds))
+    return _chance(F.array(F.lit(1), *[F.col(f"v_{r}") for r in rules]), model, rules)
 
 
-def judge_quality(docs: DataFrame, threshold: float = 0.5, least_words: int = 50) -> DataFrame:
+def judge_quality(docs: DataFrame, threshold: float = 0.5, least_words: int = 50, columns: list[str] | None = None) -> DataFrame:
     """The rows of `docs` (doc_id, text and others) with q, base_failed, p_good and kept.
 
     base_failed: fewer than `least_words` words, or more than half of them in repeated
     windows; such rows are not kept, and the others are when p_good, the
     posterior probability of being good, reaches `threshold`. Accuracies come from
     the votes on all rows, repeated ones counted each. NULL and empty texts fail.
-    An empty table gives an empty result. A column of `docs` that is called like
-    one of the four is replaced.
+    `columns` names those of `docs` that are handed on (default: all); they are
+    saved with the measures, so that no text is measured twice. An empty table
+    gives an empty result. A column of `docs` that is called like one of the four is
+    replaced.
     """
-    measured = features(docs)
+    columns = docs.columns if columns is None else columns
+    measured = saved(features(docs, columns), "quality")
     failed = (F.col("q.n_words") < least_words) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
     measured = measured.withColumn("base_failed", failed)
     names = {r: f"v_{r}" for r in RULES}
@@ -185,7 +207,7 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5, least_words: int = 50
         "p_good": F.col("p_good"),
         "kept": ~F.col("base_failed") & (F.col("p_good") >= threshold),
     }
-    old = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    old = [F.col(f"__row.`{c}`").alias(c) for c in columns if c not in added]
     return out.select(*old, *[value.alias(name) for name, value in added.items()])
 
 

@@ -93,7 +93,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(quality.judge_quality(table(spark, sf_dir, "documents")))
+    return quality.digest(quality.judge_quality(table(spark, sf_dir, "documents"), columns=["doc_id"]))
 
 
 @query("op8_token_files")

@@ -36,16 +36,22 @@ def test_stages(spark):
         assert r in data and n_words >= 50 and 100 * repeated <= 50 * n_words
     assert {r[0] for r in kept} >= set(range(1000, 1060))
     sets = [shingles(r[1], 5) for r in kept]
-    comp = grouped([r[0] for r in kept], sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
-    stay = {c for c in comp if c is not None}
-    assert Counter(r[0] for r in once if r[0] is not None) == Counter(stay)
+    # Components by place, as two texts may have one id; each leaves its smallest doc_id, once.
+    comp = grouped(list(range(len(kept))), sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    lowest: dict[int, int] = {}
+    for r, c in zip(kept, comp, strict=True):
+        if r[0] is not None:
+            lowest[c] = min(lowest.get(c, r[0]), r[0])
+    assert Counter(r[0] for r in once if r[0] is not None) == Counter(lowest.values())
+    assert Counter(r for r in once if r[0] is None) == Counter(r for r in kept if r[0] is None)
+    assert Counter(lowest.values())[3] == 2
     want = Counter()
     for d, t, *rest in once:
         t = masked(t, plain_spans(t))
         want[(d, t, rest[0], rest[1], len(t))] += 1
     assert Counter(safe) == want
-    chosen = Counter((r.doc_id, r.epoch) for r in mix(documents(spark, safe)).collect())
-    assert Counter(r[0] for r in mixed) == Counter(d for d, _ in chosen)
+    chosen = {(r.doc_id, r.mark, r.epoch) for r in mix(documents(spark, safe)).collect()}
+    assert Counter(r[0] for r in mixed) == Counter(d for d, _, _ in chosen)
     assert set(mixed) <= set(safe)
     sp = sentencepiece.SentencePieceProcessor(model_proto=tokenizer_file("piece_bpe_32k.model"))
     assert Counter((d, n, tuple(i)) for d, n, i in coded) == Counter((r[0], len(e), tuple(e)) for r in mixed for e in [sp.encode(r[1])])
@@ -59,6 +65,15 @@ def test_repeated_id_is_judged_by_its_own_text(spark):
     assert sorted((r.doc_id, r.text) for r in left) == [(1, one), (2, two)]
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """Different texts with one doc_id stay, whatever else has that id; equal and near-equal ones leave one."""
+    a, b, c, d = (prose(4100 + i, 120, 3000) for i in range(4))
+    data = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, c, "de", "t", 1), (1, a, "en", "s", 1), (1, a + " More.", "en", "s", 1)]
+    data += [(2, b + " More.", "en", "s", 1), (2, d, "en", "s", 1), (2, d, "fr", "u", 1), (3, d + " More.", "en", "s", 1)]
+    left = Counter((r.doc_id, r.text.removesuffix(" More.")) for r in corpus_pipeline.near_duplicate_stage(spark, documents(spark, data), "").collect())
+    assert left == Counter([(1, a), (1, b), (1, c), (2, d)])
+
+
 def test_empty(spark):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:

@@ -271,7 +271,7 @@ def test_label_model(spark):
     rules = ("a", "b", "c")
     df = spark.createDataFrame(data, "v_a int, v_b int, v_c int")
     model = quality.accuracies(df, rules, rounds=7)
-    prior, acc = 0.9, [(0.999, 0.30)] * 3
+    prior, acc = 0.9, [(0.9995, 0.30)] * 3
     for _ in range(7):
         ps = []
         for v in data:
@@ -286,12 +286,41 @@ def test_label_model(spark):
             g0 = sum(p for p, v in zip(ps, data, strict=True) if v[k] == 0)
             b1 = sum(1 - p for p, v in zip(ps, data, strict=True) if v[k] == 1)
             b0 = sum(1 - p for p, v in zip(ps, data, strict=True) if v[k] == 0)
-            new.append((max(0.999, (g1 + 1) / (g1 + g0 + 2)), (b0 + 1) / (b1 + b0 + 2)))
+            trust, power = 30 * len(data) + 1, 0.1 * len(data) + 1
+            new.append(((g1 + 0.9995 * trust) / (g1 + g0 + trust), (b0 + 0.3 * power) / (b1 + b0 + power)))
         acc = new
     assert model["prior"] == pytest.approx(prior)
     for r, (g, b) in zip(rules, acc, strict=True):
         assert model[r] == pytest.approx((g, b))
 
 
+def test_votes_and_posterior_of_plain_texts(spark):
+    """The rules' votes and the posterior against plain Python for a few kinds of text."""
+    import math
+
+    texts = [prose(1, 120, 5000), "BUY NOW! " * 60, " ".join(f"{w}***" for w in prose(3, 90, 5000).split()), "", None, "word " * 70]
+    judged = quality.judge_quality(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
+    q = {r.doc_id: r.q for r in judged.collect()}
+    seen = judged.select("doc_id", *[v.alias(n) for n, v in quality.votes().items()]).collect()
+    for r in seen:
+        c = q[r.doc_id]
+        n, chars = c.n_words, c.word_chars
+        low = lambda x, good, bad: None if x is None else 1 if x <= good else 0 if x >= bad else None
+        assert r.symbols == low(c.n_symbols / chars if chars else None, 0.01, 0.05)
+        assert r.capitals == low(c.n_upper / chars if chars else None, 0.10, 0.30)
+        assert r.repeats == low(c.n_repeat_words / n if n else None, 0.10, 0.30)
+        assert r.shouts == low(c.n_shouts / n if n else None, 0.05, 0.30)
+        assert r.word_length == (None if not n else 1 if 3 <= chars / n <= 9 else 0 if chars / n < 2 or chars / n > 14 else None)
+        assert r.stop_words == (None if n < 50 else 1 if c.n_stop >= 3 else 0 if c.n_stop <= 0 else None)
+    model = {"prior": 0.8} | {r: (0.9 - 0.01 * i, 0.4 + 0.02 * i) for i, r in enumerate(quality.RULES)}
+    votes = judged.select("doc_id", *[v.alias(f"v_{n}") for n, v in quality.votes().items()])
+    for r in votes.withColumn("p", quality.posterior(model)).collect():
+        o = math.log(0.8 / 0.2)
+        for n in quality.RULES:
+            g, b = model[n]
+            o += {None: 0.0, 1: math.log(g / (1 - b)), 0: math.log((1 - g) / b)}[r[f"v_{n}"]]
+        assert r.p == pytest.approx(1 / (1 + math.exp(-o)))
+
+
 def test_schema_is_that_of_the_table(spark):
     assert documents(spark).columns == [c.split(" ")[0] for c in SCHEMA.split(", ")]
