@@ -29,16 +29,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near-duplicates.
 
-    Five-word shingles and a similarity of 0.8. Rows without doc_id stay; of
-    repeated rows one stays. A row goes as a near-duplicate for its own text only; of
-    those with one doc_id that are left, the first by text stays.
+    Five-word shingles and a similarity of 0.8. Rows without doc_id stay. Texts, not ids,
+    are judged: different texts with one doc_id all stay unless they are near-duplicates;
+    of equal ones one row stays.
     """
     judged = near_duplicates(docs, marks=True)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone"), "mark").distinct()
-    same = (docs["doc_id"] == gone["gone"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == gone["mark"])
-    left = docs.join(gone, same, "left_anti")
-    once = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
-    return once.select("doc_id", "d.*").unionByName(left.where("doc_id IS NULL")).select(*COLUMNS)
+    kept = judged.where("kept AND group_no IS NOT NULL")
+    # Near-duplicates of each other may have the same, smallest doc_id: the first by its text's hash stays.
+    first = kept.groupBy("group_no").agg(F.min("mark").alias("first_mark"))
+    tied = kept.join(first, "group_no").where("mark <> first_mark")
+    gone = judged.where("NOT kept").select("doc_id", "mark").unionByName(tied.select("doc_id", "mark"))
+    gone = gone.select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct()
+    marked = docs.withColumn("mark", F.md5(F.coalesce(docs["text"], F.lit(""))))
+    left = marked.join(gone, (F.col("doc_id") == F.col("gone")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
+    once = left.where("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    return once.select("doc_id", "d.*").unionByName(left.where("doc_id IS NULL").drop("mark")).select(*COLUMNS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
