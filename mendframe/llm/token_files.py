@@ -245,21 +245,21 @@ def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, pa.BooleanArra
 
 
 def _read(folder: str):
-    def frame(base: int, docs: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "doc_id": [d for d, _, _ in docs],
-                "start": [base + s for _, s, _ in docs],
-                "n_tokens": [len(i) for _, _, i in docs],
-                "ids": [i.astype(np.int32) for _, _, i in docs],
-                "crc32": [zlib.crc32(i.astype("<u4").tobytes()) for _, _, i in docs],
-            }
-        )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("crc32", pa.int64())]
+
+    def frame(docs: list[tuple]) -> pa.RecordBatch:
+        ids = [i for _, _, i in docs]
+        sizes = np.array([len(i) for i in ids], np.int64)
+        flat = pa.array(np.concatenate(ids).astype(np.int32))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        crcs = [zlib.crc32(i.astype("<u4").tobytes()) for i in ids]
+        columns = [[d for d, _, _ in docs], [s for _, s, _ in docs], sizes, pa.ListArray.from_arrays(offsets, flat), crcs]
+        return pa.record_batch([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
         for batch in batches:
-            for name, before in zip(batch["name"], batch["base"], strict=True):
+            for name, before in zip(batch["name"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 with system.open_input_file(f"{base}/{name}.index") as f:
                     index = pa.ipc.open_file(f).read_all()
                 with system.open_input_file(f"{base}/{name}.arrow") as f:
@@ -274,13 +274,13 @@ def _read(folder: str):
                             parts.append(ids if mask[-1] else ids[mask])
                             have += len(parts[-1])
                         flat = np.concatenate(parts) if len(parts) > 1 else held
-                        out.append((doc_id, start, flat[:n]))
+                        out.append((doc_id, before + start, flat[:n]))
                         held = flat[n:]
                         if len(out) == 500:
-                            yield frame(before, out)
+                            yield frame(out)
                             out = []
                     if out:
-                        yield frame(before, out)
+                        yield frame(out)
 
     return run
 
@@ -296,7 +296,7 @@ def read_token_files(files: DataFrame, folder: str, tasks: int | None = None) ->
     tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    docs = bases.repartition(tasks).mapInPandas(
+    docs = bases.repartition(tasks).mapInArrow(
         _read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids array<int>, crc32 bigint"
     )
     return docs.withColumn("doc_id", id_out("doc_id"))
