@@ -8,13 +8,14 @@ end; a delete keeps the content of the last n positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.functions.blocked import BLOCK, blocked_row_number
 from mendframe.functions.bytes import cut, u8
-from mendframe.functions.lineage import materialize
 from mendframe.functions.once import once
+from mendframe.functions.scans import Follower, block_scan
 from mendframe.functions.sizes import Size
 
 STEP_LIMIT = 2047
@@ -148,38 +149,33 @@ def same_quant(clip_quant: DataFrame, quant: DataFrame) -> DataFrame:
     )
 
 
+def _follower(values: np.ndarray) -> list[int]:
+    f = Follower(STEP_LIMIT)
+    for x in values.tolist():
+        f.take(x)
+    return f.description()
+
+
+def _followed(values: np.ndarray, state: tuple[int, ...]) -> list[np.ndarray]:
+    p, out = state[0], np.empty(len(values), np.int64)
+    for k, x in enumerate(values.tolist()):
+        p = min(p + STEP_LIMIT, max(p - STEP_LIMIT, x))
+        out[k] = p
+    return [out]
+
+
 def output_dc(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """image_id, comp, unit, out_dc: DC values as they are written, each within 2047 of the one before.
 
     The first one counts from 0. Every value depends on the one written before
-    it, so blocks of the sequence are folded side by side, each from a guess of
-    what came before (the stored value), and folded again from the true
-    carry until no carry changes; steps beyond the limit are rare, so that is
-    one or two rounds.
+    it: a block of the sequence is a monotone function of that value, linear
+    in pieces, so three passes do for any data, steps beyond the limit in
+    every block included.
     """
-    key = ["image_id", "comp"]
-    parts = materialize(
-        blocks.select(*key, "unit", F.expr("get(coef, 0)").alias("dc"), F.expr(f"unit div {block}").alias("b"))
-        .groupBy(*key, "b")
-        .agg(F.sort_array(F.collect_list(F.struct("unit", "dc"))).alias("v"))
-    )
-    order = Window.partitionBy(*key).orderBy("b")
-    limit = STEP_LIMIT
-    fold = (
-        f"aggregate(v, named_struct('p', carry, 'out', cast(array() as array<bigint>)), (s, x) -> named_struct("
-        f"'p', least(s.p + {limit}, greatest(s.p - {limit}, x.dc)), "
-        f"'out', concat(s.out, array(least(s.p + {limit}, greatest(s.p - {limit}, x.dc))))), s -> s.out)"
-    )
-    guess = parts.select(*key, "b", "v", F.coalesce(F.lag(F.expr("element_at(v, -1).dc")).over(order), F.lit(0)).cast("bigint").alias("carry"))
-    while True:
-        done = materialize(guess.withColumn("out", once(fold)))
-        true_carry = F.coalesce(F.lag(F.expr("element_at(out, -1)")).over(order), F.lit(0).cast("bigint"))
-        checked = done.select(*key, "b", "v", "out", "carry", true_carry.alias("_c"))
-        if checked.where("_c <> carry").isEmpty():
-            break
-        guess = checked.select(*key, "b", "v", F.col("_c").alias("carry"))
-    return done.select(*key, F.explode(F.expr("arrays_zip(v, out)")).alias("t")).select(
-        *key, F.col("t.v.unit").alias("unit"), F.col("t.out").alias("out_dc")
+    values = blocks.select("image_id", "comp", "unit", F.expr("get(coef, 0)").alias("dc"))
+    return block_scan(
+        values, ["image_id", "comp"], "unit", "dc", block, (0,),
+        _follower, lambda state, f: (Follower.value(f, state[0]),), _followed, ["out_dc"],
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import pairwise
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.functions.blocked import blocked_row_number
-from mendframe.functions.lineage import materialize
-from mendframe.functions.once import once
+from mendframe.functions.scans import at_corner, block_scan, corners
 
 COMMITS = ("add", "toggle", "remove", "clear")
 SESSION_BLOCK = 4096
@@ -40,6 +42,78 @@ def check_moves(log: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
+COMMIT, UNDO, REDO = 1, 2, 3
+
+
+def _history_function(codes: np.ndarray) -> list[int]:
+    """A block of events as a function of (index, top), the last state's index and that of the last state there is.
+
+    Up to the first commit the top stays: the index is shifted, then held between what
+    a start at the bottom and one at the top come to, both functions of the top. From
+    the first commit on all depends on the index it makes.
+    """
+    codes = codes[codes > 0]
+    cut = np.nonzero(codes == COMMIT)[0]
+    head, tail = (codes[: cut[0]], codes[cut[0] + 1 :]) if len(cut) else (codes, codes[:0])
+
+    def pieces(run: np.ndarray):
+        at = [*(np.nonzero(np.diff(run, prepend=-1))[0] if len(run) else ()), len(run)]
+        return [(int(run[a]), int(b - a)) for a, b in pairwise(at)]
+
+    top = np.arange(len(head) + 1)
+    bottom, upper, shift = np.zeros_like(top), top.copy(), 0
+    for code, k in pieces(head):
+        if code == UNDO:
+            bottom, upper, shift = np.maximum(bottom - k, 0), np.maximum(upper - k, 0), shift - k
+        else:
+            bottom, upper, shift = np.minimum(bottom + k, top), np.minimum(upper + k, top), shift + k
+    out = [shift, *corners(bottom), *corners(upper), len(cut)]
+    if len(cut):
+        index = np.arange(int((tail == UNDO).sum()) + 1)
+        last = index
+        for code, k in pieces(tail):
+            if code == COMMIT:
+                index = last = index + k
+            else:
+                index = np.maximum(index - k, 0) if code == UNDO else np.minimum(index + k, last)
+        out += [*corners(index), *corners(last)]
+    return out
+
+
+def _history_advance(state: tuple[int, ...], f: list[int]) -> tuple[int, ...]:
+    index, top = state
+    at = 1
+
+    def part() -> list[int]:
+        nonlocal at
+        size = 2 * int(f[at]) + 1
+        at += size
+        return f[at - size : at]
+
+    bottom, upper = part(), part()
+    index = max(at_corner(bottom, top, 0), min(at_corner(upper, top, 1), index + int(f[0])))
+    commits = int(f[at])
+    at += 1
+    if commits:
+        made = index + 1
+        index, top = at_corner(part(), made, 1), at_corner(part(), made, 1)
+    return index, top
+
+
+def _history_run(codes: np.ndarray, state: tuple[int, ...]) -> list[np.ndarray]:
+    i, t = state
+    index, top = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+    for k, code in enumerate(codes.tolist()):
+        if code == COMMIT:
+            i = t = i + 1
+        elif code == UNDO:
+            i = max(i - 1, 0)
+        elif code == REDO:
+            i = min(i + 1, t)
+        index[k], top[k] = i, t
+    return [index, top + 1]
+
+
 def session_history(events: DataFrame, block: int = SESSION_BLOCK) -> DataFrame:
     """session_id, seq, index, depth: the undo position and history length after each event.
 
@@ -47,43 +121,15 @@ def session_history(events: DataFrame, block: int = SESSION_BLOCK) -> DataFrame:
     drops what could be redone and appends a state; undo and redo move within
     bounds. Sessions start with one state.
 
-    One session may be very long, so blocks of its events are folded side by
-    side, each from a guessed (index, depth). The guesses are the running sums
-    of what the blocks changed in the round before, and the rounds end when
-    every block starts where the one before it ended, which is the exact answer.
+    One session may be very long: a block of its events is a function of the
+    position and length it starts from, and blocks are chained by these, so
+    three passes do for any session.
     """
-    parts = materialize(
-        events.select("session_id", "seq", "action", F.expr(f"seq div {block}").alias("b"))
-        .groupBy("session_id", "b")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("v"))
-    )
-    commit = "x.action IN (" + ", ".join(f"'{a}'" for a in COMMITS) + ")"
-    step = f"""CASE WHEN {commit} THEN named_struct('i', s.i + 1, 't', s.i + 1)
-        WHEN x.action = 'undo' THEN named_struct('i', greatest(s.i - 1, 0L), 't', s.t)
-        WHEN x.action = 'redo' THEN named_struct('i', least(s.i + 1, s.t), 't', s.t) ELSE s END"""
-    start = "named_struct('i', i0, 't', t0)"
-    order = Window.partitionBy("session_id").orderBy("b")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    guess = parts.select("session_id", "b", "v", zero.alias("i0"), zero.alias("t0"))
-    while True:
-        run = materialize(guess.withColumn("e", once(f"aggregate(v, {start}, (s, x) -> {step})")))
-        # Carry one row per block.
-        seen = run.select(
-            "session_id", "b", "v", "i0", "t0",
-            F.coalesce(F.lag("e.i").over(order), zero).alias("_i"),
-            F.coalesce(F.lag("e.t").over(order), zero).alias("_t"),
-            F.greatest(F.coalesce(F.sum(F.expr("e.i - i0")).over(before), zero), zero).alias("_gi"),
-            F.coalesce(F.lag(F.expr("e.t - e.i")).over(order), zero).alias("_gap"),
-        )
-        if seen.where("_i <> i0 OR _t <> t0").isEmpty():
-            break
-        guess = seen.select("session_id", "b", "v", F.col("_gi").alias("i0"), (F.col("_gi") + F.col("_gap")).alias("t0"))
-    trail = f"""aggregate(v, named_struct('s', {start}, 'out', cast(array() as array<struct<seq:bigint,i:bigint,t:bigint>>)),
-        (acc, x) -> get(transform(array(acc.s), s -> get(transform(array({step}), n -> named_struct('s', n, 'out',
-            concat(acc.out, array(named_struct('seq', x.seq, 'i', n.i, 't', n.t))))), 0)), 0), acc -> acc.out)"""
-    return run.select("session_id", F.explode(once(trail)).alias("r")).select(
-        "session_id", F.col("r.seq").alias("seq"), F.col("r.i").alias("index"), (F.col("r.t") + 1).alias("depth")
+    commits = ", ".join(f"'{a}'" for a in COMMITS)
+    code = f"CASE WHEN action IN ({commits}) THEN {COMMIT} WHEN action = 'undo' THEN {UNDO} WHEN action = 'redo' THEN {REDO} ELSE 0 END"
+    coded = events.select("session_id", F.col("seq").cast("bigint").alias("seq"), F.expr(code).alias("code"))
+    return block_scan(
+        coded, ["session_id"], "seq", "code", block, (0, 0), _history_function, _history_advance, _history_run, ["index", "depth"]
     )
 
 
