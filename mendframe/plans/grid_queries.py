@@ -347,78 +347,125 @@ def m4_expected_dc(spark, sf_dir):
     return _expected(spark, sf_dir)
 
 
-_TRIALS = f"""{MC}, {_EXPECTED},
-    tr AS (SELECT image_id AS file_id, part_id % 11 AS cand_id, row_number() OVER (PARTITION BY image_id, part_id % 11 ORDER BY m) - 1 AS k,
-             CASE WHEN y > 45 THEN anomalies ELSE 0 END AS an, bits, y, cb, expected, 60 AS rem, y = 13 AND cb = 4 AS rst FROM ex),
-    st AS (SELECT file_id, cand_id, min(k) FILTER (an <> 0) AS bad, min(k + 1) FILTER (rst) AS rst, max(k + 1) AS n FROM tr WHERE k < {{w}} GROUP BY ALL),
-    cl AS (SELECT *, least(coalesce(bad, n), coalesce(rst, n), n) AS clean FROM st),
-    tm AS (SELECT c0.file_id, c0.cand_id, clean, clean >= {{w}} OR (60 <= {{w}} AND clean >= 60) OR coalesce(rst <= coalesce(bad, rst), false) AS reached_end,
+# Candidate c decodes the picture from its MCU 4c on, at most 60 MCUs, and puts them where the damage starts.
+_TRIAL_MCUS, _TRIAL_STEP, _LAST_TRIAL = 60, 4, 159
+
+_TRIALS = f"""{EDGES_SQL}, {MC}, {_EXPECTED},
+    tot AS (SELECT image_id, count(*) AS total FROM mc GROUP BY 1),
+    tr AS MATERIALIZED (SELECT file_id, cand_id, m - {_TRIAL_STEP} * cand_id AS k, m, m0, an, bits, y, cb, expected, total - {_TRIAL_STEP} * cand_id AS rem, rst FROM (
+      SELECT ex.image_id AS file_id, m, m0, CASE WHEN y > 45 THEN anomalies ELSE 0 END AS an, bits, y, cb, expected, total, y = 13 AND cb = 4 AS rst,
+        unnest(range(greatest(0, (m - {_TRIAL_MCUS - _TRIAL_STEP}) // {_TRIAL_STEP}), least({_LAST_TRIAL}, m // {_TRIAL_STEP}) + 1)) AS cand_id
+      FROM ex JOIN tot ON tot.image_id = ex.image_id) WHERE m - {_TRIAL_STEP} * cand_id < {_TRIAL_MCUS}),
+    whole AS (SELECT image_id AS g, unit, {", ".join(f"list_transform(e_{e}, lambda v: CAST(round(v) AS BIGINT)) AS {e}" for e in ("top", "bottom", "left", "right"))} FROM ed),
+    held AS (SELECT g, count(*) AS n FROM whole GROUP BY 1),
+    pe AS MATERIALIZED (SELECT mc.image_id AS file_id, mc.m, {", ".join(f'list_transform(w."{e}", lambda v: v + mc.y) AS e_{e}' for e in ("top", "bottom", "left", "right"))}
+      FROM mc JOIN held ON held.g = mc.image_id % 10 JOIN whole w ON w.g = held.g AND w.unit = mc.m % held.n),
+    two AS (SELECT a.file_id, a.cand_id, a.m0, p.e_top AS t0, p.e_left AS l0, p.e_right AS r0, q.e_top AS t1, q.e_left AS l1
+      FROM tr a JOIN tr b ON b.file_id = a.file_id AND b.cand_id = a.cand_id AND a.k = 0 AND b.k = 1
+      JOIN pe p ON p.file_id = a.file_id AND p.m = a.m JOIN pe q ON q.file_id = b.file_id AND q.m = b.m),
+    edge AS (SELECT two.file_id, cand_id, CAST(0 AS DOUBLE)
+        + coalesce(list_sum(list_transform(range(1, 9), lambda i: abs(bk.e_right[i] - l0[i]))) / 8, 0)
+        + coalesce(list_sum(list_transform(range(1, 9), lambda i: abs(u0.e_bottom[i] - t0[i]))) / 8, 0)
+        + CASE WHEN (m0 + 1) % 16 <> 0 THEN list_sum(list_transform(range(1, 9), lambda i: abs(r0[i] - l1[i]))) / 8 ELSE 0 END
+        + coalesce(list_sum(list_transform(range(1, 9), lambda i: abs(u1.e_bottom[i] - t1[i]))) / 8, 0) AS edge_cost
+      FROM two LEFT JOIN pe bk ON bk.file_id = two.file_id AND bk.m = m0 - 1 AND m0 % 16 > 0
+      LEFT JOIN pe u0 ON u0.file_id = two.file_id AND u0.m = m0 - 16 LEFT JOIN pe u1 ON u1.file_id = two.file_id AND u1.m = m0 - 15)"""
+
+
+def _metrics_sql(name: str, window: int) -> str:
+    """CTE `name` with the metrics of trials cut at `window` MCUs."""
+    return f"""{name}_st AS (SELECT file_id, cand_id, min(k) FILTER (an <> 0) AS bad, min(k + 1) FILTER (rst) AS rst, max(k + 1) AS n, max(rem) AS rem
+             FROM tr WHERE k < {window} GROUP BY ALL),
+    {name}_cl AS (SELECT *, least(coalesce(bad, n), coalesce(rst, n), n) AS clean FROM {name}_st),
+    {name} AS (SELECT c0.file_id, c0.cand_id, clean,
+             clean >= {window} OR (c0.rem <= {window} AND clean >= c0.rem) OR coalesce(c0.rst <= coalesce(bad, c0.rst), false) AS reached_end,
              coalesce(abs(list_sort(list(y - expected) FILTER (expected IS NOT NULL))[count(expected) // 2 + 1]) * 3 / 8.0, 0)
                + coalesce(abs(list_sort(list(cb - 5) FILTER (k IS NOT NULL))[count(k) // 2 + 1]) * 5 / 8.0, 0) AS dc_step,
              CASE WHEN count(k) >= 4 THEN greatest(0, max(bits) FILTER (k = 0) + max(bits) FILTER (k = 1)
                   - 2 * list_sort(list(bits) FILTER (k IS NOT NULL))[count(k) // 2 + 1]) ELSE 0 END AS excess_bits
-           FROM cl c0 LEFT JOIN (SELECT file_id, cand_id, k, bits, y, cb, expected FROM tr) t0 ON t0.file_id = c0.file_id AND t0.cand_id = c0.cand_id AND t0.k < clean GROUP BY c0.file_id, c0.cand_id, clean, bad, c0.rst)"""
-
-
-def _trials_sql(window: int) -> str:
-    return _TRIALS.replace("{w}", str(window))
+           FROM {name}_cl c0 LEFT JOIN (SELECT file_id, cand_id, k, bits, y, cb, expected FROM tr) t0
+             ON t0.file_id = c0.file_id AND t0.cand_id = c0.cand_id AND t0.k < clean GROUP BY c0.file_id, c0.cand_id, clean, bad, c0.rst, c0.rem)"""
 
 
 def _trials(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """The trial decodes of every candidate of every picture; each MCU is in the few candidates that reach it."""
     ex = _expected(spark, sf_dir)
-    k = F.row_number().over(Window.partitionBy("image_id", F.expr("part_id % 11")).orderBy("m")) - 1
-    return ex.withColumn("k", k).select(
+    total = ex.groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))
+    first = f"greatest(0L, (m - {_TRIAL_MCUS - _TRIAL_STEP}) div {_TRIAL_STEP})"
+    last = f"least({_LAST_TRIAL}L, m div {_TRIAL_STEP})"
+    reached = ex.join(total, "image_id").withColumn(
+        "cand_id", F.explode(F.expr(f"CASE WHEN {first} <= {last} THEN sequence({first}, {last}) END"))
+    )
+    return reached.withColumn("k", F.expr(f"m - {_TRIAL_STEP} * cand_id")).where(f"k < {_TRIAL_MCUS}").select(
         F.col("image_id").alias("file_id"),
-        F.expr("part_id % 11").alias("cand_id"),
+        "cand_id",
         "k",
+        "m",
+        "m0",
         F.expr("CASE WHEN y > 45 THEN anomalies ELSE 0L END").alias("anomalies"),
         "bits",
         F.expr("array(y, cb)").alias("dc"),
         F.expr("array(expected, 5L)").alias("expected"),
         F.expr("array(3, 5)").alias("q00"),
-        F.lit(60).alias("remaining"),
+        F.expr(f"total - {_TRIAL_STEP} * cand_id").alias("remaining"),
         F.expr("y = 13 AND cb = 4").alias("at_restart"),
     )
 
 
+def _picture_edges(spark, sf_dir):
+    """file_id, m and the edge samples of each MCU: those of a block, lifted by the MCU's DC."""
+    sides = ("top", "bottom", "left", "right")
+    samples = g.edge_samples(fx.blocks(spark, sf_dir), fx.quant(spark, sf_dir)).select(
+        F.col("image_id").alias("_g"), "unit", *[F.expr(f"transform({e}, v -> cast(round(v) as bigint))").alias(f"_{e}") for e in sides]
+    )
+    held = samples.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    mcus = fx.mcus(spark, sf_dir).select("image_id", "m", "y", F.expr("image_id % 10").alias("_g"))
+    placed = mcus.join(held, "_g").withColumn("unit", F.expr("m % _n")).join(samples, ["_g", "unit"])
+    return placed.select(F.col("image_id").alias("file_id"), "m", *[F.expr(f"transform(_{e}, v -> v + y)").alias(e) for e in sides])
+
+
+def _edge_costs(spark, sf_dir, trials):
+    edges = _picture_edges(spark, sf_dir)
+    first = trials.where("k < 2").select("file_id", "cand_id", "k", "m", "m0")
+    blocks = first.join(edges.drop("bottom"), ["file_id", "m"]).withColumn("m", F.expr("m0 + k"))
+    return ms.seam_cost(blocks.drop("m0"), edges.select("file_id", "m", "bottom", "right"), fx.MCU_WIDTH)
+
+
+def _measured(trials, costs, window=ms.WINDOW):
+    return ms.trial_metrics(trials, window=window).join(costs, ["file_id", "cand_id"], "left")
+
+
 @query(
     "m5_trial_metrics",
-    "file_id:i, cand_id:i, clean:i, reached_end:b, dc_step:d, excess_bits:i",
-    f"WITH {_trials_sql(400)} --- SELECT * FROM tm",
+    "file_id:i, cand_id:i, clean:i, reached_end:b, dc_step:d, excess_bits:i, edge_cost:d",
+    f"WITH {_TRIALS}, {_metrics_sql('tm', ms.WINDOW)} --- SELECT tm.*, edge_cost FROM tm LEFT JOIN edge USING (file_id, cand_id)",
 )
 def m5_trial_metrics(spark, sf_dir):
-    return ms.trial_metrics(_trials(spark, sf_dir))
+    trials = _trials(spark, sf_dir)
+    return _measured(trials, _edge_costs(spark, sf_dir, trials))
 
 
-def _metrics_cte(name: str, window: int) -> str:
-    inner = _trials_sql(window).split("tr AS (", 1)[1]
-    body = "tr AS (" + inner
-    for t in ("tr", "st", "cl", "tm"):
-        body = body.replace(f"{t} AS (", f"{name}_{t} AS (").replace(f"FROM {t} ", f"FROM {name}_{t} ").replace(f"FROM {t})", f"FROM {name}_{t})")
-    return body
+_M6_SCORE = "CAST(floor(least((4 * dc_step + coalesce(edge_cost, 0)) * 10, 1e9)) AS BIGINT)"
 
 
 @query(
     "m6_rank_resync",
     "file_id:i, cand_id:i, delta_bits:i, clean:i, score:i, rank:i",
-    f"""WITH {MC}, {_EXPECTED}, {_metrics_cte('a', 12)}, {_metrics_cte('b', 400)},
-    scr AS (SELECT *, (cand_id - 3) * 8 AS delta_bits, CAST(floor((4 * dc_step + cand_id) * 10) AS BIGINT) AS score FROM a_tm),
-    short AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY reached_end OR clean >= 10 DESC, score, cand_id) AS ord FROM scr
-              WHERE clean >= 4 OR delta_bits = 0 QUALIFY ord <= 6),
-    fin AS (SELECT b.*, (b.cand_id - 3) * 8 AS delta_bits, CAST(floor((4 * b.dc_step + b.cand_id) * 10) AS BIGINT) AS score, ord,
-              b.reached_end OR b.clean >= 360 AS ok FROM b_tm b JOIN short s USING (file_id, cand_id))
+    f"""WITH {_TRIALS}, {_metrics_sql('a', ms.SCREEN)}, {_metrics_sql('b', ms.WINDOW)},
+    scr AS (SELECT a.*, (cand_id - 3) * 8 AS delta_bits, {_M6_SCORE} AS score FROM a LEFT JOIN edge USING (file_id, cand_id)),
+    short AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY reached_end OR clean >= {ms.SCREEN * 9 // 10} DESC, score, cand_id) AS ord FROM scr
+              WHERE clean >= 4 OR delta_bits = 0 QUALIFY ord <= {ms.FINALISTS}),
+    fin AS (SELECT b.*, (b.cand_id - 3) * 8 AS delta_bits, {_M6_SCORE.replace("dc_step", "b.dc_step")} AS score, ord,
+              b.reached_end OR b.clean >= {ms.WINDOW * 9 // 10} AS ok
+            FROM b JOIN short s USING (file_id, cand_id) LEFT JOIN edge USING (file_id, cand_id))
     --- SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ok DESC, CASE WHEN NOT ok THEN -clean END NULLS FIRST, score, excess_bits, abs(delta_bits), ord) AS rank FROM fin""",
 )
 def m6_rank_resync(spark, sf_dir):
     trials = _trials(spark, sf_dir)
-    named = lambda df: df.withColumn("delta_bits", F.expr("(cand_id - 3) * 8")).withColumn(
-        "edge_cost", F.col("cand_id").cast("double")
-    )
-    screened = named(ms.trial_metrics(trials, window=12))
-    final = named(ms.trial_metrics(trials))
-    return ms.rank_resync(screened, final, screen=12, finalists=6)
+    costs = _edge_costs(spark, sf_dir, trials)
+    # A candidate without a second MCU meets nothing.
+    named = lambda df: df.withColumn("delta_bits", F.expr("(cand_id - 3) * 8")).fillna(0.0, ["edge_cost"])
+    return ms.rank_resync(named(_measured(trials, costs, ms.SCREEN)), named(_measured(trials, costs)))
 
 
 @query(
