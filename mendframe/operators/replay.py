@@ -1,19 +1,21 @@
 """Replaying a repair recipe and reporting where each MCU came from.
 
-A recipe is one array of steps per image, so the whole list travels to each
-position once. Each position is traced backwards from the finished picture to
-the original through the array; the original's data is then joined once, no
-matter how many steps there are.
+A recipe is compiled once per image to ranges of positions that show a range of
+the original; the original's data is then joined once, no matter how many steps
+there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendframe.functions.blocked import blocked_row_number
-from mendframe.functions.lineage import materialize
-from mendframe.functions.once import once
 from mendframe.functions.sizes import Size
 
 # Flags of a traced MCU.
@@ -42,84 +44,223 @@ def recipes(steps: DataFrame, block: int = RECIPE_BLOCK) -> DataFrame:
     )
 
 
+class Pieces:
+    """What a picture shows, as ranges of positions: rows (start, source at start, paste step or -1, flags, d0, d1, d2).
+
+    Inside a range the source grows with the position; for pasted ranges it
+    counts the places of the clip.
+    """
+
+    def __init__(self, total: int):
+        self.total = total
+        self.rows = np.array([[0, 0, -1, 0, 0, 0, 0]] if total else [], np.int64).reshape(-1, 7)
+        self.merge_at = 1024
+
+    def cut(self, lo: int, hi: int) -> np.ndarray:
+        """The ranges of [lo, hi), as a copy."""
+        lo, hi = max(lo, 0), min(hi, self.total)
+        if lo >= hi:
+            return self.rows[:0].copy()
+        first = np.searchsorted(self.rows[:, 0], lo, side="right") - 1
+        out = self.rows[first : np.searchsorted(self.rows[:, 0], hi)].copy()
+        out[0, 1] += lo - out[0, 0]
+        out[0, 0] = lo
+        return out
+
+    def show(self, lo: np.ndarray, hi: np.ndarray, shift: int, change) -> None:
+        """Each of the ascending ranges [lo, hi) shows what lies `shift` on, after `change` of its rows."""
+        lo, hi = np.maximum(lo, max(0, -shift)), np.minimum(hi, self.total - max(0, shift))
+        lo, hi = lo[lo < hi], hi[lo < hi]
+        if not len(lo):
+            return
+        self.rows = self._few(lo, hi, shift, change) if len(lo) <= 32 else self._many(lo, hi, shift, change)
+        if len(self.rows) > self.merge_at:
+            self.merge()
+            self.merge_at = 2 * len(self.rows) + 1024
+
+    def _few(self, lo: np.ndarray, hi: np.ndarray, shift: int, change) -> np.ndarray:
+        parts, at = [], 0
+        for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+            there = self.cut(x + shift, y + shift)
+            there[:, 0] -= shift
+            change(there)
+            parts += [self.cut(at, x), there]
+            at = y
+        return np.concatenate([*parts, self.cut(at, self.total)])
+
+    def _many(self, lo: np.ndarray, hi: np.ndarray, shift: int, change) -> np.ndarray:
+        old = self.rows[:, 0]
+
+        def inside(at: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(lo, at, side="right") - 1
+            return (k >= 0) & (at < hi[np.maximum(k, 0)])
+
+        come = old - shift
+        starts = np.unique(np.concatenate([old[~inside(old)], come[inside(come)], lo, hi[hi < self.total]]))
+        of_range = inside(starts)
+        look = starts + np.where(of_range, shift, 0)
+        row = np.searchsorted(old, look, side="right") - 1
+        new = self.rows[row]
+        new[:, 1] += look - new[:, 0]
+        new[:, 0] = starts
+        there = new[of_range]
+        change(there)
+        new[of_range] = there
+        return new
+
+    def merge(self) -> None:
+        """Ranges that go on from the one before are one with it."""
+        r = self.rows
+        if len(r):
+            on = (np.diff(r[:, 0]) == np.diff(r[:, 1])) & (r[1:, 2:] == r[:-1, 2:]).all(axis=1)
+            self.rows = r[np.r_[True, ~on]]
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(np.append(self.rows[:, 0], self.total))
+
+
+def _scope(o, start: int, width: int, units: int, total: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ranges of the positions an operation's scope covers, those left out whose column + b lies outside."""
+    mask, h, w = o["mask"], o["h"] or 0, o["w"] or 0
+    left, right = max(0, -b), min(width, width - b)
+    if mask is not None:
+        lit = np.frombuffer(mask, np.uint8) != 0
+        col = np.arange(len(lit)) % width
+        edge = np.flatnonzero(np.diff(np.r_[0, lit & (col >= left) & (col < right), 0].astype(np.int8)))
+        return edge[::2] * units, edge[1::2] * units
+    if h > 0:
+        lo, hi = start, start + ((h - 1) * width + w) * units
+        left, right = max(left, o["col"]), min(right, o["col"] + w)
+    else:
+        lo, hi = start, start + w * units if w > 0 else total
+    if (left, right) == (0, width):
+        return np.array([lo]), np.array([hi])
+    line = width * units
+    row = np.arange(max(lo, 0) // line, -(-min(hi, total) // line)) * line
+    x, y = np.maximum(lo, row + left * units), np.minimum(hi, row + right * units)
+    return x[x < y], y[x < y]
+
+
+def apply_operation(pieces: Pieces, o, width: int, units: int = 1) -> None:
+    """One step of a recipe on the ranges of a picture."""
+    op, a, b, total = o["op"], o["a"] or 0, o["b"] or 0, pieces.total
+    single = op in ("unitInsert", "unitDelete")
+    if single and units == 1:
+        raise ValueError(f"operation on single blocks needs a grid of blocks: {op}")
+    at = (o["row"] * width + o["col"]) * units + (b if single else 0)
+    n = a * (1 if single else units)
+
+    def moved(rows):
+        rows[:, 3] |= MOVED
+
+    def lifted(rows):
+        rows[:, 3] |= DC
+        if 0 <= a <= 2:
+            rows[:, 4 + a] += b
+
+    def pasted(rows):
+        start = rows[0, 0]
+        rows[:] = [0, 0, o["step_no"], PASTED, 0, 0, 0]
+        rows[:, 0] = start
+        rows[:, 1] = start - at
+
+    if op in ("insert", "unitInsert"):
+        pieces.show(np.array([at + n]), np.array([total]), -n, moved)
+    elif op in ("delete", "unitDelete"):
+        pieces.show(np.array([at]), np.array([total]), n, moved)
+    elif op == "paste":
+        lo, hi = max(at, 0), min(at + n, total)
+        if lo < hi:
+            one = pieces.cut(lo, lo + 1)
+            pasted(one)
+            pieces.rows = np.concatenate([pieces.cut(0, lo), one, pieces.cut(hi, total)])
+    elif op == "cdelta":
+        pieces.show(*_scope(o, at, width, units, total, 0), 0, lifted)
+    elif op == "copy":
+        pieces.show(*_scope(o, at, width, units, total, b), (a * width + b) * units, moved)
+    else:
+        raise ValueError(f"unknown operation: {op}")
+
+
+#: No range that a row holds is longer, so that spreading it to positions stays small.
+LONGEST = 1 << 16
+
+
+def compiled(sizes: DataFrame, recipe: DataFrame, units: int = 1) -> DataFrame:
+    """Each picture's recipe as ranges: image_id, lo, hi, src, step, flags, d0, d1, d2.
+
+    `sizes`: image_id, total, wide. A recipe streams by, in blocks of steps, and
+    only the picture's ranges are held, of which there are never more than
+    positions; pictures without a recipe are one range.
+    """
+    schema = T.StructType([sizes.schema["image_id"]])
+    ordered = (
+        sizes.join(recipe.select("image_id", "block", "ops"), "image_id", "left")
+        .select(F.to_json(F.struct("image_id")).alias("key"), "total", "wide", "block", "ops")
+        .repartition("key")
+        .sortWithinPartitions("key", "block")
+    )
+
+    def rows_of(key: str, pieces: Pieces) -> pd.DataFrame:
+        pieces.merge()
+        r, n = pieces.rows, pieces.lengths()
+        parts = -(-n // LONGEST)
+        row = np.repeat(np.arange(len(r)), parts)
+        skip = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+        lo = r[row, 0] + skip
+        hi = np.minimum(lo + LONGEST, (r[:, 0] + n)[row])
+        names = ("step", "flags", "d0", "d1", "d2")
+        return pd.DataFrame({"key": key, "lo": lo, "hi": hi, "src": r[row, 1] + skip} | {c: r[row, k] for k, c in enumerate(names, 2)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = pieces = None
+        for batch in batches:
+            for key, total, wide, ops in zip(batch["key"], batch["total"], batch["wide"], batch["ops"], strict=True):
+                if key != now:
+                    if pieces is not None:
+                        yield rows_of(now, pieces)
+                    now, pieces = key, Pieces(int(total))
+                for o in ops if ops is not None else ():
+                    apply_operation(pieces, o, int(wide), units)
+        if pieces is not None:
+            yield rows_of(now, pieces)
+
+    found = ordered.mapInPandas(
+        run, "key string, lo bigint, hi bigint, src bigint, step bigint, flags int, d0 bigint, d1 bigint, d2 bigint"
+    )
+    return found.select(F.from_json("key", schema)["image_id"].alias("image_id"), *[c for c in found.columns if c != "key"])
+
+
 def trace(grid: DataFrame, recipe: DataFrame, width: Size, units: int = 1) -> DataFrame:
-    """image_id, m, src, flags, d0, d1, d2, paste_step, paste_i.
+    """image_id, m, src, flags, d0, d1, d2, paste_step, paste_i: every position of the pictures in `grid`.
 
     `src` is the original position shown at m, NULL for pasted content (then
     paste_step and paste_i say which); d0..d2 are the DC offsets added on the
-    way. `grid`: image_id, m, total, and `width`, if it is a column. With
-    `units` blocks per MCU the positions m and total count blocks, and unit
-    operations (a blocks at block b of the MCU at row, col) can be traced;
-    without, they are an error, as is any unknown operation.
-
-    Once per image each step gets the range of positions it can touch, so that
-    a position only looks closely at the few steps that may concern it. A
-    recipe longer than one block is folded block by block, the last one first,
-    so that no array grows with it.
+    way. `grid`: image_id, total, and `width`, if it is a column; a picture's
+    positions are 0 to total - 1. With `units` blocks per MCU the positions m
+    and total count blocks, and unit operations (a blocks at block b of the MCU
+    at row, col) can be traced; without, they are an error, as is any unknown
+    operation.
+
+    A recipe is compiled once per picture to ranges, and these are spread to
+    positions; no step is looked at again for a position. Ranges are dealt by
+    picture and place, so one large picture is many tasks.
     """
-    u = units
-    single = "o.op IN ('unitInsert', 'unitDelete')"
-    at = f"((o.row * _w + o.col) * {u} + CASE WHEN {single} THEN o.b ELSE 0 END)"
-    long = f"(o.a * CASE WHEN {single} THEN 1 ELSE {u} END)"
-    end = "9223372036854775807L"
-    lo = f"CASE WHEN o.op IN ('insert', 'unitInsert') THEN {at} + {long} WHEN o.mask IS NOT NULL THEN 0L ELSE {at} END"
-    hi = f"""CASE WHEN o.op = 'paste' THEN {at} + {long} WHEN o.op IN ('insert', 'delete', 'unitInsert', 'unitDelete') THEN {end}
-        WHEN o.mask IS NOT NULL THEN cast(length(o.mask) as bigint) * {u}
-        WHEN o.h > 0 THEN {at} + ((o.h - 1) * _w + o.w) * {u} WHEN o.w > 0 THEN {at} + o.w * {u} ELSE {end} END"""
-    unit_code = "raise_error(concat('operation on single blocks needs a grid of blocks: ', o.op))"
-    code = f"""CASE WHEN o.op = 'cdelta' THEN 0 WHEN o.op = 'copy' THEN 1 WHEN o.op = 'insert' THEN 2 WHEN o.op = 'delete' THEN 3
-        WHEN o.op = 'paste' THEN 4 WHEN o.op = 'unitInsert' THEN {2 if u > 1 else unit_code} WHEN o.op = 'unitDelete' THEN {3 if u > 1 else unit_code}
-        ELSE raise_error(concat('unknown operation: ', o.op)) END"""
-    prepared = f"""transform(reverse(ops), o -> named_struct('code', cast({code} as int), 'lo', cast({lo} as bigint), 'hi', cast({hi} as bigint),
-        'c0', CASE WHEN o.h > 0 AND o.mask IS NULL THEN cast(o.col as bigint) ELSE 0L END,
-        'c1', CASE WHEN o.h > 0 AND o.mask IS NULL THEN cast(o.col + o.w as bigint) ELSE cast(_w as bigint) END,
-        'a', cast(CASE WHEN o.op IN ('insert', 'delete', 'unitInsert', 'unitDelete') THEN {long} ELSE o.a END as bigint),
-        'b', cast(o.b as bigint), 'step', cast(o.step_no as bigint), 'mask', o.mask))"""
-
-    def st(**over):
-        fields = ["p", "live", "flags", "d0", "d1", "d2", "step", "i"]
-        return "named_struct(" + ", ".join(f"'{f}', {over.get(f, 's.' + f)}" for f in fields) + ")"
-
-    target = f"s.p + (o.a * _w + o.b) * {u}"
-    col = f"(s.p div {u}) % _w"
-    inside = f"(o.mask IS NULL OR substring(o.mask, cast(s.p div {u} as int) + 1, 1) <> X'00')"
-    in_scope = f"{col} >= o.c0 AND {col} < o.c1 AND {inside}"
-    in_grid = f"{col} + o.b BETWEEN 0 AND _w - 1 AND {target} >= 0 AND {target} < total"
-    fold = f"""aggregate(coalesce(_ops, array()), _t, (s, o) -> CASE
-      WHEN s.p < o.lo OR s.p >= o.hi OR NOT s.live THEN s
-      WHEN o.code = 2 THEN {st(p='s.p - o.a', flags=f's.flags | {MOVED}')}
-      WHEN o.code = 3 THEN CASE WHEN s.p + o.a < total THEN {st(p='s.p + o.a', flags=f's.flags | {MOVED}')} ELSE s END
-      WHEN o.code = 4 THEN {st(live='false', flags=f's.flags | {PASTED}', step='o.step', i='s.p - o.lo')}
-      WHEN NOT ({in_scope}) THEN s
-      WHEN o.code = 0 THEN {st(flags=f's.flags | {DC}', d0='s.d0 + CASE WHEN o.a = 0 THEN o.b ELSE 0 END',
-                               d1='s.d1 + CASE WHEN o.a = 1 THEN o.b ELSE 0 END', d2='s.d2 + CASE WHEN o.a = 2 THEN o.b ELSE 0 END')}
-      WHEN {in_grid} THEN {st(p=target, flags=f's.flags | {MOVED}')}
-      ELSE s END)"""
     wide = F.expr(f"cast({width} as bigint)")
-    if isinstance(width, int):
-        sized = recipe.withColumn("_w", wide)
-    else:
-        sized = recipe.join(grid.groupBy("image_id").agg(F.max(wide).alias("_w")), "image_id")
-    ready = materialize(sized.select("image_id", "block", once(prepared).alias("_ops")))
-    start = (
-        "named_struct('p', m, 'live', true, 'flags', 0, 'd0', 0L, 'd1', 0L, 'd2', 0L, "
-        "'step', cast(null as bigint), 'i', cast(null as bigint))"
-    )
-    state = grid.select("image_id", "m", "total", wide.alias("_w"), F.expr(start).alias("_t"))
-    last = ready.agg(F.max("block")).first()[0]
-    for b in range(-1 if last is None else int(last), -1, -1):
-        ops = ready.where(F.col("block") == b).select("image_id", "_ops")
-        state = state.join(ops, "image_id", "left").select("image_id", "m", "total", "_w", once(fold).alias("_t"))
-        if b > 0:
-            state = materialize(state)
-    return state.select(
+    sizes = grid.groupBy("image_id").agg(F.max("total").cast("bigint").alias("total"), F.max(wide).alias("wide"))
+    ranges = compiled(sizes, recipe, units).repartition("image_id", "lo")
+    spread = ranges.select("*", F.explode(F.expr("sequence(lo, hi - 1)")).alias("m"))
+    live = "step < 0"
+    return spread.select(
         "image_id",
         "m",
-        F.expr("CASE WHEN _t.live THEN _t.p END").alias("src"),
-        F.col("_t.flags").alias("flags"),
-        *[F.col(f"_t.d{i}").alias(f"d{i}") for i in range(3)],
-        F.col("_t.step").alias("paste_step"),
-        F.col("_t.i").alias("paste_i"),
+        F.expr(f"CASE WHEN {live} THEN src + (m - lo) END").alias("src"),
+        "flags",
+        "d0",
+        "d1",
+        "d2",
+        F.expr(f"CASE WHEN NOT ({live}) THEN step END").alias("paste_step"),
+        F.expr(f"CASE WHEN NOT ({live}) THEN src + (m - lo) END").alias("paste_i"),
     )
 
 
