@@ -10,7 +10,7 @@ epochs, each in an order of its own, until its budget is reached.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendframe.functions.blocked import carried
@@ -19,6 +19,20 @@ from mendframe.llm.common import word_count
 
 LEVELS = ("domain", "lang", "source")
 
+#: Target weights (level, name, weight) that the query and the pipeline mix to: fixed values.
+TARGETS = [
+    ("domain", "src-0", 3),
+    ("domain", "src-1", 2),
+    ("lang", "en", 4),
+    ("lang", "de", 2),
+    *[("source", f"src{i}", 1 + i % 3) for i in range(20)],
+]
+
+
+def target_weights(spark: SparkSession, targets: list[tuple[str, str, int]] = TARGETS) -> DataFrame:
+    """(level, name, weight) of a short list."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{b}', {w}L)" for a, b, w in targets) + " AS t(level, name, weight)")
+
 
 def domain_of(source: Column) -> Column:
     """A source's domain where none is given: its name without digits at the end, with their last one's parity."""
@@ -30,21 +44,30 @@ def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...], epochs: int,
     """`leaves` (the levels, tokens) with each leaf's `budget`.
 
     `weights` (level, name, weight) gives integer weights of nodes by their level
-    and name; others weigh 1. The share of a node is found in closed form:
-    children in order of capacity per weight are filled up as long as their
-    equal share of what is left exceeds their capacity. Shares are rounded
-    down, so up to one token per node stays unused.
+    and name. Nodes that it does not list, and those whose weight is NULL, weigh 1; of repeated
+    entries the largest counts. A node of weight 0 is left out with all its leaves,
+    so its siblings share what it could have given; a weight below 0 stops the job.
+
+    The share of a node is found in closed form: children in order of capacity per
+    weight are filled up as long as their share by weight of what is left exceeds their capacity.
+    Shares are rounded down, so up to one token per node stays unused.
     """
+    one = F.lit(1).cast("bigint")
+    for level in levels:
+        if weights is None:
+            leaves = leaves.withColumn(f"w_{level}", one)
+            continue
+        own = weights.where(F.col("level") == level).groupBy(F.col("name").alias("__name")).agg(F.max(F.coalesce(F.col("weight").cast("bigint"), one)).alias("w"))
+        leaves = leaves.join(own, leaves[level] == own["__name"], "left").drop("__name").withColumnRenamed("w", f"w_{level}")
+        leaves = leaves.withColumn(f"w_{level}", F.coalesce(f"w_{level}", one))
+    if weights is not None:
+        least = F.least(*[f"w_{x}" for x in levels])
+        leaves = leaves.where(F.when(least < 0, F.raise_error(F.lit("a weight is below 0")).cast("boolean")).otherwise(least > 0))
     leaves = leaves.withColumn("cap", F.col("tokens") * epochs)
     parent = leaves.groupBy().agg(F.least(F.lit(total).cast("bigint"), F.coalesce(F.sum("cap"), F.lit(0))).alias("budget"))
     for depth in range(1, len(levels) + 1):
         keys = list(levels[:depth])
-        node = leaves.groupBy(*keys).agg(F.sum("cap").alias("cap"))
-        if weights is None:
-            node = node.withColumn("w", F.lit(1).cast("bigint"))
-        else:
-            own = weights.where(F.col("level") == levels[depth - 1]).select("name", F.col("weight").cast("bigint").alias("w"))
-            node = node.join(own, node[keys[-1]] == own["name"], "left").drop("name").withColumn("w", F.coalesce("w", F.lit(1).cast("bigint")))
+        node = leaves.groupBy(*keys).agg(F.sum("cap").alias("cap"), F.max(f"w_{keys[-1]}").alias("w"))
         node = node.join(parent, keys[:-1]) if keys[:-1] else node.crossJoin(F.broadcast(parent))
         by = Window.partitionBy(*keys[:-1]) if keys[:-1] else Window.partitionBy(F.lit(0))
         order = by.orderBy((F.col("cap").cast("double") / F.col("w")).asc_nulls_last(), keys[-1])
@@ -62,7 +85,7 @@ def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...], epochs: int,
             "given", F.when(F.col("open") == 0, F.col("cap")).otherwise(F.least(share.cast("bigint"), F.col("cap")))
         )
         parent = node.select(*keys, F.col("given").cast("bigint").alias("budget"))
-    return leaves.join(parent, list(levels)).drop("cap")
+    return leaves.join(parent, list(levels)).select(*levels, "tokens", "budget")
 
 
 def mix(
@@ -78,7 +101,7 @@ def mix(
 
     One row per document and epoch that reaches into the leaf's budget; n_taken is
     below n_tokens for the one that the budget cuts. `total` defaults to
-    the tokens there are. Levels missing among the columns: domain is derived
+    the tokens there are; `weights` as for `budgets`. Levels missing among the columns: domain is derived
     from source. A leaf whose budget is k times its tokens gives every document
     in k epochs, and a seeded prefix of one more; only that epoch is put in
     order, in blocks of the leading hash digits, so a leaf of any size is many

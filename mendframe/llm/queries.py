@@ -83,7 +83,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_mixing", MIX)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("mark")
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.target_weights(spark)).drop("mark")
 
 
 @query("op6_url_filter", URLS)

@@ -1,5 +1,6 @@
 """SQL twins of the queries, for DuckDB over the same tables."""
 
+from mendframe.llm.mixing import TARGETS
 from mendframe.llm.url_filter import HOST_RULES, PATTERN_RULES
 
 _WORD = r"'[^ \t\n\x0b\f\r]+'"
@@ -130,28 +131,35 @@ _LEVELS = ("domain", "lang", "source")
 
 def _share(depth: int) -> str:
     """The CTE b<depth> with the budgets of the nodes at this depth."""
+    level = _LEVELS[depth - 1]
     keys = ", ".join(_LEVELS[:depth])
     up = ", ".join(_LEVELS[: depth - 1]) or "1"
     link = " AND ".join(f"n.{k} = p.{k}" for k in _LEVELS[: depth - 1]) or "true"
     own = ", ".join(f"n.{k}" for k in _LEVELS[:depth])
+    by = f"PARTITION BY {', '.join(f'n.{k}' for k in _LEVELS[: depth - 1]) or '1'} ORDER BY CAST(n.cap AS DOUBLE) / n.w, n.{level}"
     return f"""
-n{depth} AS (SELECT {keys}, sum(cap) AS cap FROM leaves GROUP BY ALL),
-f{depth} AS (
-  SELECT {own}, n.cap,
-    p.budget - coalesce(sum(n.cap) OVER (PARTITION BY {", ".join(f"n.{k}" for k in _LEVELS[: depth - 1]) or "1"} ORDER BY n.cap, n.{_LEVELS[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
-    count(*) OVER (PARTITION BY {", ".join(f"n.{k}" for k in _LEVELS[: depth - 1]) or "1"} ORDER BY n.cap, n.{_LEVELS[depth - 1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS among
+n{depth} AS (
+  SELECT {keys}, sum(cap) AS cap, coalesce(max(t.weight), 1) AS w
+  FROM leaves LEFT JOIN targets t ON t.level = '{level}' AND t.name = {level} GROUP BY ALL
+), f{depth} AS (
+  SELECT {own}, n.cap, n.w,
+    p.budget - coalesce(sum(n.cap) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(n.w) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS among
   FROM n{depth} n JOIN b{depth - 1} p ON {link}
 ), o{depth} AS (
-  SELECT *, max(CASE WHEN rest >= cap * among THEN 0 ELSE 1 END)
-    OVER (PARTITION BY {up} ORDER BY cap, {_LEVELS[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM f{depth}
+  SELECT *, max(CASE WHEN rest * w >= cap * among THEN 0 ELSE 1 END)
+    OVER (PARTITION BY {up} ORDER BY CAST(cap AS DOUBLE) / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM f{depth}
 ), b{depth} AS (
   SELECT {keys}, CASE WHEN open = 0 THEN cap
-    ELSE least(cap, max(rest) OVER (PARTITION BY {up}, open) // max(among) OVER (PARTITION BY {up}, open)) END AS budget FROM o{depth}
+    ELSE least(cap, w * max(rest) OVER (PARTITION BY {up}, open) // max(among) OVER (PARTITION BY {up}, open)) END AS budget FROM o{depth}
 )"""
 
 
+_TARGETS = ", ".join(f"('{level}', '{name}', {weight})" for level, name, weight in TARGETS)
+
 MIX = f"""
-WITH rows AS (
+WITH targets(level, name, weight) AS (VALUES {_TARGETS}),
+rows AS (
   SELECT doc_id, md5(coalesce(text, '')) AS mark, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
     regexp_replace(coalesce(source, ''), '[0-9]+$', '') || '-' ||
       CAST(coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9])$', 1) AS INT), 0) % 2 AS VARCHAR) AS domain,

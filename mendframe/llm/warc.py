@@ -9,17 +9,27 @@ holds is written as a revisit of it.
 Archives are written by Spark's own text writer, with the blank lines that end a
 record as its line separator, so whatever file system and committer the
 cluster has are used and a lost executor leaves no half file. A file holds a
-bounded number of records, and records are bounded by the segment size.
+bounded number of records, and records are bounded by the segment size. Once the
+job is committed its files get the ending .warc.
+
+A response that revisits refer to has an identifier made from its page and payload, so the
+revisits can name it without a look at its record.
 """
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendframe.functions.lineage import materialize
+from mendframe.llm.common import saved
+
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -27,87 +37,143 @@ _END = "\r\n\r\n"
 
 
 def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """(page_id, digest, refers_to): rows whose payload a row with a larger page_id holds too.
+    """(page_id, digest, refers_to, single, target): page_ids whose payload several page_ids hold.
 
-    Only payloads of at least `least` bytes. Narrow: no payload is shuffled, and
-    a digest shared by many rows is combined before it is.
+    refers_to is the largest of them, its own for that row itself; single says
+    whether one row has it, target is its url. Only payloads of at least `least` bytes.
+    Narrow: no payload is shuffled, and a digest shared by many rows is combined before it is.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    narrow = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
-    narrow = narrow.where(F.col("n") >= least).select("page_id", "digest").distinct()
-    last = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return narrow.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
+    narrow = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"), "url")
+    narrow = narrow.where(F.col("n") >= least).groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("url").alias("url"))
+    narrow = materialize(narrow)
+    last = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "rows", "url")).alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return narrow.join(last, "digest").select(
+        "page_id", "digest", F.col("held.page_id").alias("refers_to"), (F.col("held.rows") == 1).alias("single"), F.col("held.url").alias("target")
+    )
+
+
+def _target(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), "[\\x00-\\x20]", "%20")
+
+
+def _urn(name: uuid.UUID) -> str:
+    return f"<urn:uuid:{name}>"
+
+
+def _head(*fields: tuple[str, object]) -> bytes:
+    lines = [VERSION, *(f"{name}: {value}" for name, value in fields if value is not None and value != ""), "", ""]
+    return "\r\n".join(lines).encode()
+
+
+def page_records(
+    page_id: int | None, url: str, body: bytes, digest: str, refers_to: int | None, single: bool | None, target: str | None,
+    segment: int, frame: int, date: str,
+) -> Iterator[bytes]:
+    """The records of a page, each cut from the block once: linear in the payload."""
+    named = lambda page: uuid.uuid5(uuid.NAMESPACE_URL, f"{date}/{page}/{digest}")
+    revisit = refers_to is not None and refers_to != page_id
+    own = named(page_id) if single and page_id == refers_to else uuid.uuid4()
+    block = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"]
+    if not revisit:
+        for at in range(0, len(body), frame):
+            chunk = body[at : at + frame]
+            block += [b"%x\r\n" % len(chunk), chunk, b"\r\n"]
+        block.append(b"0\r\n\r\n")
+    whole = memoryview(b"".join(block))
+    many = len(whole) > segment
+    for no, at in enumerate(range(0, len(whole), segment), 1):
+        part = whole[at : at + segment]
+        first, last = no == 1, at + segment >= len(whole)
+        yield b"".join((
+            _head(
+                ("WARC-Type", "continuation" if not first else "revisit" if revisit else "response"),
+                ("WARC-Record-ID", _urn(own if first else uuid.uuid5(own, str(no)))),
+                ("WARC-Date", date),
+                ("WARC-Target-URI", url),
+                ("Content-Type", "application/http; msgtype=response" if first else None),
+                ("WARC-Payload-Digest", f"sha1:{digest}" if first else None),
+                ("WARC-Profile", REVISIT if first and revisit else None),
+                ("WARC-Refers-To", _urn(named(refers_to)) if first and revisit and single else None),
+                ("WARC-Refers-To-Target-URI", target if first and revisit else None),
+                ("WARC-Refers-To-Date", date if first and revisit else None),
+                ("X-Page-ID", page_id if first else None),
+                ("X-Refers-To-Page-ID", refers_to if first and revisit else None),
+                ("WARC-Segment-Number", no if many else None),
+                ("WARC-Segment-Origin-ID", None if first else _urn(own)),
+                ("WARC-Segment-Total-Length", len(whole) if many and last else None),
+                ("Content-Length", len(part)),
+            ),
+            part,
+        ))
 
 
-def records(pages: DataFrame, segment: int, frame: int, least: int) -> DataFrame:
+_COLUMNS = ("page_id", "url", "html", "digest", "refers_to", "single", "target")
+
+
+def records(pages: DataFrame, segment: int, frame: int, least: int, date: str) -> DataFrame:
     """(value): the records of `pages`, without the blank lines behind each."""
     again = revisits(pages, least).withColumnRenamed("page_id", "__id").withColumnRenamed("digest", "__digest")
     base = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
-        F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20]", "%20").alias("url"),
-        F.coalesce("html", F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    rows = base.join(again, base["page_id"].eqNullSafe(again["__id"]) & (base["digest"] == again["__digest"]), "left").withColumn(
-        "id", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))
-    )
-    # Chunks are cut by characters, their sizes stated in bytes.
-    n_frames = F.ceil(F.length("html") / F.lit(frame)).cast("int")
-    frames = F.when(F.length("html") > 0, F.transform(F.sequence(F.lit(0), n_frames - 1), lambda i: F.substring(F.col("html"), i * frame + 1, F.lit(frame))))
-    chunked = F.concat(
-        F.coalesce(F.array_join(F.transform(frames, lambda c: F.concat(F.lower(F.hex(F.octet_length(c))), F.lit("\r\n"), c)), "\r\n"), F.lit("")),
-        F.when(F.length("html") > 0, F.lit("\r\n")).otherwise(F.lit("")),
-        F.lit("0\r\n\r\n"),
-    )
-    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    revisit = F.col("refers_to").isNotNull()
-    rows = rows.withColumn("block", F.when(revisit, F.lit(head)).otherwise(F.concat(F.lit(head), chunked)))
-    rows = rows.withColumn("total", F.octet_length("block")).withColumn("parts", F.ceil(F.length("block") / F.lit(segment)).cast("int"))
-    rows = rows.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("parts"))))
-    rows = rows.withColumn("part", F.substring(F.col("block"), (F.col("no") - 1) * segment + 1, F.lit(segment)))
-    first, many, last = F.col("no") == 1, F.col("parts") > 1, F.col("no") == F.col("parts")
-
-    def line(name: str, value, when=F.lit(True)):
-        return F.when(when & value.isNotNull(), F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
-
-    own_id = F.when(first, F.col("id")).otherwise(F.concat(F.expr("substring(id, 1, length(id) - 1)"), F.lit(":"), F.col("no"), F.lit(">")))
-    kind = F.when(~first, "continuation").when(revisit, "revisit").otherwise("response")
-    return rows.select(
-        F.concat(
-            F.lit(VERSION + "\r\n"),
-            line("WARC-Type", kind),
-            line("WARC-Record-ID", own_id),
-            line("WARC-Target-URI", F.col("url"), F.col("url") != ""),
-            line("Content-Type", F.lit("application/http; msgtype=response"), first),
-            line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"), first),
-            line("WARC-Profile", F.lit(REVISIT), first & revisit),
-            line("X-Page-ID", F.col("page_id"), first),
-            line("X-Refers-To-Page-ID", F.col("refers_to"), first),
-            line("WARC-Segment-Number", F.col("no"), many),
-            line("WARC-Segment-Origin-ID", F.col("id"), ~first),
-            line("WARC-Segment-Total-Length", F.col("total"), many & last),
-            line("Content-Length", F.octet_length("part")),
-            F.lit("\r\n"),
-            F.col("part"),
-        ).alias("value")
-    )
+        _target(F.col("url")).alias("url"),
+        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"),
+    ).withColumn("digest", F.sha1("html"))
+    rows = base.join(again, base["page_id"].eqNullSafe(again["__id"]) & (base["digest"] == again["__digest"]), "left")
+    rows = rows.withColumn("target", _target(F.col("target"))).select(*_COLUMNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            columns = [batch.column(c) for c in _COLUMNS]
+            for i in range(batch.num_rows):
+                for record in page_records(*(c[i].as_py() for c in columns), segment, frame, date):
+                    held.append(record)
+                    size += len(record)
+                    if size >= 1 << 23:
+                        yield pa.record_batch([pa.array(held, pa.binary())], ["value"])
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(held, pa.binary())], ["value"])
+
+    # A segment may end inside a character: the text writer takes the bytes as they are.
+    return rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+
+
+def _rename(paths: Iterator) -> None:
+    from pyarrow import fs
+
+    for row in paths:
+        system, path = fs.FileSystem.from_uri(row.path)
+        to = path.removesuffix(".txt") + ".warc"
+        # An earlier attempt of this task may have come this far.
+        if system.get_file_info(path).type != fs.FileType.NotFound or system.get_file_info(to).type == fs.FileType.NotFound:
+            system.move(path, to)
 
 
 def write_archives(
-    pages: DataFrame, folder: str, segment: int = 65536, frame: int = 16384, least: int = 1000, per_file: int = 500
+    pages: DataFrame, folder: str, segment: int = 65536, frame: int = 16384, least: int = 1000, per_file: int = 500, date: str | None = None
 ) -> None:
     """Writes `pages` (page_id, url, html) as WARC files of at most `per_file` records to a new folder.
 
-    NULL html is an empty payload, a NULL url or page_id leaves its header out.
-    Of rows with equal payloads of at least `least` bytes those with the
-    largest page_id are responses, repeated ones among them too, and the others
-    revisit it. Other columns are ignored; no page gives no file.
+    `segment` and `frame` are bytes. NULL html is an empty payload, a NULL url or page_id leaves its
+    header out. `date` (UTC, default: now) is the records' WARC-Date. Of rows with equal payloads of at
+    least `least` bytes those with the largest page_id are responses, repeated ones among them too,
+    and the others revisit it: by WARC-Refers-To, target and date, or by target and date alone if
+    that page_id has repeated rows with the payload. Other columns are ignored; no page gives no record.
+    The folder must be one that pyarrow's file systems reach.
     """
+    spark = pages.sparkSession
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     (
-        records(pages, segment, frame, least)
+        records(pages, segment, frame, least, date)
         .write.option("lineSep", _END)
         .option("maxRecordsPerFile", per_file)
         .text(folder)
     )
+    # The list is saved first: an attempt that runs again must not look for files already renamed.
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path")
+    saved(names, "warc-names").foreachPartition(_rename)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +237,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """
     parsed = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "part-*")
+        .option("pathGlobFilter", "*.warc")
         .load(folder)
         .select("content")
         .mapInPandas(

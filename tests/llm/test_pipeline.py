@@ -13,7 +13,7 @@ from test_texts import grouped, plain_quality, plain_spans, shingles
 
 import corpus_pipeline
 from mendframe.llm.common import shared_folder
-from mendframe.llm.mixing import mix
+from mendframe.llm.mixing import mix, target_weights
 from mendframe.llm.pii import masked
 from mendframe.llm.queries import tokenizer_file
 
@@ -50,7 +50,7 @@ def test_stages(spark):
         t = masked(t, plain_spans(t))
         want[(d, t, rest[0], rest[1], len(t))] += 1
     assert Counter(safe) == want
-    chosen = {(r.doc_id, r.mark, r.epoch) for r in mix(documents(spark, safe)).collect()}
+    chosen = {(r.doc_id, r.mark, r.epoch) for r in mix(documents(spark, safe), weights=target_weights(spark)).collect()}
     assert Counter(r[0] for r in mixed) == Counter(d for d, _, _ in chosen)
     assert set(mixed) <= set(safe)
     sp = sentencepiece.SentencePieceProcessor(model_proto=tokenizer_file("piece_bpe_32k.model"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -151,9 +154,51 @@ def test_mixing(spark):
 
 def test_mixing_weights(spark):
     data = [(i, "w " * 10, "en", "a1" if i < 50 else "b1", 1) for i in range(100)]
-    weights = spark.createDataFrame([("source", "a1", 3)], "level string, name string, weight bigint")
-    got = mixing.mix(documents(spark, data), total=400, weights=weights, levels=("lang", "source")).groupBy("source").agg({"n_taken": "sum"})
-    assert {tuple(r) for r in got.collect()} == {("a1", 300), ("b1", 100)}
+    table = lambda *rows: spark.createDataFrame(rows, "level string, name string, weight bigint")
+    mixed = lambda w: mixing.mix(documents(spark, data), total=400, weights=w, levels=("lang", "source")).groupBy("source").agg({"n_taken": "sum"})
+    for rows, want in (
+        ([("source", "a1", 3)], {"a1": 300, "b1": 100}),
+        ([("source", "a1", 3), ("source", "a1", 1), ("source", "b1", None)], {"a1": 300, "b1": 100}),
+        ([("source", "a1", 0)], {"b1": 400}),
+        ([("lang", "en", 0)], {}),
+    ):
+        assert {tuple(r) for r in mixed(table(*rows)).collect()} == set(want.items())
+    with pytest.raises(Exception, match="a weight is below 0"):
+        mixed(table(("source", "a1", -1))).collect()
+
+
+def test_mixing_weights_brute_force(spark):
+    """Budgets of a tree with unequal weights, one of them 0, filled up step by step."""
+    rng = np.random.default_rng(3)
+    leaves = [(f"d{a}", f"l{b}", f"s{c}", int(rng.integers(1, 2000))) for a in range(3) for b in range(3) for c in range(5)]
+    weights = {("domain", "d0"): 5, ("lang", "l1"): 3, ("lang", "l2"): 0, ("source", "s1"): 7, ("source", "s4"): 2}
+    w = lambda depth, name: weights.get((mixing.LEVELS[depth], name), 1)
+    alive = [x for x in leaves if all(w(i, x[i]) for i in range(3))]
+
+    def share(rows, budget, depth):
+        if depth == 3:
+            return {rows[0][:3]: budget}
+        groups = {k: [r for r in rows if r[depth] == k] for k in {r[depth] for r in rows}}
+        cap = {k: 4 * sum(r[3] for r in g) for k, g in groups.items()}
+        given, left, open_ = {}, budget, sorted(groups, key=lambda k: (cap[k] / w(depth, k), k))
+        while open_:
+            k, among = open_[0], sum(w(depth, x) for x in open_)
+            if left * w(depth, k) < cap[k] * among:
+                given |= {x: min(cap[x], left * w(depth, x) // among) for x in open_}
+                break
+            given[k] = cap[k]
+            left -= cap[k]
+            open_ = open_[1:]
+        out = {}
+        for k, g in groups.items():
+            out |= share(g, given[k], depth + 1)
+        return out
+
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens bigint")
+    table = spark.createDataFrame([(*k, v) for k, v in weights.items()], "level string, name string, weight bigint")
+    for total in (0, 1000, 30_000, 10**9):
+        got = {tuple(r)[:3]: r.budget for r in mixing.budgets(df, total, mixing.LEVELS, 4, table).collect()}
+        assert got == share(alive, min(total, 4 * sum(x[3] for x in alive)), 0)
 
 
 URLS = [
@@ -165,8 +210,6 @@ URLS = [
 
 
 def test_urls(spark):
-    import re
-
     rows = [(i, u, "h", "kept") for i, u in enumerate(URLS)] + [(None, URLS[5], None, None), (3, URLS[3], "h", "x")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, verdict string")
     want = Counter()
@@ -215,11 +258,28 @@ def test_warc(spark):
         assert Counter(tuple(r) for r in warc.digest(read).collect()) == want
         bodies = Counter((r.page_id, bytes(r.payload)) for r in read.where("record_type = 'response'").collect())
         assert bodies == Counter((p, (h or "").encode()) for p, _, h in pages if last.get((h or "").encode(), p) == p)
+    text = b"".join(f.read_bytes() for f in sorted(Path(folder.removeprefix("file:")).glob("*.warc"))).decode("latin-1")
+    heads = [dict(x.split(": ", 1) for x in h.split("\r\n") if ": " in x) for h in re.findall(r"WARC/1\.1\r\nWARC-Type.*?\r\n\r\n", text, re.S)]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) for h in heads)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            # Page 12 has repeated rows: no one record to name.
+            assert ("WARC-Refers-To" in h) == (h["X-Refers-To-Page-ID"] != "12") and h["WARC-Refers-To-Target-URI"] == "u"
+            if "WARC-Refers-To" in h:
+                assert ids[h["WARC-Refers-To"]]["X-Page-ID"] == h["X-Refers-To-Page-ID"]
     folder = shared_folder(spark, "warc-test")
     warc.write_archives(df.limit(0), folder)
     assert not warc.digest(warc.read_archives(spark, folder)).count()
 
 
+def test_warc_is_linear():
+    """A page of 64 MB is cut into as many bytes as it has, not as many as its square."""
+    began = time.perf_counter()
+    n = sum(len(r) for r in warc.page_records(1, "u", b"x" * (1 << 26), "d", None, None, None, 65536, 16384, "2020-01-01T00:00:00Z"))
+    assert (1 << 26) < n < 1.02 * (1 << 26) and time.perf_counter() - began < 5
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
