@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mendframe.llm.common import shared_folder, table
 from mendframe.llm.minhash_dedup import near_duplicates
-from mendframe.llm.mixing import mix
+from mendframe.llm.mixing import mix, target_weights
 from mendframe.llm.pii import mask_personal_data
 from mendframe.llm.quality import judge_quality
 from mendframe.llm.queries import tokenizer_file
@@ -52,8 +52,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by source budgets: repeated once per epoch, the last one of a leaf whole."""
-    chosen = mix(docs).select(F.col("doc_id").alias("__id"), "mark", "epoch").distinct()
+    """Documents by the budgets of their sources' target weights: repeated once per epoch, the last one of a leaf whole."""
+    chosen = mix(docs, weights=target_weights(spark)).select(F.col("doc_id").alias("__id"), "mark", "epoch").distinct()
     same = docs["doc_id"].eqNullSafe(chosen["__id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == chosen["mark"])
     return docs.join(chosen, same).select(*COLUMNS)
 
