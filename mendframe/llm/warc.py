@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.functions.lineage import materialize
 from mendframe.llm.common import saved
 
 #: Fixed values of the format.
@@ -35,6 +34,9 @@ VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 
+#: Bits that mark payloads held more than once, 16 MB: with more payloads marks only let more pages be looked up.
+MARK_BITS = 1 << 27
+
 
 def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, digest, refers_to, single, target): page_ids whose payload several page_ids hold.
@@ -46,7 +48,6 @@ def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     narrow = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"), "url")
     narrow = narrow.where(F.col("n") >= least).groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("url").alias("url"))
-    narrow = materialize(narrow)
     last = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "rows", "url")).alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return narrow.join(last, "digest").select(
         "page_id", "digest", F.col("held.page_id").alias("refers_to"), (F.col("held.rows") == 1).alias("single"), F.col("held.url").alias("target")
@@ -113,14 +114,29 @@ _COLUMNS = ("page_id", "url", "html", "digest", "refers_to", "single", "target")
 
 def records(pages: DataFrame, segment: int, frame: int, least: int, date: str) -> DataFrame:
     """(value): the records of `pages`, without the blank lines behind each."""
-    again = revisits(pages, least).withColumnRenamed("page_id", "__id").withColumnRenamed("digest", "__digest")
+    again = saved(revisits(pages, least), "warc-revisits").withColumnRenamed("page_id", "__id").withColumnRenamed("digest", "__digest")
+    spot = F.pmod(F.xxhash64(F.unhex("digest")), F.lit(MARK_BITS))
+    marks = (
+        again.select(F.pmod(F.xxhash64(F.unhex("__digest")), F.lit(MARK_BITS)).alias("s"))
+        .groupBy(F.bitmap_bucket_number("s").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    )
     base = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         _target(F.col("url")).alias("url"),
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"),
     ).withColumn("digest", F.sha1("html"))
-    rows = base.join(again, base["page_id"].eqNullSafe(again["__id"]) & (base["digest"] == again["__digest"]), "left")
-    rows = rows.withColumn("target", _target(F.col("target"))).select(*_COLUMNS)
+    # At most MARK_BITS / 8 bytes, whatever the input.
+    base = base.join(F.broadcast(marks), F.bitmap_bucket_number(spot) == F.col("__bucket"), "left").withColumn("__at", F.bitmap_bit_position(spot))
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
+    marked = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0, F.lit(False))
+    own = ["page_id", "url", "html", "digest"]
+    # Only pages whose payload may be held twice are looked up, and shuffled for it.
+    looked_up = base.where(marked).select(*own)
+    looked_up = looked_up.join(again, looked_up["page_id"].eqNullSafe(again["__id"]) & (looked_up["digest"] == again["__digest"]), "left")
+    looked_up = looked_up.withColumn("target", _target(F.col("target"))).select(*_COLUMNS)
+    alone = base.where(~marked).select(*own, F.lit(None).cast("bigint").alias("refers_to"), F.lit(None).cast("boolean").alias("single"), F.lit("").alias("target"))
+    rows = looked_up.unionByName(alone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
