@@ -63,8 +63,8 @@ def _complete(walk: str, at: str) -> str:
     return f"{walk}.status = 1 AND {walk}.w > 0 AND {walk}.h > 0 AND {walk}.has_scan"
 
 
-def candidates(chunks: DataFrame, key: str) -> DataFrame:
-    """Every FF D8 FF m (m >= C0) owned by a chunk, with its walk as far as the chunk's bytes go.
+def _opened_walks() -> str:
+    """SQL: off and p, the walk as far as the chunk's bytes go, of every FF D8 FF m (m >= C0) that a chunk owns.
 
     The walks run inside the row, so the bytes are never copied or shuffled.
     """
@@ -74,18 +74,40 @@ def candidates(chunks: DataFrame, key: str) -> DataFrame:
     )
     avail, n = "length(content)", "(total - start)"
     walk = picture_expr(_state("b.off + 2"), avail, n, markers="slice(markers, b.i + 2, size(markers))")
-    found = (
+    return (
         f"transform(filter(transform(markers, (x, i) -> CASE WHEN {opening} THEN named_struct('off', x.off, 'i', i) END), "
         f"b -> b IS NOT NULL), b -> named_struct('off', start + b.off, 'p', {walk}))"
     )
+
+
+def _scan_stops() -> str:
+    """SQL: where an FF starts a marker that is neither stuffing nor a restart, in the bytes a chunk owns.
+
+    Few places: entropy-coded data holds almost only the others.
+    """
+    held = f"filter(markers, x -> x.code <> 0 AND NOT {names.is_rst('x.code')} AND x.off < length)"
+    return f"transform({held}, x -> start + x.off)"
+
+
+def scan_chunks(chunks: DataFrame, key: str) -> DataFrame:
+    """key, total, base, f, stop: of one scan of the bytes, a row per opened walk (f) and per place where scan data can end (stop)."""
+    rows = (
+        "concat(transform(w, f -> named_struct('f', f, 'stop', cast(null as bigint))), "
+        "transform(o, stop -> named_struct('f', get(w, -1), 'stop', stop)))"
+    )
     return (
         chunks.withColumn("markers", find_markers("content"))
-        .select(key, "total", "start", once(found).alias("f"))
-        .select(key, "total", "start", F.explode("f").alias("f"))
-        .select(key, "total", "f.off", F.col("start").alias("base"), "f.p.*")
+        .select(key, "total", "start", once(_opened_walks()).alias("w"), once(_scan_stops()).alias("o"))
+        .select(key, "total", F.col("start").alias("base"), F.explode(F.expr(rows)).alias("r"))
+        .select(key, "total", "base", "r.f", "r.stop")
     )
 
 
+def candidates(scanned: DataFrame, key: str) -> DataFrame:
+    """The opened walks of `scan_chunks`."""
+    return scanned.where("f IS NOT NULL").select(key, "total", "f.off", "base", "f.p.*")
+
+
 def resume(open_walks: DataFrame, load: Callable[[DataFrame], DataFrame], key: str, length: int) -> DataFrame:
     """Continues walks that ran out of bytes: reads `length` more bytes for each, and only those."""
     wanted = open_walks.select(
@@ -117,16 +139,18 @@ def carve(
     chunk's bytes is continued by `load`, `reach` bytes at a time, until none
     is left open; without `load` each chunk must be a whole blob. Inside scan
     data a walk goes on at the next marker that can end it, looked up in a table
-    of such markers, so the bytes between, or the rest of a blob behind a
+    of such markers that the same scan of the bytes gives, so the bytes between, or the rest of a blob behind a
     truncated picture, are not read again. Pictures below `min_length` bytes are
     dropped; with `max_count`, the first so many of a blob in offset order are
     kept. They are ranked largest first.
     """
-    walks = candidates(chunks, key)
-    if load is not None:
+    scanned = scan_chunks(chunks, key)
+    if load is None:
+        walks = candidates(scanned, key)
+    else:
         done = []
-        stops = materialize(scan_stops(chunks, key))
-        walks = materialize(walks)
+        scanned = materialize(scanned)
+        walks, stops = candidates(scanned, key), scanned.where("stop IS NOT NULL").select(key, "stop")
         while True:
             done.append(walks.where("status <> 0"))
             pending = walks.where("status = 0")
@@ -155,19 +179,6 @@ def carve(
     return ranked.select(key, "off", "length", "width", "height", (F.col("_rank") + 1).alias("rank"))
 
 
-def scan_stops(chunks: DataFrame, key: str) -> DataFrame:
-    """key, stop: where an FF starts a marker that is neither stuffing nor a restart, in the bytes a chunk owns.
-
-    Few rows: entropy-coded data holds almost only the others.
-    """
-    held = f"filter(markers, x -> x.code <> 0 AND NOT {names.is_rst('x.code')} AND x.off < length)"
-    return (
-        chunks.withColumn("markers", find_markers("content"))
-        .select(key, "start", F.explode(once(f"transform({held}, x -> x.off)")).alias("o"))
-        .select(key, (F.col("start") + F.col("o")).alias("stop"))
-    )
-
-
 def at_next_stop(pending: DataFrame, stops: DataFrame, key: str) -> DataFrame:
     """Open walks moved to where they go on: those inside scan data to the next stop, or dropped without one."""
     cols = pending.columns

@@ -126,7 +126,8 @@ def _greedy(name: str, source: str) -> str:
     {name} AS (SELECT * FROM {name}_g WHERE kept)"""
 
 
-_SOI3 = f"mk.code = 216 AND mk.off + 3 < files.n AND {duck.h('mk.off + 2')} = 'FF'"
+# The two bytes after FF D8 stand where a segment has its length.
+_SOI3 = "mk.code = 216 AND mk.off + 3 < files.n AND mk.seg_len >= 65280"
 
 
 @query(
@@ -134,7 +135,7 @@ _SOI3 = f"mk.code = 216 AND mk.off + 3 < files.n AND {duck.h('mk.off + 2')} = 'F
     "file_id:i, off:i, length:i, width:i, height:i, rank:i",
     "WITH RECURSIVE " + duck.MARKERS + ","
     + _pictures("cand", f"SELECT file_id, mk.off AS start, n FROM mk JOIN files USING (file_id) WHERE {_SOI3} "
-                        f"AND {duck.h('mk.off + 3')} BETWEEN 'C0' AND 'FE'")
+                        "AND mk.seg_len BETWEEN 65472 AND 65534")
     + ", big AS (SELECT * FROM cand_ok WHERE stop - start >= 1024),"
     + _greedy("kept", "big")
     + """ --- SELECT file_id, start AS off, stop - start AS length, width, height,

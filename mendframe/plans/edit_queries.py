@@ -18,7 +18,25 @@ MC = f"mc AS MATERIALIZED ({fx.mcus_sql()})"
 BL = f"bl AS MATERIALIZED ({fx.blocks_sql()})"
 QT = f"qt AS ({fx.quant_sql()})"
 YCC = ["y", "cb", "cr"]
-_MCU = "image_id:i, m:i, y:i, cb:i, cr:i"
+# Queries with a row per MCU return a digest of all rows and columns of a picture.
+_MCU = "image_id:i, mcus:i, sum_y:i, sum_cb:i, sum_cr:i, weighed:i, mixed:i"
+_DIGEST = {
+    "mcus": "count(1)",
+    "sum_y": "sum(y)",
+    "sum_cb": "sum(cb)",
+    "sum_cr": "sum(cr)",
+    "weighed": "sum((m + 1) * (y + 61 * cb + 3721 * cr))",
+    "mixed": "bit_xor((m * 1000003 + y * 10007 + cb * 101 + cr * 31) % 2147483647)",
+}
+
+
+def _digest(df):
+    return df.groupBy("image_id").agg(*[F.expr(e).alias(n) for n, e in _DIGEST.items()])
+
+
+def _digest_sql(rows: str) -> str:
+    columns = ", ".join(f"{e} AS {n}" for n, e in _DIGEST.items())
+    return f"SELECT image_id, {columns} FROM ({rows}) AS r GROUP BY image_id"
 
 
 def _coef(df):
@@ -37,18 +55,18 @@ def e1_cdelta(spark, sf_dir):
 @query(
     "e2_copy_blocks",
     _MCU,
-    f"""WITH {MC} --- SELECT a.image_id, a.m, coalesce(s.y, a.y) AS y, coalesce(s.cb, a.cb) AS cb, coalesce(s.cr, a.cr) AS cr FROM mc a
+    f"WITH {MC} --- " + _digest_sql("""SELECT a.image_id, a.m, coalesce(s.y, a.y) AS y, coalesce(s.cb, a.cb) AS cb, coalesce(s.cr, a.cr) AS cr FROM mc a
       LEFT JOIN mc s ON s.image_id = a.image_id AND a."row" BETWEEN 3 AND 8 AND a.col BETWEEN 4 AND 14 AND a.col + 3 < 16
-        AND s."row" = a."row" - 2 AND s.col = a.col + 3""",
+        AND s."row" = a."row" - 2 AND s.col = a.col + 3"""),
 )
 def e2_copy_blocks(spark, sf_dir):
     scope = g.scope_mask("rect", "16", "3", "4", h="6", w="11")
-    return ed.copy_blocks(fx.mcus(spark, sf_dir), -2, 3, scope, fx.MCU_WIDTH, YCC)
+    return _digest(ed.copy_blocks(fx.mcus(spark, sf_dir), -2, 3, scope, fx.MCU_WIDTH, YCC))
 
 
 def _shift_sql(src: str) -> str:
-    return f"""WITH {MC} --- SELECT a.image_id, a.m, coalesce(s.y, a.y) AS y, coalesce(s.cb, a.cb) AS cb, coalesce(s.cr, a.cr) AS cr
-      FROM mc a LEFT JOIN mc s ON s.image_id = a.image_id AND s.m = {src}"""
+    return f"WITH {MC} --- " + _digest_sql(f"""SELECT a.image_id, a.m, coalesce(s.y, a.y) AS y, coalesce(s.cb, a.cb) AS cb, coalesce(s.cr, a.cr) AS cr
+      FROM mc a LEFT JOIN mc s ON s.image_id = a.image_id AND s.m = {src}""")
 
 
 _AT = "(30 + image_id % 11)"
@@ -56,12 +74,12 @@ _AT = "(30 + image_id % 11)"
 
 @query("e3_insert_mcus", _MCU, _shift_sql("CASE WHEN a.m >= 30 + a.image_id % 11 + 9 THEN a.m - 9 ELSE a.m END"))
 def e3_insert_mcus(spark, sf_dir):
-    return ed.insert_mcus(fx.mcus(spark, sf_dir), 9, _AT, YCC)
+    return _digest(ed.insert_mcus(fx.mcus(spark, sf_dir), 9, _AT, YCC))
 
 
 @query("e4_delete_mcus", _MCU, _shift_sql("CASE WHEN a.m >= 30 + a.image_id % 11 THEN a.m + 9 ELSE a.m END"))
 def e4_delete_mcus(spark, sf_dir):
-    return ed.delete_mcus(fx.mcus(spark, sf_dir), 9, _AT, YCC)
+    return _digest(ed.delete_mcus(fx.mcus(spark, sf_dir), 9, _AT, YCC))
 
 
 def _unit_sql(src: str) -> str:
@@ -83,11 +101,12 @@ def e5_delete_units(spark, sf_dir):
     "e6_paste",
     _MCU,
     f"""WITH {MC}, cl AS (SELECT image_id, m - 5 + 200 AS m, y, cb, cr FROM mc WHERE m >= 5 AND m < 45)
-    --- SELECT a.image_id, a.m, coalesce(c.y, a.y) AS y, coalesce(c.cb, a.cb) AS cb, coalesce(c.cr, a.cr) AS cr FROM mc a LEFT JOIN cl c USING (image_id, m)""",
+    --- """
+    + _digest_sql("SELECT a.image_id, a.m, coalesce(c.y, a.y) AS y, coalesce(c.cb, a.cb) AS cb, coalesce(c.cr, a.cr) AS cr FROM mc a LEFT JOIN cl c USING (image_id, m)"),
 )
 def e6_paste(spark, sf_dir):
     mc = fx.mcus(spark, sf_dir)
-    return ed.paste(mc, 200, ed.read_mcus(mc, 5, 40), YCC)
+    return _digest(ed.paste(mc, 200, ed.read_mcus(mc, 5, 40), YCC))
 
 
 @query(
@@ -96,11 +115,12 @@ def e6_paste(spark, sf_dir):
     f"""WITH {MC}, cl AS (SELECT image_id, m - 5 + 50 AS m, y, cb, cr FROM mc WHERE m >= 5 AND m < 12),
     sh AS (SELECT a.image_id, a.m, coalesce(s.y, a.y) AS y, coalesce(s.cb, a.cb) AS cb, coalesce(s.cr, a.cr) AS cr
            FROM mc a LEFT JOIN mc s ON s.image_id = a.image_id AND s.m = CASE WHEN a.m >= 57 THEN a.m - 7 ELSE a.m END)
-    --- SELECT a.image_id, a.m, coalesce(c.y, a.y) AS y, coalesce(c.cb, a.cb) AS cb, coalesce(c.cr, a.cr) AS cr FROM sh a LEFT JOIN cl c USING (image_id, m)""",
+    --- """
+    + _digest_sql("SELECT a.image_id, a.m, coalesce(c.y, a.y) AS y, coalesce(c.cb, a.cb) AS cb, coalesce(c.cr, a.cr) AS cr FROM sh a LEFT JOIN cl c USING (image_id, m)"),
 )
 def e6_paste_insert(spark, sf_dir):
     mc = fx.mcus(spark, sf_dir)
-    return ed.paste_insert(mc, 7, 50, ed.read_mcus(mc, 5, 7), YCC)
+    return _digest(ed.paste_insert(mc, 7, 50, ed.read_mcus(mc, 5, 7), YCC))
 
 
 @query(
@@ -108,11 +128,12 @@ def e6_paste_insert(spark, sf_dir):
     _MCU,
     f"""WITH {MC}, sc AS (SELECT image_id, m, row_number() OVER (PARTITION BY image_id ORDER BY m) - 1 AS i FROM mc WHERE y % 3 = 0),
     f AS (SELECT sc.image_id, sc.m, p.y, p.cb, p.cr FROM sc JOIN mc p ON p.image_id = sc.image_id AND p.m = sc.i)
-    --- SELECT a.image_id, a.m, coalesce(f.y, a.y) AS y, coalesce(f.cb, a.cb) AS cb, coalesce(f.cr, a.cr) AS cr FROM mc a LEFT JOIN f USING (image_id, m)""",
+    --- """
+    + _digest_sql("SELECT a.image_id, a.m, coalesce(f.y, a.y) AS y, coalesce(f.cb, a.cb) AS cb, coalesce(f.cr, a.cr) AS cr FROM mc a LEFT JOIN f USING (image_id, m)"),
 )
 def e7_fill_scope(spark, sf_dir):
     mc = fx.mcus(spark, sf_dir)
-    return ed.fill_scope(mc, F.expr("y % 3 = 0"), mc.select("image_id", F.col("m").alias("i"), *YCC), YCC)
+    return _digest(ed.fill_scope(mc, F.expr("y % 3 = 0"), mc.select("image_id", F.col("m").alias("i"), *YCC), YCC))
 
 
 @query("e8_read_mcus", "image_id:i, i:i, y:i, cb:i, cr:i", f"WITH {MC} --- SELECT image_id, m - 580 AS i, y, cb, cr FROM mc WHERE m >= 580 AND m < 620")

@@ -342,9 +342,23 @@ def _expected(spark, sf_dir):
     return ms.expected_dc(mc, fx.MCU_WIDTH)
 
 
-@query("m4_expected_dc", "image_id:i, m:i, expected:i", f"WITH {MC}, {_EXPECTED} --- SELECT * FROM ex")
+_EXPECTED_DIGEST = {
+    "mcus": "count(1)",
+    "known": "count(expected)",
+    "sum_expected": "sum(expected)",
+    "weighed": "sum((m + 1) * (expected + 1000))",
+    "mixed": "bit_xor((m * 1000003 + coalesce(expected + 1000, 0) * 10007) % 2147483647)",
+}
+
+
+@query(
+    "m4_expected_dc",
+    "image_id:i, mcus:i, known:i, sum_expected:i, weighed:i, mixed:i",
+    f"WITH {MC}, {_EXPECTED} --- SELECT image_id, {', '.join(f'{e} AS {n}' for n, e in _EXPECTED_DIGEST.items())} FROM ex GROUP BY image_id",
+)
 def m4_expected_dc(spark, sf_dir):
-    return _expected(spark, sf_dir)
+    # All rows of a picture, as a digest.
+    return _expected(spark, sf_dir).groupBy("image_id").agg(*[F.expr(e).alias(n) for n, e in _EXPECTED_DIGEST.items()])
 
 
 # Candidate c decodes the picture from its MCU 4c on, at most 60 MCUs, and puts them where the damage starts.

@@ -97,7 +97,7 @@ def s2_read_chunks(spark, sf_dir):
     "file_id:i, off:i, length:i, width:i, height:i, rank:i",
     "WITH RECURSIVE " + _IMAGES + "," + duck.markers_cte() + ","
     + _pictures("cand", f"SELECT file_id, mk.off AS start, n FROM mk JOIN files USING (file_id) WHERE {_SOI3} "
-                        f"AND {duck.h('mk.off + 3')} BETWEEN 'C0' AND 'FE'")
+                        "AND mk.seg_len BETWEEN 65472 AND 65534")
     + ", big AS (SELECT * FROM cand_ok WHERE stop - start >= 1024),"
     + _greedy("kept", "big")
     + """ --- SELECT file_id, start AS off, stop - start AS length, width, height,
@@ -116,7 +116,7 @@ def b17_carve_images(spark, sf_dir):
     "file_id:i, off:i, length:i, width:i, height:i, rank:i",
     "WITH RECURSIVE " + _images_sql(2000) + "," + duck.markers_cte() + ","
     + _pictures("cand", f"SELECT file_id, mk.off AS start, n FROM mk JOIN files USING (file_id) WHERE {_SOI3} "
-                        f"AND {duck.h('mk.off + 3')} BETWEEN 'C0' AND 'FE'")
+                        "AND mk.seg_len BETWEEN 65472 AND 65534")
     + ", big AS (SELECT * FROM cand_ok)," + _greedy("kept", "big")
     + """ --- SELECT file_id, start AS off, stop - start AS length, width, height,
         row_number() OVER (PARTITION BY file_id ORDER BY stop - start DESC, start) AS rank FROM kept""",
@@ -244,7 +244,7 @@ def s5_resolve_uris(spark, sf_dir):
     "file_id:i, name:s, sha:s",
     "WITH RECURSIVE " + duck.MARKERS + ","
     + _pictures("cand", f"SELECT file_id, mk.off AS start, n FROM mk JOIN files USING (file_id) WHERE {_SOI3} "
-                        f"AND {duck.h('mk.off + 3')} BETWEEN 'C0' AND 'FE'")
+                        "AND mk.seg_len BETWEEN 65472 AND 65534")
     + ", big AS (SELECT * FROM cand_ok WHERE stop - start >= 1024),"
     + _greedy("kept", "big")
     + """ --- SELECT k.file_id, printf('doc%d_%04d_%dx%d.jpg', k.file_id, row_number() OVER (PARTITION BY k.file_id ORDER BY stop - start DESC, start), width, height) AS name,
