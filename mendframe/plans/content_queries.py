@@ -105,8 +105,8 @@ def _pictures(name: str, starts: str) -> str:
     return (
         duck.chase_cte(starts, name=name)
         + f""",
-    {name}_sof AS (SELECT c.file_id, c.start, {duck.num('c.off + 7', 2)} AS width, {duck.num('c.off + 5', 2)} AS height
-        FROM {name} c JOIN files f USING (file_id) WHERE c.status = 'seg' AND {duck.is_sof('c.code')} AND c.seg_len >= 8
+    {name}_sof AS (SELECT c.file_id, c.start, TRY_CAST('0x' || head[13:16] AS BIGINT) AS width, TRY_CAST('0x' || head[9:12] AS BIGINT) AS height
+        FROM {name} c JOIN mk ON mk.file_id = c.file_id AND mk.off = c.off WHERE c.status = 'seg' AND {duck.is_sof('c.code')} AND c.seg_len >= 8
         QUALIFY row_number() OVER (PARTITION BY c.file_id, c.start ORDER BY c.step) = 1),
     {name}_ok AS MATERIALIZED (SELECT e.file_id, e.start, e.off + 2 AS stop, width, height FROM {name} e
         JOIN {name}_sof s ON s.file_id = e.file_id AND s.start = e.start

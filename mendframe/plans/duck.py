@@ -41,27 +41,27 @@ FILES = f"files AS MATERIALIZED (SELECT *, length(hx) // 2 AS n FROM ({fx.files_
 
 
 def markers_cte(src: str = "files", key: str = "file_id", out: str = "mk", hx: str = "hx") -> str:
-    """off, code, seg_len, fill per marker of `src`; a trailing FF has code -1.
+    """off, code, seg_len, fill per marker of `src`; a trailing FF has code -1. head: the eight bytes after the FF.
 
-    The two bytes of a length follow the code: in its piece, or in the next two, which an FF parts.
+    The pieces between FFs give the head: its own piece and, where that is short, the next ones.
     """
-    tail = "nxt || coalesce('FF ' || nxt2, '') || coalesce('FF ' || nxt3, '')"
     return f"""
     {out}_p AS (
       SELECT {key}, unnest(p) AS piece, generate_subscripts(p, 1) AS j, len(p) AS k
       FROM (SELECT {key}, string_split(regexp_replace({hx}, '(..)', '\\1 ', 'g'), 'FF ') AS p FROM {src})),
     {out}_o AS (
-      SELECT {key}, j, k, piece[:12] AS piece,
+      SELECT {key}, j, k,
              sum(length(piece) // 3) OVER w + j - 1 AS off,
-             lead(piece[:12]) OVER w AS nxt, lead(piece[:12], 2) OVER w AS nxt2, lead(piece[:12], 3) OVER w AS nxt3,
+             lead(piece[:24]) OVER w AS nxt,
+             string_agg(piece[:24], 'FF ') OVER (PARTITION BY {key} ORDER BY j ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS after,
              max(CASE WHEN piece <> '' OR j = 1 THEN j ELSE 0 END) OVER w AS run
       FROM {out}_p WINDOW w AS (PARTITION BY {key} ORDER BY j)),
     {out} AS MATERIALIZED (
-      SELECT {key}, off, code, TRY_CAST('0x' || nullif(len_hex, '') AS INT) AS len4,
-             CASE WHEN length(len_hex) = 4 THEN TRY_CAST('0x' || len_hex AS INT) END AS seg_len, fill
+      SELECT {key}, off, code,
+             CASE WHEN length(head) >= 6 THEN TRY_CAST('0x' || head[3:6] AS INT) END AS seg_len, fill, head
       FROM (SELECT {key}, CAST(off AS BIGINT) AS off,
-                   CASE WHEN nxt = '' THEN -1 ELSE TRY_CAST('0x' || substr(nxt, 1, 2) AS INT) END AS code,
-                   substr(replace({tail}, ' ', ''), 3, 4) AS len_hex, j - run AS fill
+                   CASE WHEN nxt = '' THEN -1 ELSE TRY_CAST('0x' || nxt[:2] AS INT) END AS code,
+                   replace(coalesce(after, ''), ' ', '')[:16] AS head, j - run AS fill
             FROM {out}_o WHERE j < k AND (nxt <> '' OR j = k - 1)) AS m)"""
 
 
