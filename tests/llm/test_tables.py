@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import sys
@@ -231,8 +232,55 @@ def test_urls(spark):
 
 def test_rarest_token(spark):
     urls = spark.createDataFrame([("http://a/x/y",), ("http://a/x",), (None,)], "url string")
-    rule = url_filter.Rule("/x/y", ("x", "y"))
+    rule = url_filter.Rule("/x/y(?:/|$)")
+    assert rule.tokens == ("x", "y")
     assert url_filter.rarest_tokens(urls, (rule,)) == {"y": [rule]}
+    with pytest.raises(ValueError):
+        url_filter.rarest_tokens(urls, (url_filter.Rule("/x[a-z]"),))
+
+
+@pytest.mark.parametrize(
+    "regex, tokens",
+    [
+        (r"/a/b", ("a",)),
+        (r"[?&]ref=x(?:[&#]|$)", ("ref", "x")),
+        (r"^https?://ads\.", ("ads",)),
+        (r"/(?:[^/]*/)*login(?:[/?#]|$)", ("login",)),
+        (r"/(?:[^/]+)?login/", ()),
+        (r"/(?:en|de)/x/", ("x",)),
+        (r"/a-?b/", ()),
+        (r"/a(?:-c)?/", ("a",)),
+        (r"\bfoo\W+bar(?!z)", ("foo",)),
+        (r"/(?:foo/)+", ()),
+        (r"[^a-z0-9]k[^a-z]m_", ()),
+        (r"(?i)/foo/", ()),
+        (r"/(?i:foo)/bar/", ("bar",)),
+        (r"^x9$", ("x9",)),
+        (r"", ()),
+    ],
+)
+def test_literal_tokens(regex, tokens):
+    assert url_filter.literal_tokens(regex) == tokens
+    # Whatever matches holds every token, whole.
+    samples = ["/".join(p) for p in itertools.product(["", "a", "b", "x9", "foo", "en", "login", "a-c", "http:", "ads.k.m_"], repeat=3)]
+    samples += [f"http://h/{s}?ref=x&ref={s}" for s in samples] + [f"{s} {s}bar" for s in samples]
+    for url in samples:
+        if re.search(regex, url):
+            assert set(tokens) <= set(re.findall("[a-z0-9]+", url)), url
+
+
+def test_ten_thousand_rules(spark):
+    rules = tuple(url_filter.Rule(rf"/shop/item{i}(?:[/?#]|$)") for i in range(9_000))
+    rules += tuple(url_filter.Rule(rf"[?&]id={i}(?:&|$)", "allow") for i in range(1_000))
+    urls = [f"http://h/shop/item{i * 7 % 12_000}?id={i % 1_500}" for i in range(1_500)] + ["http://h/shop/", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(4)
+    got = {r.page_id: r for r in url_filter.judge_urls(df, (), rules).collect()}
+    for i, url in enumerate(urls):
+        m = re.fullmatch(r"http://h/shop/item(\d+)[?]id=(\d+)", url or "")
+        blocked = bool(m) and int(m[1]) < 9_000 and int(m[2]) >= 1_000
+        assert got[i].verdict == ("block" if blocked else "allow"), url
+    # Of 10,000 expressions at most the two of a URL's own tokens run.
+    assert max(r.n_tried for r in got.values()) <= 2
 
 
 def test_warc(spark):
