@@ -187,7 +187,9 @@ def patch_pixels(reference: DataFrame, rects: DataFrame, mcu_w: Size, mcu_h: Siz
     `rects`: image_id, rect_id, row, col, rows, cols, d_row, d_col (in MCUs).
     Sizes are numbers, or columns of `rects`.
     Reads past the reference repeat its edge. Coordinates of the patch start
-    at 0; each output pixel looks up one reference pixel by an equi-join.
+    at 0; each output pixel looks up one reference pixel by an equi-join. The
+    few rects become many pixels, which Spark does not foresee; it would
+    broadcast them, so both sides are held to a sort-merge join.
     """
     grid = (
         rects.withColumn("x", F.explode(F.expr(f"sequence(0L, cast(cols * {mcu_w} as bigint) - 1L)")))
@@ -199,7 +201,7 @@ def patch_pixels(reference: DataFrame, rects: DataFrame, mcu_w: Size, mcu_h: Siz
         )
     )
     source = reference.select("image_id", F.col("x").alias("_sx"), F.col("y").alias("_sy"), *CHANNELS)
-    return grid.join(source, ["image_id", "_sx", "_sy"]).select("image_id", "rect_id", "x", "y", *CHANNELS)
+    return grid.join(source.hint("merge"), ["image_id", "_sx", "_sy"]).select("image_id", "rect_id", "x", "y", *CHANNELS)
 
 
 def pad_edges(pixels: DataFrame, width: Size, height: Size, padded_width: Size, padded_height: Size) -> DataFrame:
