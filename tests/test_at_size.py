@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import io
 
+from __spark_entry__ import queries
+from conftest import SF
 from mendframe.operators import color
 from mendframe.streaming import triage_stream as ts
 
@@ -35,3 +37,8 @@ def test_patches_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(got)
     want = {(k, x, y): 8 * min(4 * k + y, 7) + min(4 + x, 7) for k in range(2) for x in range(8) for y in range(4)}
     assert {(r.rect_id, r.x, r.y): r.c0 for r in got.collect()} == want
+
+
+def test_candidates_are_not_repeated_for_each_distinct_count(spark):
+    """Candidates are hundreds of thousands a file; none is copied or shuffled to be counted."""
+    assert "Expand" not in _plan(queries()["m3_resync_candidates"](spark, SF))
