@@ -46,7 +46,15 @@ def test_candidates_are_not_repeated_for_each_distinct_count(spark):
     assert "Expand" not in _plan(queries()["m3_resync_candidates"](spark, SF))
 
 
-ROWS = ["e2_copy_blocks", "e3_insert_mcus", "e4_delete_mcus", "e6_paste", "e6_paste_insert", "e7_fill_scope"]
+ROWS = [
+    "e2_copy_blocks",
+    "e3_insert_mcus",
+    "e4_delete_mcus",
+    "e6_paste",
+    "e6_paste_insert",
+    "e7_fill_scope",
+    "m4_expected_dc",
+]
 
 
 @pytest.mark.parametrize("name", ROWS)
