@@ -10,6 +10,7 @@ import pytest
 from __spark_entry__ import queries
 from conftest import SF
 from mendframe.operators import color
+from mendframe.operators import mcu_stream as ms
 from mendframe.streaming import triage_stream as ts
 
 
@@ -62,3 +63,17 @@ def test_a_row_per_mcu(spark, name):
     """Every MCU is a row of the result; no digest stands for them."""
     got = queries()[name](spark, SF)
     assert "m" in got.columns and got.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_metrics_of_runs_shuffle_nothing(spark):
+    """A trial that lies in one array is measured where it lies, as from its rows."""
+    trials = spark.range(4000).selectExpr(
+        "id % 5 AS file_id", "id div 400 AS cand_id", "(id div 5) % 80 AS k", "CASE WHEN (id * 7) % 211 = 0 THEN 2L ELSE 0L END AS anomalies", "id % 13 AS bits",
+        "array(id % 17, id % 19) AS dc", "array(CASE WHEN id % 3 > 0 THEN id % 7 END, 5L) AS expected", "array(3, 5) AS q00",
+        "100 - (id div 5) % 80 AS remaining", "id % 97 = 0 AS at_restart",
+    )
+    runs = spark.createDataFrame(ms.trial_runs(trials).collect(), ms.trial_runs(trials).schema)
+    for window in (48, 400):
+        assert "Exchange" not in _plan(ms.run_metrics(runs, window))
+        got, want = (sorted(map(tuple, df.collect())) for df in (ms.run_metrics(runs, window), ms.trial_metrics(trials, window)))
+        assert got == want and len(got) == 50
