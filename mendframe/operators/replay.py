@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendframe.functions.blocked import blocked_row_number
+from mendframe.functions.lineage import shuffle_partitions
 from mendframe.functions.sizes import Size
 
 # Flags of a traced MCU.
@@ -185,23 +186,28 @@ def apply_operation(pieces: Pieces, o, width: int, units: int = 1) -> None:
 #: No range that a row holds is longer, so that spreading it to positions stays small.
 LONGEST = 1 << 16
 
+#: Ranges of finished pictures are handed on once there are so many.
+RANGES = 1 << 14
+
 
 def compiled(sizes: DataFrame, recipe: DataFrame, units: int = 1) -> DataFrame:
     """Each picture's recipe as ranges: image_id, lo, hi, src, step, flags, d0, d1, d2.
 
     `sizes`: image_id, total, wide. A recipe streams by, in blocks of steps, and
     only the picture's ranges are held, of which there are never more than
-    positions; pictures without a recipe are one range.
+    positions; pictures without a recipe are one range. The work lies in the steps, not
+    in their few bytes, so the number of tasks is fixed and not left to the size of the shuffle.
     """
     schema = T.StructType([sizes.schema["image_id"]])
     ordered = (
         sizes.join(recipe.select("image_id", "block", "ops"), "image_id", "left")
         .select(F.to_json(F.struct("image_id")).alias("key"), "total", "wide", "block", "ops")
-        .repartition("key")
+        .repartition(shuffle_partitions(sizes.sparkSession), "key")
         .sortWithinPartitions("key", "block")
     )
+    names = ("key", "lo", "hi", "src", "step", "flags", "d0", "d1", "d2")
 
-    def rows_of(key: str, pieces: Pieces) -> pd.DataFrame:
+    def rows_of(key: str, pieces: Pieces) -> list[np.ndarray]:
         pieces.merge()
         r, n = pieces.rows, pieces.lengths()
         parts = -(-n // LONGEST)
@@ -209,21 +215,28 @@ def compiled(sizes: DataFrame, recipe: DataFrame, units: int = 1) -> DataFrame:
         skip = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
         lo = r[row, 0] + skip
         hi = np.minimum(lo + LONGEST, (r[:, 0] + n)[row])
-        names = ("step", "flags", "d0", "d1", "d2")
-        return pd.DataFrame({"key": key, "lo": lo, "hi": hi, "src": r[row, 1] + skip} | {c: r[row, k] for k, c in enumerate(names, 2)})
+        return [np.full(len(row), key, object), lo, hi, r[row, 1] + skip, *r[row, 2:].T]
+
+    def frame(done: list[list[np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(parts) for c, parts in zip(names, zip(*done, strict=True), strict=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = pieces = None
+        done, held = [], 0
         for batch in batches:
             for key, total, wide, ops in zip(batch["key"], batch["total"], batch["wide"], batch["ops"], strict=True):
                 if key != now:
                     if pieces is not None:
-                        yield rows_of(now, pieces)
+                        done.append(rows_of(now, pieces))
+                        held += len(done[-1][0])
+                        if held >= RANGES:
+                            yield frame(done)
+                            done, held = [], 0
                     now, pieces = key, Pieces(int(total))
                 for o in ops if ops is not None else ():
                     apply_operation(pieces, o, int(wide), units)
         if pieces is not None:
-            yield rows_of(now, pieces)
+            yield frame([*done, rows_of(now, pieces)])
 
     found = ordered.mapInPandas(
         run, "key string, lo bigint, hi bigint, src bigint, step bigint, flags int, d0 bigint, d1 bigint, d2 bigint"
@@ -248,7 +261,7 @@ def trace(grid: DataFrame, recipe: DataFrame, width: Size, units: int = 1) -> Da
     """
     wide = F.expr(f"cast({width} as bigint)")
     sizes = grid.groupBy("image_id").agg(F.max("total").cast("bigint").alias("total"), F.max(wide).alias("wide"))
-    ranges = compiled(sizes, recipe, units).repartition("image_id", "lo")
+    ranges = compiled(sizes, recipe, units).repartition(shuffle_partitions(grid.sparkSession), "image_id", "lo")
     spread = ranges.select("*", F.explode(F.expr("sequence(lo, hi - 1)")).alias("m"))
     live = "step < 0"
     return spread.select(
