@@ -19,9 +19,10 @@ def batch_apply(
     `projects`: image_id, source_path, output, export_path; `steps` and `base`
     as in `replay`, keyed by image_id. The recipe is traced once, and the
     original data meets the trace once per project, whatever the length of
-    the recipe.
+    the recipe. Steps are written first: numbering them reads them twice, and
+    they may come from stored projects that have to be parsed.
     """
-    recipe = materialize(recipes(steps))
+    recipe = materialize(recipes(materialize(steps)))
     named = export_target(projects)
     traced = materialize(trace(base, recipe, width))
     pictures = replay(base, recipe, width, clips, traced=traced).join(named.select("image_id", "target"), "image_id")
