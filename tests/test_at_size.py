@@ -13,6 +13,10 @@ from conftest import SF
 from mendframe.operators import color
 from mendframe.operators import fill as fl
 from mendframe.operators import mcu_stream as ms
+from mendframe.operators import replay as rp
+from mendframe.operators.markers import find_markers, with_markers
+from mendframe.plans.batch import batch_apply
+from mendframe.sources import files as sf
 from mendframe.streaming import triage_stream as ts
 
 
@@ -96,3 +100,44 @@ def test_drift_makes_no_row_for_a_pixel_at_a_shift(spark):
             want[dx, dy] = sum(e * e for e in d) / len(d) - (sum(d) / len(d)) ** 2
     costs = {(r.dx, r.dy): r.cost for r in got.collect()}
     assert costs.keys() == want.keys() and all(abs(costs[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_tasks_are_not_merged_by_the_bytes_of_their_shuffle(spark, tmp_path):
+    """Names of pieces and steps of recipes are few bytes and much work."""
+    (tmp_path / "a.img").write_bytes(bytes(300))
+    steps = spark.createDataFrame(
+        [(1, 0, "ops", True, "insert", 0, 1, 0, 0, 2, 0)],
+        "image_id long, step_no long, kind string, enabled boolean, op string, row long, col long, h long, w long, a long, b long",
+    )
+    grid = spark.range(20).selectExpr("1L AS image_id", "id AS m", "20L AS total")
+    traced = rp.trace(grid, rp.recipes(steps), 16)
+    for df, shuffles in ((sf.read_chunks(spark, str(tmp_path), 100, 4), 1), (traced, 2)):
+        assert _plan(df).count("REPARTITION_BY_NUM") == shuffles
+    assert [r.src for r in traced.orderBy("m").collect()] == [0, 1, 2, *range(1, 18)]
+
+
+def test_chunks_bring_the_markers_of_their_bytes(spark, tmp_path):
+    """Found while a batch is read, in batches far smaller than the file."""
+    (tmp_path / "a.img").write_bytes(bytes([0, 255, 216, 255, 255, 218, 0, 9, 255]) * 50)
+    pieces = sf.plan_chunks(spark, str(tmp_path), 100)
+    got = sf.load_chunks(pieces, 7, batch_bytes=150, markers=True)
+    assert "ArrowEvalPython" not in _plan(with_markers(got))
+    again = got.withColumn("again", find_markers("content")).collect()
+    assert len(again) == 5 and all(r.markers == r.again for r in again) and sum(len(r.content) for r in again) == 450 + 4 * 7
+
+
+def test_stored_recipes_are_parsed_once(spark):
+    """The batch numbers its steps, for which it reads them twice."""
+    n = spark.sparkContext.accumulator(0)
+    schema = "image_id long, step_no long, kind string, enabled boolean, op string, row long, col long, h long, w long, a long, b long"
+
+    def counted(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+
+    steps = spark.createDataFrame([(1, k, "ops", True, "insert", 0, 1, 0, 0, 2, 0) for k in range(3)], schema).mapInPandas(counted, schema)
+    base = spark.range(20).selectExpr("1L AS image_id", "id AS m", "20L AS total", "id AS y", "id AS cb", "id AS cr")
+    projects = spark.createDataFrame([(1, "a.jpg", "b.jpg", "")], "image_id long, source_path string, output string, export_path string")
+    batch_apply(projects, steps, base, 16)
+    assert n.value == 3
