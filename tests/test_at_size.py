@@ -11,6 +11,7 @@ import pytest
 from __spark_entry__ import queries
 from conftest import SF
 from mendframe.operators import color
+from mendframe.operators import donors as dn
 from mendframe.operators import fill as fl
 from mendframe.operators import mcu_stream as ms
 from mendframe.operators import replay as rp
@@ -141,3 +142,18 @@ def test_stored_recipes_are_parsed_once(spark):
     projects = spark.createDataFrame([(1, "a.jpg", "b.jpg", "")], "image_id long, source_path string, output string, export_path string")
     batch_apply(projects, steps, base, 16)
     assert n.value == 3
+
+
+def test_widths_make_no_row_for_an_mcu_at_a_width(spark):
+    """A stream of several blocks, with a gap, equals brute force; MCUs meet by block, not by place."""
+    n, widths = 9500, [7, 16, 250]
+    mcu = {m: (m * 37 % 101, m * 53 % 97, m % 11) for m in range(n) if m not in (4100, 8190)}
+    edges = spark.createDataFrame([(3, m, *v, n) for m, v in mcu.items()], "image_id long, m long, top long, bottom long, inner long, total long")
+    got = dn.detect_width(edges, widths)
+    assert not re.search(r"hashpartitioning\(image_id#\d+L?, (above|m)#", _plan(got))
+    rows = {r.width: (r.rows, r.cost) for r in got.collect()}
+    assert rows.keys() == set(widths)
+    for w in widths:
+        pairs = [(mcu[m], mcu[m - w]) for m in mcu if w <= m < w * (n // w) and m - w in mcu]
+        seam = sum(abs(a[0] - b[1]) for a, b in pairs) / len(pairs)
+        assert rows[w][0] == n // w and abs(rows[w][1] - seam / (sum(a[2] for a, _ in pairs) / len(pairs) + 1)) < 1e-9
