@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,14 +217,19 @@ def compiled(sizes: DataFrame, recipe: DataFrame, units: int = 1) -> DataFrame:
         hi = np.minimum(lo + LONGEST, (r[:, 0] + n)[row])
         return [np.full(len(row), key, object), lo, hi, r[row, 1] + skip, *r[row, 2:].T]
 
-    def frame(done: list[list[np.ndarray]]) -> pd.DataFrame:
-        return pd.DataFrame({c: np.concatenate(parts) for c, parts in zip(names, zip(*done, strict=True), strict=True)})
+    types = pa.schema([(c, pa.string() if c == "key" else pa.int32() if c == "flags" else pa.int64()) for c in names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frame(done: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = (np.concatenate(parts) for parts in zip(*done, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = pieces = None
         done, held = [], 0
         for batch in batches:
-            for key, total, wide, ops in zip(batch["key"], batch["total"], batch["wide"], batch["ops"], strict=True):
+            # Only the steps of one block become Python objects at a time; a batch holds thousands of blocks.
+            keys, totals, wides = (batch.column(c).to_pylist() for c in ("key", "total", "wide"))
+            for key, total, wide, ops in zip(keys, totals, wides, batch.column("ops"), strict=True):
                 if key != now:
                     if pieces is not None:
                         done.append(rows_of(now, pieces))
@@ -233,12 +238,12 @@ def compiled(sizes: DataFrame, recipe: DataFrame, units: int = 1) -> DataFrame:
                             yield frame(done)
                             done, held = [], 0
                     now, pieces = key, Pieces(int(total))
-                for o in ops if ops is not None else ():
+                for o in ops.as_py() or ():
                     apply_operation(pieces, o, int(wide), units)
         if pieces is not None:
             yield frame([*done, rows_of(now, pieces)])
 
-    found = ordered.mapInPandas(
+    found = ordered.mapInArrow(
         run, "key string, lo bigint, hi bigint, src bigint, step bigint, flags int, d0 bigint, d1 bigint, d2 bigint"
     )
     return found.select(F.from_json("key", schema)["image_id"].alias("image_id"), *[c for c in found.columns if c != "key"])
@@ -249,7 +254,7 @@ def trace(grid: DataFrame, recipe: DataFrame, width: Size, units: int = 1) -> Da
 
     `src` is the original position shown at m, NULL for pasted content (then
     paste_step and paste_i say which); d0..d2 are the DC offsets added on the
-    way. `grid`: image_id, total, and `width`, if it is a column; a picture's
+    way. `grid`: image_id, total, and `width`, if it is a column, in any number of rows a picture; a picture's
     positions are 0 to total - 1. With `units` blocks per MCU the positions m
     and total count blocks, and unit operations (a blocks at block b of the MCU
     at row, col) can be traced; without, they are an error, as is any unknown
@@ -282,7 +287,7 @@ def replay(
 ) -> DataFrame:
     """image_id, m, src, flags and the channels of the repaired picture.
 
-    `base`: image_id, m, total and the channels (DC values), and `width`, if it
+    `base`: image_id, m, the channels (DC values) and, without `traced`, total, and `width`, if it
     is a column; `clips`: image_id, paste_step, paste_i and the channels, what
     each paste step writes. `traced` may hold the trace, where it is at hand.
     """

@@ -10,6 +10,7 @@ import pytest
 from __spark_entry__ import queries
 from conftest import SF
 from mendframe.operators import grid as g
+from mendframe.operators import replay as rp
 
 
 def _plan(df) -> str:
@@ -46,3 +47,16 @@ def test_shifts_are_compared_where_the_mcus_lie(spark):
         r = got[key]
         assert [r.offset_y, r.offset_cb, r.offset_cr] == pytest.approx(mean)
         assert r.cost == pytest.approx(spread[0] + 0.5 * spread[1] + 0.5 * spread[2])
+
+
+def test_only_one_block_of_steps_becomes_objects(spark):
+    """A batch of recipes reaches Python as Arrow; its steps are never a table of objects."""
+    sizes = spark.range(50).selectExpr("id AS image_id", "100L AS total", "10L AS wide")
+    recipe = sizes.selectExpr(
+        "image_id", "0L AS block",
+        "array(named_struct('step_no', 1L, 'op', 'insert', 'row', 0, 'col', 3, 'h', 0, 'w', 0, 'a', image_id % 7, 'b', 0L, 'mask', cast(null as binary))) AS ops",
+    )
+    got = rp.compiled(sizes, recipe.where("image_id <> 3"))
+    assert "MapInArrow" in _plan(got) and "MapInPandas" not in _plan(got)
+    last = {r.image_id: (r.lo, r.hi, r.src, r.flags) for r in got.orderBy("image_id", "lo").collect()}
+    assert last == {i: (3 + i % 7, 100, 3, rp.MOVED) if i != 3 else (0, 100, 0, 0) for i in range(50)}
