@@ -157,3 +157,16 @@ def test_widths_make_no_row_for_an_mcu_at_a_width(spark):
         pairs = [(mcu[m], mcu[m - w]) for m in mcu if w <= m < w * (n // w) and m - w in mcu]
         seam = sum(abs(a[0] - b[1]) for a, b in pairs) / len(pairs)
         assert rows[w][0] == n // w and abs(rows[w][1] - seam / (sum(a[2] for a, _ in pairs) / len(pairs) + 1)) < 1e-9
+
+
+def test_small_files_do_not_make_a_task_each(spark, tmp_path):
+    """A folder of any number of files is read by a fixed number of tasks, and every file is in one of them."""
+    for i in range(1200):
+        (tmp_path / f"{i}.jpg").write_bytes(b"\xff\xd8" + str(i).encode() * (1 + 9 * (i % 5 == 0)))
+    got = sf.scan_files(spark, str(tmp_path), max_bytes=20)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.rdd.getNumPartitions() <= 2 * tasks
+    want = {i: b"\xff\xd8" + str(i).encode() * (1 + 9 * (i % 5 == 0)) for i in range(1200)}
+    rows = {int(r.path.rpartition("/")[2][:-4]): r for r in got.collect()}
+    assert {i: r.size for i, r in rows.items()} == {i: len(c) for i, c in want.items()}
+    assert {i: r.content and bytes(r.content) for i, r in rows.items()} == {i: c if len(c) <= 20 else None for i, c in want.items()}
