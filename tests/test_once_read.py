@@ -60,3 +60,10 @@ def test_only_one_block_of_steps_becomes_objects(spark):
     assert "MapInArrow" in _plan(got) and "MapInPandas" not in _plan(got)
     last = {r.image_id: (r.lo, r.hi, r.src, r.flags) for r in got.orderBy("image_id", "lo").collect()}
     assert last == {i: (3 + i % 7, 100, 3, rp.MOVED) if i != 3 else (0, 100, 0, 0) for i in range(50)}
+
+
+def test_splice_points_do_not_read_the_frame_header(spark):
+    """Nothing of the frame but what a candidate needs is computed, and no file is made text or turned round to miss a footer."""
+    plan = _plan(queries()["d2_splice_points"](spark, SF))
+    assert "mcus_x" not in plan and "reverse(" not in plan
+    assert plan.count("ArrowEvalPython") == 1
