@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from mendframe.operators import mcu_stream as ms
 
 
@@ -45,3 +47,28 @@ def test_rank_keeps_the_best_and_lets_edges_decide(spark):
         final = sorted(enumerate(short), key=lambda e: (not (e[1][4] or e[1][3] >= 360), 0 if e[1][4] else -e[1][3], score(e[1]), abs(e[1][2]), e[0]))
         assert [(x.cand_id, x.score) for x in sorted((x for x in got if x.file_id == f), key=lambda x: x.rank)] == [(x[1], score(x)) for _, x in final]
         assert len(passed) > 128
+
+
+def test_ranking_reads_whole_pictures(spark, tmp_path):
+    """A picture of several blocks: each fourth MCU is a candidate, and a trial goes on up to the window; equal to the SQL."""
+    import duckdb
+    from compare import TABLES, compare
+    from conftest import SF
+
+    from __spark_entry__ import _queries
+
+    for t in ("lineitem", "embeddings"):
+        table = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "lineitem":
+            # One picture of more than 4,096 MCUs.
+            table = table.withColumn("l_suppkey", F.expr("CASE WHEN l_suppkey <> 1 THEN 10L ELSE l_suppkey END"))
+        table.write.parquet(f"{tmp_path}/{t}.parquet")
+    own = duckdb.connect()
+    for t in TABLES:
+        at = f"{tmp_path}/{t}.parquet/*.parquet" if t in ("lineitem", "embeddings") else f"{SF}/{t}.parquet"
+        own.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}')")
+    query = _queries()["m6_rank_resync"]
+    found = query.run(spark, str(tmp_path)).where("file_id = 10").agg(F.max("cand_id").alias("cand"), F.max("clean").alias("clean")).first()
+    assert found.cand > 1024 and found.clean > 60
+    rows, _, difference = compare(spark, own, query, str(tmp_path))
+    assert rows > 128 and not difference
