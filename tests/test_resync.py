@@ -72,3 +72,33 @@ def test_ranking_reads_whole_pictures(spark, tmp_path):
     assert found.cand > 1024 and found.clean > 60
     rows, _, difference = compare(spark, own, query, str(tmp_path))
     assert rows > 128 and not difference
+
+
+def test_folded_candidates_are_the_rows(spark):
+    """Candidates that never become rows are those that do, at a start on a byte too, with and without a failure, and of all limits."""
+    points = spark.createDataFrame([(1, 803, 950), (2, 160, None), (3, 17, 20)], "file_id long, start long, fail_end long")
+
+    def fold(ids, deltas, at):
+        # Nothing is summed: each candidate as text.
+        return {"all": [" ".join(f"{i},{d},{p[0]}" for i, d in zip(line, deltas, strict=True)) for line, p in zip(ids, at, strict=True)]}
+
+    for limits in ({"max_bits": 3, "max_bytes": 5}, {"max_bits": 20, "max_bytes": 2, "max_reach_bits": 64}, {"max_bits": 2, "max_bytes": 3, "max_positions": 4}, {"max_bits": 1, "max_bytes": 40, "max_reach_bits": None, "max_positions": None}):
+        rows = ms.resync_candidates(points, **limits).collect()
+        want = sorted((r.file_id, r.cand_id, r.delta_bits, r.bit_pos) for r in rows)
+        got = ms.folded_candidates(points, fold, "all string", **limits).collect()
+        assert sorted((r.file_id, *map(int, c.split(","))) for r in got for c in r["all"].split()) == want
+        assert all(f",{r.bit_pos}" in r["all"] for r in got)
+
+
+def test_counting_candidates_makes_no_row_of_them(spark):
+    """They are laid out in the task that tries them; only what is known of a place leaves it."""
+    import contextlib
+    import io
+
+    from conftest import SF
+
+    from __spark_entry__ import queries
+
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        queries()["m3_resync_candidates"](spark, SF).explain()
+    assert "16384" not in plan.getvalue() and "cand_id" not in plan.getvalue()
